@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op2_kk_shards": sharding.op2_kk_shards,
+        "op4_mix_sources": mixing.op4_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mix_sources": mixing.OP4_SQL,
+    }
