@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, tokencount, tokenfiles
 
 
 def queries() -> dict:
     return {
         "op2_kk_shards": sharding.op2_kk_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op9_token_counts": tokencount.op9_token_counts,
+        "op10_token_files": tokenfiles.op10_token_files,
     }
 
 
