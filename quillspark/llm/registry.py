@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, tokencount, tokenfiles
+from . import decontam, fingerprint, mixing, sharding, tokencount, tokenfiles
 
 
 def queries() -> dict:
     return {
         "op2_kk_shards": sharding.op2_kk_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_syncmer_fingerprints": fingerprint.op6_syncmer_fingerprints,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_token_counts": tokencount.op9_token_counts,
         "op10_token_files": tokenfiles.op10_token_files,
