@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, mixing, sharding, tokencount, tokenfiles
+from . import decontam, fingerprint, langid, mixing, sharding, tokencount, tokenfiles, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op2_kk_shards": sharding.op2_kk_shards,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_syncmer_fingerprints": fingerprint.op6_syncmer_fingerprints,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_token_counts": tokencount.op9_token_counts,
