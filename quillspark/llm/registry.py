@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, mixing, sharding, tokencount, tokenfiles, toxicity
+from . import decontam, fingerprint, langid, mixing, neardup, sharding, tokencount, tokenfiles, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_kk_shards": sharding.op2_kk_shards,
+        "op3_url_templates": urlfilter.op3_url_templates,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_syncmer_fingerprints": fingerprint.op6_syncmer_fingerprints,
+        "op7_jaccard_groups": neardup.op7_jaccard_groups,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_token_counts": tokencount.op9_token_counts,
         "op10_token_files": tokenfiles.op10_token_files,
@@ -21,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": mixing.OP4_SQL,
+        "op7_jaccard_groups": neardup.OP7_SQL,
         "op8_decontaminate": decontam.OP8_SQL,
     }

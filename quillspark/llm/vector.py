@@ -107,18 +107,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lowe
     return span_hash(data, starts, ends), np.searchsorted(doc, np.arange(len(offsets)), "left")
 
 
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The distinct shingles of ``k`` words of one document, sorted; with fewer words, but not none, the whole as one."""
+def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each document its distinct shingles of ``k`` words, sorted; of one with fewer words, but not none, the whole as one."""
     n = len(hashes)
-    if not n:
-        return np.zeros(0, U64)
-    width = min(n, k)
-    h = np.zeros(n - width + 1, U64)
-    for i in range(width):
-        h = mix(h * U64(0x9E3779B97F4A7C15) + hashes[i : n - width + 1 + i])
-    if n < k:
-        h = mix(h + U64(n))
-    return np.unique(h)
+    h = np.zeros(max(0, n - k + 1), U64)
+    for i in range(k):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + hashes[i : n - k + 1 + i]) if len(h) else h
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(h[a : b - k + 1]))
+        else:
+            g = np.full(min(1, b - a), b - a, U64)
+            for x in hashes[a:b]:
+                g = mix(g * U64(0x9E3779B97F4A7C15) + x)
+            out.append(g)
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
