@@ -40,6 +40,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are sent to all tasks at most, instead of a shuffle of whole texts.
+MOST_SENT = 2_000_000
+
+
+def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; a shuffle join otherwise.  Counts it, so it should be a working table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes this application's working tables."""
     top = f"{shared_dir(spark)}/quill-{spark.sparkContext.applicationId}"

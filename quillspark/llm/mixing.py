@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, docs_table
+from .common import cut, docs_table, sized
 
 #: Quality weights of labelled documents, and of those without a label.
 QUALITY = {1: 2.0, 0: 0.5}
@@ -65,45 +65,73 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return levels.withColumn("lam", F.coalesce(lam["level"], F.lit(float("inf")))).select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("lam") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_bin: int = 2000, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the document is taken) and taken, one row per document.
-
-    quality: (doc_id, weight) with one row for an id at most.
-    """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def keyed(docs: DataFrame, quality: DataFrame | None, seed: str = SEED) -> DataFrame:
+    """Adds mix_size and mix_key to each row of ``docs``.  quality: (doc_id, weight) with one row for an id at most."""
     if quality is not None:
-        rows = rows.join(quality.select("doc_id", F.col("weight").alias("q")), "doc_id", "left")
+        docs = docs.join(quality.select("doc_id", F.col("weight").alias("mix_q")), "doc_id", "left")
     else:
-        rows = rows.withColumn("q", F.lit(None).cast("double"))
-    u = uniform(F.col("doc_id"), seed)
-    q = F.coalesce("q", F.lit(UNLABELLED))
-    rows = cut(rows.select("doc_id", "source", "size", (-F.log(u) / q).alias("key")), "mix-rows")
-    sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
+        docs = docs.withColumn("mix_q", F.lit(None).cast("double"))
+    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("mix_q", F.lit(UNLABELLED))
+    return docs.withColumn("mix_key", key).drop("mix_q")
+
+
+def mix_plan(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, rows_per_bin: int) -> DataFrame:
+    """One row for each source: its size and target, complete epochs, number of bins, the bin at the edge and the last row that it takes."""
+    sizes = cut(rows.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
     plan = source_targets(sizes.select("source", "source_size"), weights, max_epochs).join(sizes.select(F.col("source").alias("s_"), "n"), F.col("source").eqNullSafe(F.col("s_")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("int")).select(
         F.col("source").alias("s_"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bin)).alias("bins")
     )
     plan = cut(plan, "mix-plan")
-    # 1 - exp(-key * least weight) spreads keys of any weight over (0, 1) with a bounded density
-    least = min(UNLABELLED, *QUALITY.values())
-    spread = 1 - F.exp(-F.col("key") * least)
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("bin", F.least(F.floor(spread * F.col("bins")), F.col("bins") - 1).cast("long"))
-    by_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("budget").alias("bin_budget"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("bin", bin_of(F.col("mix_key"), F.col("bins")))
+    by_bin = rows.groupBy("source", "bin").agg(F.sum("mix_size").alias("bin_size"), F.first("budget").alias("bin_budget"))
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = by_bin.withColumn("before", before).filter((F.col("before") <= F.col("bin_budget")) & (F.col("before") + F.col("bin_size") > F.col("bin_budget")))
     edge = cut(edge.select(F.col("source").alias("s_"), F.col("bin").alias("edge"), "before"), "mix-edges")
-    rows = rows.join(edge, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
-    # bins before the edge are taken whole; no edge: the budget is 0 or the whole source
-    inside = F.when(F.col("edge").isNull(), F.when(F.col("budget") > 0, 1).otherwise(0)).otherwise((F.col("bin") < F.col("edge")).cast("int"))
-    sure = rows.filter(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("more", inside)
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = rows.filter(F.col("bin") == F.col("edge")).withColumn("upto", F.col("before") + upto)
-    # nearest: the edge document goes in if at least half of it is within the budget
-    at = at.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("budget")).cast("int")).drop("upto")
-    out = sure.unionByName(at)
-    copies = F.least(F.col("epochs") + F.col("more"), F.lit(max_epochs))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    # row by row only within the bin at the edge; the row at the budget goes in if at least half of it fits
+    at = rows.join(edge, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bin") == F.col("edge")))
+    upto = F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = at.withColumn("upto", F.col("before") + upto).filter(F.col("upto") - F.col("mix_size") / 2 <= F.col("budget"))
+    last = last.groupBy(F.col("source").alias("e_")).agg(F.max(F.struct("mix_key", "doc_id", "mix_size")).alias("last"))
+    edge = edge.join(last, F.col("s_").eqNullSafe(F.col("e_")), "left").select(F.col("s_").alias("e_"), "edge", "last")
+    return cut(plan.join(edge, F.col("s_").eqNullSafe(F.col("e_")), "left").drop("e_"), "mix-plan")
+
+
+def bin_of(key: Column, bins: Column) -> Column:
+    """1 - exp(-key * least weight) spreads keys of any weight over (0, 1) with a bounded density."""
+    return F.least(F.floor((1 - F.exp(-key * min(UNLABELLED, *QUALITY.values()))) * bins), bins - 1).cast("long")
+
+
+def mix_rows(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_bin: int = 2000, seed: str = SEED, text_col: str = "text", stored: bool = True) -> DataFrame:
+    """All rows of ``docs`` with mix_size, source_size, target and copies (how often the row is taken).
+
+    stored: the rows are kept as a working table; if not, they are read again (for wide rows).
+    """
+    rows = keyed(docs.withColumn("mix_size", n_words(F.col(text_col))), quality, seed)
+    if stored:
+        rows = cut(rows.drop(text_col), "mix-rows")
+        slim = rows
+    else:
+        slim = cut(rows.select("doc_id", "source", "mix_size", "mix_key"), "mix-rows")
+    plan = mix_plan(slim.select("doc_id", "source", "mix_size", "mix_key"), weights, max_epochs, rows_per_bin)
+    rows = rows.join(sized(plan, 50_000), F.col("source").eqNullSafe(F.col("s_")))
+    bin_, row = bin_of(F.col("mix_key"), F.col("bins")), F.struct("mix_key", "doc_id", "mix_size")
+    # no edge: the budget is 0 or the whole source
+    more = F.when(F.col("edge").isNull(), F.col("budget") > 0).otherwise((bin_ < F.col("edge")) | ((bin_ == F.col("edge")) & F.coalesce(row <= F.col("last"), F.lit(False))))
+    return rows.withColumn("copies", F.least(F.col("epochs") + more.cast("int"), F.lit(max_epochs))).drop("s_", "epochs", "budget", "bins", "edge", "last", "mix_key")
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (words, repeats counted), one row per document."""
+    out = mix_rows(docs.select("doc_id", "source", "text"), quality, **options)
+    return out.select("doc_id", "source", F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """The mix itself: each row as often as it is taken."""
+    out = mix_rows(docs, quality, stored=False, **options)
+    return out.filter("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

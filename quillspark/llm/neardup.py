@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_table, tune_arrow
+from .common import cut, docs_table, sized, tune_arrow
 from .vector import NOT_SPACE, U64, doc_bytes, shingle_sets, slices, word_hashes
 
 K, PERCENT = 4, 85
@@ -50,8 +50,6 @@ BLOCK = 1024
 LEAF = 32
 #: Groups that count as shared by many, for the order only: any choice gives the same links.
 MOST_HEAVY, HEAVY_FROM, CHUNK = 200_000, 5, 3_000_000
-#: Ids that are sent to all tasks at most, instead of a shuffle of texts.
-MOST_SENT = 2_000_000
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int):
@@ -225,13 +223,9 @@ def _pairs_of(t: pa.Table, percent: int) -> pa.RecordBatch:
 
 def verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link.  rows: (id, body); first: (cid, id), a document of each class."""
-    spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     chosen = cut(ids.join(first, "cid").select("cid", "id"), "dup-chosen")
-    wanted = chosen.select("id").distinct()
-    if chosen.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, "id", "left_semi")
+    texts = rows.join(sized(chosen.select("id")), "id", "left_semi")
 
     def make(batches):
         for b in batches:
@@ -324,6 +318,13 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("cid").alias("class_id"))
 
 
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group stays: the one with the least id (and all rows that repeat this id in it)."""
+    groups = near_duplicates(docs, k, percent)
+    gone = cut(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dup-gone")
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_jaccard_groups(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs_table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
