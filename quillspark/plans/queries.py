@@ -1,0 +1,546 @@
+"""Queries over the test tables, one for each operator, and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import formats
+from ..functions import redact as R
+from ..functions import text as T
+from ..operators import batch as B
+from ..operators import transcript as S
+from ..sources import convert, scan
+
+STAMP = "2024-01-01 00:00:00"
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- tokens and summaries -------------------------------------------------------------------
+
+TOKENS, RAW = "greatest(1, length(text) // 4)", "greatest(1, strlen(text) // 4)"
+
+
+@query(f"SELECT doc_id, {TOKENS}::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT page_id, greatest(1, strlen(html) // 4)::BIGINT AS source_tokens FROM pages")
+def source_token_baseline(spark, sf_dir):
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html"))
+    none = F.lit(None).cast("array<struct<name:string,size:bigint>>")
+    return table(spark, sf_dir, "pages").select("page_id", T.source_tokens(path, F.octet_length("html"), none, F.lit(None).cast("int"), F.lit(0)).alias("source_tokens"))
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """documents as the results of a batch."""
+    status = F.when(F.col("doc_id") % 17 == 0, "error").when(F.col("doc_id") % 23 == 0, "skipped").otherwise("done")
+    raw = F.when(F.col("doc_id") % 5 != 0, T.raw_tokens(F.octet_length("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", status.alias("status"), T.estimate_tokens(F.col("text")).alias("tokens"), raw.alias("source_tokens"))
+
+
+RESULTS = f"""results AS (
+  SELECT doc_id, lang, source, CASE WHEN doc_id % 17 = 0 THEN 'error' WHEN doc_id % 23 = 0 THEN 'skipped' ELSE 'done' END AS status,
+         {TOKENS}::BIGINT AS tokens, CASE WHEN doc_id % 5 <> 0 THEN {RAW}::BIGINT END AS source_tokens FROM documents
+)"""
+SUMMARY = """sums AS (
+  SELECT {by} count(*) FILTER (status = 'done') AS converted, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+         coalesce(sum(tokens) FILTER (status = 'done'), 0)::BIGINT AS tokens,
+         coalesce(sum(source_tokens) FILTER (status = 'done' AND source_tokens > 0), 0)::BIGINT AS src_tokens,
+         coalesce(sum(tokens) FILTER (status = 'done' AND source_tokens > 0), 0)::BIGINT AS out_comparable
+  FROM results {group}
+)
+SELECT *, greatest(0, src_tokens - out_comparable)::BIGINT AS saved_vs_raw,
+       CASE WHEN src_tokens > out_comparable AND out_comparable > 0 AND round_even(100 * (1 - out_comparable / src_tokens), 0) > 0
+            THEN least(99, round_even(100 * (1 - out_comparable / src_tokens), 0))::DOUBLE END AS percent
+FROM sums"""
+
+
+@query(f"WITH {RESULTS}, {SUMMARY.format(by='', group='')}")
+def batch_summary(spark, sf_dir):
+    return B.batch_summary(results(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
+
+
+@query(f"WITH {RESULTS}, {SUMMARY.format(by='lang, source,', group='GROUP BY ROLLUP (lang, source)')}")
+def batch_summary_rollup(spark, sf_dir):
+    return B.batch_summary(results(spark, sf_dir), "lang", "source").withColumn("percent", F.col("percent").cast("double"))
+
+
+@query(f"WITH {RESULTS}, {SUMMARY.format(by='lang,', group='GROUP BY lang')}")
+def savings_by_lang(spark, sf_dir):
+    out = results(spark, sf_dir).groupBy("lang").agg(*B.summary_columns())
+    return out.withColumn("percent", T.savings_percent(F.col("src_tokens"), F.col("out_comparable")).cast("double"))
+
+
+# --- redaction -----------------------------------------------------------------------------
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _re(expr: str, pattern: str, to: str, flags: str = "g") -> str:
+    return f"regexp_replace({expr}, '{_q(pattern)}', '{_q(to)}', '{flags}')"
+
+
+KEYS = r"\b(api_key|apikey|secret|token|password|passwd|private_key)\b"
+PHONE = r"(^|[^0-9])(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}($|[^0-9])"
+
+
+def _credential(e: str) -> str:
+    for k in ('"', "'", ""):
+        for v in ('"', "'", ""):
+            e = _re(e, rf"""({k}){KEYS}{k}(\s*[:=]\s*)({v})([^"'\s]{{8,}}){v}""", r"\1\2\1\3\4[REDACTED_CREDENTIAL]\4", "gi")
+    return e
+
+
+#: RE2 has neither look-behind nor back-references: the phone step runs twice with its edges kept, the credential step once for each pair of quotes.
+STEP_SQL = {
+    "PRIVATE_KEY": lambda e: _re(e, r"-----BEGIN [A-Z ]+ PRIVATE KEY-----\s*[\s\S]+?\s*-----END [A-Z ]+ PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    "EMAIL": lambda e: _re(e, r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+", "[REDACTED_EMAIL]"),
+    "SSN": lambda e: _re(e, r"\b\d{3}[-.\s]\d{2}[-.\s]\d{4}\b", "[REDACTED_SSN]"),
+    "CC": lambda e: _re(e, r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[REDACTED_CC]"),
+    "PHONE": lambda e: _re(_re(e, PHONE, r"\1[REDACTED_PHONE]\2"), PHONE, r"\1[REDACTED_PHONE]\2"),
+    "AWS_KEY_ID": lambda e: _re(e, r"\b(AKIA|ASCA|ASIA)[0-9A-Z]{16}\b", "[REDACTED_AWS_KEY_ID]"),
+    "OPENAI_KEY": lambda e: _re(e, r"\bsk-[a-zA-Z0-9_-]{20,}\b", "[REDACTED_OPENAI_KEY]"),
+    "SLACK_TOKEN": lambda e: _re(e, r"\bxox[baprs]-[0-9a-zA-Z-]{10,}\b", "[REDACTED_SLACK_TOKEN]"),
+    "CREDENTIAL": _credential,
+    "PASSWORD": lambda e: _re(e, r"\b(mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|sqlite|mssql)://([^:]+):([^@\s]+)@([^\s]+)", r"\1://\2:[REDACTED_PASSWORD]@\4", "gi"),
+    "IP": lambda e: _re(e, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IP]"),
+    "IPV6": lambda e: _re(e, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "[REDACTED_IPV6]"),
+    "MAC": lambda e: _re(e, r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", "[REDACTED_MAC]"),
+}
+
+
+def chain_sql(e: str) -> str:
+    for name, *_ in R.STEPS:
+        e = STEP_SQL[name](e)
+    return e
+
+
+for _name in STEP_SQL:
+
+    def _one(spark, sf_dir, name=_name):
+        t = R.step(F.col("text"), name)
+        return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("digest"), (t != F.col("text")).alias("changed"))
+
+    QUERIES[f"redact_{_name.lower()}"] = _one
+    SQL[f"redact_{_name.lower()}"] = f"SELECT doc_id, md5(t) AS digest, t <> text AS changed FROM (SELECT doc_id, text, {STEP_SQL[_name]('text')} AS t FROM documents)"
+
+
+@query(f"SELECT doc_id, {chain_sql('text')} AS redacted FROM documents")
+def redact_full(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.redact(F.col("text")).alias("redacted"))
+
+
+_COUNTS = ", ".join(f"coalesce(sum(len(regexp_extract_all(t, '\\[REDACTED_{n}\\]'))), 0)::BIGINT AS {n.lower()}" for n in R.LABELS)
+
+
+@query(f"SELECT lang, count(*) AS n_docs, count(*) FILTER (t <> text) AS n_changed, sum({TOKENS})::BIGINT AS tokens_before, sum(greatest(1, length(t) // 4))::BIGINT AS tokens_after, {_COUNTS} FROM (SELECT lang, text, {chain_sql('text')} AS t FROM documents) GROUP BY lang")
+def redact_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", "text", R.redact(F.col("text")).alias("t"))
+    rows = rows.select("lang", (F.col("t") != F.col("text")).alias("c"), T.estimate_tokens(F.col("text")).alias("b"), T.estimate_tokens(F.col("t")).alias("a"), *R.label_counts(F.col("t")))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("c").alias("n_changed"), F.sum("b").alias("tokens_before"), F.sum("a").alias("tokens_after"), *[F.sum(n.lower()).alias(n.lower()) for n in R.LABELS])
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bthe\b', '[REDACTED_TERM]', 'gi'), '\bof and\b', '[REDACTED_TERM]', 'gi')) AS digest FROM documents WHERE lang = 'en'")
+def redact_custom_terms(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return rows.select("doc_id", F.md5(R.redact_terms(F.col("text"), "the\n\n  of and ").cast("binary")).alias("digest"))
+
+
+# --- paths, names and joins --------------------------------------------------------------------
+
+PATHS = """paths AS (
+  SELECT page_id, '/in/' || (page_id % 7) || '/' || (CASE page_id % 11 WHEN 0 THEN '~$' WHEN 1 THEN '.' ELSE '' END) || 'f' || (page_id % 97)
+         || (CASE page_id % 10 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.pdf' WHEN 2 THEN '.html' WHEN 3 THEN '.mp3' WHEN 4 THEN '.png' WHEN 5 THEN '.zip' WHEN 6 THEN '.exe' WHEN 7 THEN '' WHEN 8 THEN '.tar.csv' ELSE '.vtt' END) AS path
+  FROM pages
+)"""
+
+
+def paths(spark, sf_dir) -> DataFrame:
+    n, p = F.col("page_id") % 10, F.col("page_id")
+    suffixes = F.lit([".DOCX", ".pdf", ".html", ".mp3", ".png", ".zip", ".exe", "", ".tar.csv", ".vtt"])
+    mark = F.when(p % 11 == 0, "~$").when(p % 11 == 1, ".").otherwise("")
+    path = F.concat(F.lit("/in/"), (p % 7).cast("string"), F.lit("/"), mark, F.lit("f"), (p % 97).cast("string"), F.element_at(suffixes, (n + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+EXT = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^\.*[^.].*?(\.[^.]*)$', 1))"
+
+
+def _in(exts: list[str]) -> str:
+    return "(" + ", ".join(f"'{e}'" for e in exts) + ")"
+
+
+@query(
+    f"""WITH {PATHS}, e AS (SELECT *, {EXT} AS ext FROM paths)
+SELECT page_id, path, ext, regexp_matches(path, '/(~\\$|\\.)[^/]*$') AS hidden, ext IN {_in(formats.SCANNED)} AND NOT regexp_matches(path, '/(~\\$|\\.)[^/]*$') AS scanned,
+  CASE WHEN ext IN {_in(formats.DOCUMENTS)} THEN 'document' WHEN ext IN {_in(formats.AUDIO)} THEN 'audio' WHEN ext IN {_in(formats.VIDEO)} THEN 'video' WHEN ext IN {_in(formats.IMAGES)} THEN 'image' WHEN ext IN {_in(formats.PLAIN)} THEN 'text' WHEN ext = '.zip' THEN 'archive' ELSE 'other' END AS fmt_class,
+  CASE WHEN ext IN {_in(formats.MEDIA)} THEN 'speech' WHEN ext = '.vtt' THEN 'vtt' WHEN ext IN {_in(formats.CONVERTIBLE)} THEN 'document' END AS route,
+  CASE WHEN ext = '.zip' THEN '{formats.ZIP_OFF}' WHEN ext IN {_in(formats.IMAGES)} THEN '{formats.NEEDS_OCR}' WHEN ext NOT IN {_in(formats.CONVERTIBLE)} THEN 'Unsupported file type: ' || CASE WHEN ext = '' THEN 'no extension' ELSE ext END END AS error
+FROM e"""
+)
+def scan_filter(spark, sf_dir):
+    p = F.col("path")
+    r = formats.route(p)
+    shown = formats.extension(p).isin(formats.SCANNED) & ~formats.is_hidden(p)
+    return paths(spark, sf_dir).select("page_id", "path", formats.extension(p).alias("ext"), formats.is_hidden(p).alias("hidden"), shown.alias("scanned"), formats.format_class(p).alias("fmt_class"), r["route"].alias("route"), r["error"].alias("error"))
+
+
+@query(f"WITH {PATHS}, d AS (SELECT path, min(page_id) AS seq FROM paths GROUP BY path), e AS (SELECT *, {EXT} AS ext FROM d) SELECT seq, path FROM e WHERE (ext IN {_in(formats.SCANNED)} AND NOT regexp_matches(path, '/(~\\$|\\.)[^/]*$')) OR path IN (SELECT path FROM paths WHERE page_id % 3 = 0)")
+def collect_files(spark, sf_dir):
+    """Files named directly and files of a listing, each at its first place (both listings are of the same table, so a path's first place is its least id)."""
+    rows = paths(spark, sf_dir).select(F.col("page_id").alias("seq"), "path")
+    named = rows.join(rows.filter("seq % 3 = 0").select("path").distinct(), "path", "left_semi")
+    return scan.collect_files(named, rows)
+
+
+@query(f"""WITH {PATHS}, u AS (SELECT DISTINCT path FROM paths), t AS (SELECT path, left(path, length(path) - length({EXT})) AS stem FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) - 1 + CASE WHEN stem LIKE '/in/3/%' THEN 1 ELSE 0 END AS n FROM t)
+SELECT path, stem || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.md' AS output FROM r""")
+def unique_output_names(spark, sf_dir):
+    files = paths(spark, sf_dir).select("path").distinct()
+    taken = files.filter(F.col("path").startswith("/in/3/")).select(B.output_name(F.col("path")).alias("output"))
+    return B.unique_outputs(files, taken)
+
+
+@query("""SELECT d.doc_id, '/in/' || d.source || '/' || d.doc_id || '.html' AS path, CASE WHEN l.doc_id IS NOT NULL THEN '/out/' || d.doc_id || '-kept.md' ELSE '/in/' || d.source || '/' || d.doc_id || '.md' END AS output
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id)""")
+def manifest_rerun(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    path = F.concat(F.lit("/in//"), "source", F.lit("/./"), F.col("doc_id").cast("string"), F.lit(".html"))
+    good = F.when(F.col("quality") == 1, F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit("-kept.md"))).otherwise("/out/x.txt")
+    return B.apply_manifest(files.withColumn("output", B.output_name(F.col("path"))), labels.select(path.alias("source"), good.alias("output")))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"))
+
+
+@query("SELECT doc_id, '/in/' || source || '/' || doc_id || '.html' AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def exclude_files(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return B.exclude(files, files.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*'), '^[a-z]+://', '') AS path FROM pages),
+items AS (SELECT min(page_id) AS item_seq, regexp_extract(path, '^[^/]*(/[^/]*)?') AS item FROM f WHERE page_id % 4 = 0 GROUP BY item)
+SELECT page_id, f.path, coalesce(min(item_seq), -1) AS item_seq, arg_min(item, item_seq) AS item FROM f LEFT JOIN items ON f.path = item OR starts_with(f.path, item || '/') GROUP BY ALL""")
+def owner_prefix_join(spark, sf_dir):
+    f = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+://", "").alias("path"))
+    items = f.filter("page_id % 4 = 0").groupBy(F.regexp_extract("path", "^[^/]*(/[^/]*)?", 0).alias("item")).agg(F.min("page_id").alias("item_seq"))
+    return B.owners(f, items).withColumn("item_seq", F.coalesce("item_seq", F.lit(-1)))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '/' || p_brand || ' (v1.0) Été_' || p_type), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM part")
+def slugify_toc(spark, sf_dir):
+    name = F.concat("p_name", F.lit("/"), "p_brand", F.lit(" (v1.0) Été_"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", T.slugify(name).alias("slug"))
+
+
+@query(f"""SELECT doc_id, '---' || chr(10) || 'original_filename: ' || doc_id || '.html' || chr(10) || 'source_format: .html' || chr(10) || 'date_converted: {STAMP}' || chr(10) || 'lang: ' || lang || chr(10)
+|| CASE WHEN doc_id % 3 = 0 THEN 'chars: ' || n_chars || chr(10) ELSE '' END || '---' || chr(10) || chr(10) AS yaml FROM documents""")
+def frontmatter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(_files(spark, sf_dir), "doc_id")
+    extras = [("lang", F.col("lang")), ("none", F.lit(None)), ("chars", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")))]
+    return rows.select("doc_id", T.frontmatter(F.col("path"), F.lit(STAMP), extras).alias("yaml"))
+
+
+@query(f"""WITH p AS (SELECT 'conv ' || conv_id AS collection, lpad(turn::VARCHAR, 4, '0') || ' ' || role || '.md' AS name, text AS body FROM conversations),
+c AS (SELECT collection, count(*)::INTEGER AS n_files,
+  '---' || chr(10) || 'collection_name: ' || collection || chr(10) || 'total_files: ' || count(*) || chr(10) || 'date_combined: {STAMP}' || chr(10) || '---' || chr(10) || chr(10)
+  || '# ' || collection || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)
+  || string_agg('- [' || name || '](#' || regexp_replace(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', '-', 'g') || ')' || chr(10), '' ORDER BY name, body) || chr(10)
+  || string_agg(chr(10) || chr(10) || '---' || chr(10) || '## ' || name || chr(10) || chr(10) || body || chr(10), '' ORDER BY name, body) AS markdown FROM p GROUP BY collection)
+SELECT *, greatest(1, length(markdown) // 4)::BIGINT AS tokens FROM c""")
+def combine_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(" "), "role", F.lit(".md"))
+    return B.combined(rows.select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("collection"), name.alias("name"), F.col("text").alias("body")), STAMP)
+
+
+@query("SELECT 'conv ' || conv_id AS collection, regexp_replace(string_agg(chr(10) || chr(10) || '---' || chr(10) || '## ' || lpad(turn::VARCHAR, 4, '0') || '.md' || chr(10) || chr(10) || text, '' ORDER BY turn, text), '^\\s+', '') AS text FROM conversations GROUP BY conv_id")
+def clipboard_text(spark, sf_dir):
+    name = F.concat(F.lit("a/"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".md"))
+    return B.clipboard(table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("collection"), name.alias("name"), F.col("text").alias("body")))
+
+
+@query("SELECT 'x' || (doc_id % 5) || '.md' AS path, doc_id % 2 = 1 AS combined, count(*) AS n FROM documents GROUP BY ALL")
+def combined_filter(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("x"), (d % 5).cast("string"), F.lit(".md")).alias("path"), F.when(d % 4 == 1, "a/y-combined.md").when(d % 4 == 3, "a/combined_master (1).md").otherwise("combined_master/z.md").alias("p"))
+    return rows.groupBy("path", B.is_combined(F.col("p")).alias("combined")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- transcripts ---------------------------------------------------------------------------------
+
+WORDS = """words AS (
+  SELECT event_id // 200 AS doc_id, event_id % 200 AS seq, event_type || CASE WHEN event_id % 13 = 0 THEN '.' ELSE '' END AS word,
+         s AS start, s + (event_id * 7919 % 90)::DOUBLE / 100 AS "end", 'S' || (user_id % 3) AS raw_speaker
+  FROM (SELECT *, (event_id % 200) * 0.6::DOUBLE + (event_id * 104729 % 40)::DOUBLE / 100 + floor((event_id % 200) / 41) * 3::DOUBLE AS s FROM events)
+)"""
+TURNS = """turns AS (
+  SELECT event_id // 200 AS doc_id, event_id % 200 AS seq, 'S' || (event_id * 31 % 4) AS speaker_id, s AS start, s + 4.5::DOUBLE AS "end"
+  FROM (SELECT *, (event_id % 200) * 6::DOUBLE + (event_id // 200 % 7) * 0.3::DOUBLE AS s FROM events WHERE event_id % 200 < 20)
+)"""
+
+
+def words(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    start = (e % 200) * F.lit(0.6) + (e * 104729 % 40).cast("double") / 100 + F.floor((e % 200) / 41) * F.lit(3.0)
+    rows = table(spark, sf_dir, "events").withColumn("start", start)
+    return rows.select(F.floor(e / 200).alias("doc_id"), (e % 200).alias("seq"), F.concat("event_type", F.when(e % 13 == 0, ".").otherwise("")).alias("word"), "start", (F.col("start") + (e * 7919 % 90).cast("double") / 100).alias("end"), F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("raw_speaker"))
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").filter(e % 200 < 20).withColumn("start", (e % 200) * F.lit(6.0) + (F.floor(e / 200) % 7) * F.lit(0.3))
+    return rows.select(F.floor(e / 200).alias("doc_id"), (e % 200).alias("seq"), F.concat(F.lit("S"), (e * 31 % 4).cast("string")).alias("speaker_id"), "start", (F.col("start") + 4.5).alias("end"))
+
+
+ROUND = "floor({} * 100 + 0.5) / 100"
+
+
+@query(f"""WITH {WORDS}, {TURNS}, p AS (
+  SELECT w.doc_id, w.seq, t.speaker_id, t.seq AS tseq, greatest(0, least(w."end", t."end") - greatest(w.start, t.start)) AS ov,
+         CASE WHEN 0.5 * (w.start + w."end") < t.start THEN t.start - 0.5 * (w.start + w."end") WHEN 0.5 * (w.start + w."end") > t."end" THEN 0.5 * (w.start + w."end") - t."end" ELSE 0 END AS d
+  FROM words w LEFT JOIN turns t USING (doc_id))
+SELECT doc_id, seq, coalesce(speaker_id, 'S1') AS raw_speaker FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY ov DESC, CASE WHEN ov > 0 THEN 0 ELSE d END, tseq) = 1""")
+def assign_speaker(spark, sf_dir):
+    return S.assign_speakers(words(spark, sf_dir).drop("raw_speaker"), turns(spark, sf_dir)).select("doc_id", "seq", "raw_speaker")
+
+
+@query(f"""WITH RECURSIVE {WORDS}, n AS (
+  SELECT *, lead(raw_speaker) OVER o AS after, start - lag("end") OVER o AS gap_before, lead(start) OVER o - "end" AS gap_after FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY seq)
+), walk AS (
+  SELECT doc_id, seq, raw_speaker AS spk FROM n WHERE seq = 0
+  UNION ALL
+  SELECT n.doc_id, n.seq, CASE WHEN n.after = walk.spk AND n.raw_speaker <> walk.spk AND n."end" - n.start < 0.55 AND gap_before < 0.75 AND gap_after < 0.75 THEN walk.spk ELSE n.raw_speaker END
+  FROM walk JOIN n ON n.doc_id = walk.doc_id AND n.seq = walk.seq + 1
+)
+SELECT doc_id, seq, spk AS raw_speaker FROM walk""")
+def smooth_microflips(spark, sf_dir):
+    return S.smooth_flips(words(spark, sf_dir)).select("doc_id", "seq", "raw_speaker")
+
+
+@query(f"""WITH {WORDS}, f AS (SELECT doc_id, raw_speaker, 'Speaker ' || row_number() OVER (PARTITION BY doc_id ORDER BY min(seq)) AS speaker FROM words GROUP BY doc_id, raw_speaker)
+SELECT doc_id, seq, speaker FROM words JOIN f USING (doc_id, raw_speaker)""")
+def canonical_speakers(spark, sf_dir):
+    return S.canonical_speakers(words(spark, sf_dir)).select("doc_id", "seq", "speaker")
+
+
+TURN_SQL = """, c AS (SELECT *, CASE WHEN spk IS NULL OR spk IS DISTINCT FROM lag(spk) OVER o OR row_number() OVER o = 1 THEN 1 ELSE 0 END AS chg FROM seg WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM c),
+m AS (SELECT *, max("end") OVER (PARTITION BY doc_id, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pmax FROM r),
+t AS (SELECT *, sum(CASE WHEN pmax IS NULL OR start - pmax > 3.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS turn FROM m)"""
+
+
+@query(f"""WITH {WORDS}, f AS (SELECT doc_id, raw_speaker, 'Speaker ' || row_number() OVER (PARTITION BY doc_id ORDER BY min(seq)) AS spk FROM words GROUP BY doc_id, raw_speaker),
+seg AS (SELECT w.*, spk FROM words w JOIN f USING (doc_id, raw_speaker)) {TURN_SQL}
+SELECT doc_id, turn::BIGINT AS seq, {ROUND.format('arg_min(start, seq)')} AS start, {ROUND.format('max("end")')} AS "end", arg_min(spk, seq) AS speaker, string_agg(word, ' ' ORDER BY seq) AS text FROM t GROUP BY doc_id, turn""")
+def diarized_segments(spark, sf_dir):
+    return S.diarized_segments(S.canonical_speakers(words(spark, sf_dir)))
+
+
+SEGMENTS = f"""{WORDS}, seg AS (SELECT doc_id, seq, start, "end", CASE WHEN seq % 29 <> 0 THEN 'Speaker ' || (seq // 3 % 2) END AS spk, word AS text FROM words WHERE seq % 7 <> 0)"""
+
+
+def segments(spark, sf_dir) -> DataFrame:
+    text = F.when(F.col("seq") % 7 != 0, F.concat(F.lit("  "), "word")).otherwise(" ")
+    spk = F.when(F.col("seq") % 29 != 0, F.concat(F.lit("Speaker "), (F.floor(F.col("seq") / 3) % 2).cast("string")))
+    return words(spark, sf_dir).select("doc_id", "seq", "start", "end", spk.alias("speaker"), text.alias("text"))
+
+
+@query(f"""WITH {SEGMENTS} {TURN_SQL}
+SELECT doc_id, turn::BIGINT AS seq, arg_min(start, seq) AS start, max("end") AS "end", min(spk) AS speaker, string_agg(text, ' ' ORDER BY seq) AS text, count(*) AS n_segments FROM t GROUP BY doc_id, turn""")
+def merge_turns(spark, sf_dir):
+    return S.merge_turns(segments(spark, sf_dir))
+
+
+STAMP_SQL = "lpad((x // 3600)::VARCHAR, greatest(2, length((x // 3600)::VARCHAR))::INTEGER, '0') || ':' || lpad((x % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((x % 60)::VARCHAR, 2, '0')"
+
+
+@query(f"""WITH {SEGMENTS} {TURN_SQL}, g AS (SELECT doc_id, turn, greatest(0, round_even(arg_min(start, seq), 0))::BIGINT AS x, min(spk) AS spk, string_agg(text, ' ' ORDER BY seq) AS text FROM t GROUP BY doc_id, turn)
+SELECT doc_id, '# Call ' || doc_id || chr(10) || chr(10) || string_agg('**[' || {STAMP_SQL} || ']' || coalesce(' ' || spk || ':', '') || '** ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS markdown FROM g GROUP BY doc_id""")
+def render_transcripts(spark, sf_dir):
+    seg = segments(spark, sf_dir)
+    titles = seg.select("doc_id").distinct().withColumn("title", F.concat(F.lit("Call "), F.col("doc_id").cast("string")))
+    return S.render_transcripts(titles, seg)
+
+
+@query(f"""WITH RECURSIVE {WORDS}, walk AS (
+  SELECT doc_id, seq, 1 AS part, greatest(0, start) AS s, greatest("end", greatest(0, start)) AS e, word FROM words WHERE seq = 0
+  UNION ALL
+  SELECT w.doc_id, w.seq, CASE WHEN brk THEN part + 1 ELSE part END, CASE WHEN brk THEN greatest(0, w.start) ELSE s END, CASE WHEN brk THEN greatest(w."end", greatest(0, w.start)) ELSE greatest(e, w."end") END, w.word
+  FROM (SELECT walk.*, w.seq AS wseq, w.start - e > 2.5 OR (right(walk.word, 1) IN ('.', '?', '!') AND e - s >= 15) OR e - s >= 45 AS brk FROM walk JOIN words w ON w.doc_id = walk.doc_id AND w.seq = walk.seq + 1) walk
+  JOIN words w ON w.doc_id = walk.doc_id AND w.seq = wseq
+)
+SELECT doc_id, part::BIGINT AS seq, {ROUND.format('max(s)')} AS start, {ROUND.format('max(e)')} AS "end", NULL::VARCHAR AS speaker, string_agg(word, ' ' ORDER BY seq) AS text FROM walk GROUP BY doc_id, part""")
+def segment_undiarized(spark, sf_dir):
+    return S.undiarized_segments(words(spark, sf_dir))
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT doc_id, seq * 3 AS seq, ' ' || left(word, 3) AS tok, start, "end" FROM words UNION ALL SELECT doc_id, seq * 3 + 1, substr(word, 4), start, "end" FROM words),
+q AS (SELECT * FROM p WHERE trim(tok) <> ''), b AS (SELECT *, sum(CASE WHEN tok[1] = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM q)
+SELECT doc_id, n::BIGINT AS seq, string_agg(trim(tok), '' ORDER BY seq) AS word, arg_min(start, seq) AS start, max("end") AS "end" FROM b GROUP BY doc_id, n""")
+def subword_merge(spark, sf_dir):
+    w = words(spark, sf_dir)
+    cols = ["start", "end"]
+    tokens = w.select("doc_id", (F.col("seq") * 3).alias("seq"), F.concat(F.when(F.col("seq") % 2 == 0, "▁").otherwise(" "), F.substring("word", 1, 3)).alias("token"), *cols)
+    tokens = tokens.union(w.select("doc_id", F.col("seq") * 3 + 1, F.substring(F.col("word"), F.lit(4), F.length("word")), *cols))
+    tokens = tokens.union(w.filter("seq % 5 = 0").select("doc_id", F.col("seq") * 3 + 2, F.lit("[_TT_50]"), *cols))
+    return S.merge_subwords(tokens)
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT doc_id, seq, start, "end", text, length(text) - length(replace(text, ' ', '')) AS total FROM (SELECT *, word || ' ab ' || raw_speaker AS text FROM words)),
+w AS (SELECT doc_id, seq, start, "end", i, string_split(text, ' ')[i + 1] AS word, text FROM (SELECT *, unnest(range(0, 3)) AS i FROM s)),
+c AS (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, seq ORDER BY i) AS upto, sum(length(word)) OVER (PARTITION BY doc_id, seq) AS total FROM w)
+SELECT doc_id, seq, i, word, round(start + greatest(0.05, "end" - start) * (upto - length(word)) / total, 6) AS start,
+       round(CASE WHEN i = 2 THEN greatest("end", start + greatest(0.05, "end" - start) * (upto - length(word)) / total) ELSE start + greatest(0.05, "end" - start) * upto / total END, 6) AS "end" FROM c""")
+def interpolate_words(spark, sf_dir):
+    seg = words(spark, sf_dir).select("doc_id", "seq", "start", "end", F.concat("word", F.lit(" ab "), "raw_speaker").alias("text"))
+    return S.interpolate_words(seg).withColumn("start", F.round("start", 6)).withColumn("end", F.round("end", 6))
+
+
+@query(f"""WITH {WORDS}, t AS (SELECT doc_id, seq, floor(start / 30)::BIGINT AS chunk, start - floor(start / 30) * 30 AS off, word FROM words)
+SELECT doc_id, seq, word AS token, round(chunk * 30 + off, 6) AS start, round(coalesce(chunk * 30 + lead(off) OVER (PARTITION BY doc_id, chunk ORDER BY seq), chunk * 30 + 30), 6) AS "end" FROM t""")
+def rebase_chunks(spark, sf_dir):
+    c = F.floor(F.col("start") / 30)
+    t = words(spark, sf_dir).select("doc_id", "seq", c.alias("chunk_no"), F.col("word").alias("token"), (F.col("start") - c * 30).alias("offset"), (c * 30.0 + 30.0).alias("chunk_end"))
+    return S.rebase_chunks(t).withColumn("start", F.round("start", 6)).withColumn("end", F.round("end", 6))
+
+
+@query(f"""WITH {WORDS} SELECT doc_id, seq, CASE WHEN seq % 4 = 0 OR start < 10 OR start > 60 THEN 10::DOUBLE ELSE start END AS start, CASE WHEN "end" < 10 OR "end" > 60 THEN 60::DOUBLE ELSE "end" END AS "end" FROM words""")
+def clamp_tokens(spark, sf_dir):
+    t = words(spark, sf_dir).select("doc_id", "seq", F.when(F.col("seq") % 4 != 0, F.col("start")).alias("t0"), F.col("end").alias("t1"), F.lit(10.0).alias("seg_start"), F.lit(60.0).alias("seg_end"))
+    return S.clamp_tokens(t).select("doc_id", "seq", "start", "end")
+
+
+# --- formatting -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH v AS (SELECT event_id, value * 97 AS v, greatest(0, round_even(value * 97, 0))::BIGINT AS x FROM events)
+SELECT event_id, {STAMP_SQL} AS stamp, CASE WHEN x >= 3600 THEN (x // 3600) || 'h ' || lpad((x % 3600 // 60)::VARCHAR, 2, '0') || 'm ' || lpad((x % 60)::VARCHAR, 2, '0') || 's' WHEN x >= 60 THEN (x // 60) || 'm ' || lpad((x % 60)::VARCHAR, 2, '0') || 's' ELSE x || 's' END AS duration FROM v""")
+def format_times(spark, sf_dir):
+    v = F.col("value") * 97
+    return table(spark, sf_dir, "events").select("event_id", T.format_timestamp(v).alias("stamp"), T.format_duration(v).alias("duration"))
+
+
+@query("""SELECT event_id, CASE WHEN b < 1024 THEN printf('%.0f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size,
+sign(v) * floor(abs(v) * 100 + 0.5) / 100 AS hundredth, CASE WHEN v < 0 THEN 0 ELSE floor(v * 10 + 0.5) / 10 END AS tenth
+FROM (SELECT event_id, (event_id * event_id * 37)::DOUBLE AS b, (event_id * 7919 % 10007)::DOUBLE / 1000 - 3 AS v FROM events)""")
+def format_sizes(spark, sf_dir):
+    e = F.col("event_id")
+    v = (e * 7919 % 10007).cast("double") / 1000 - 3
+    return table(spark, sf_dir, "events").select("event_id", T.human_size(e * e * 37).alias("size"), T.round_hundredth(v).alias("hundredth"), T.round_tenth(v).alias("tenth"))
+
+
+VTT = "'WEBVTT' || chr(10) || chr(10) || turn || chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '  ' || text || '  ' || chr(10) || chr(10) || 'NOTE x' || chr(10)"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array({VTT}, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '' AND x <> 'WEBVTT' AND NOT regexp_full_match(x, '\\d+') AND NOT contains(x, '-->')), chr(10) || chr(10)) AS markdown FROM conversations""")
+def parse_vtt(spark, sf_dir):
+    vtt = F.concat(F.lit("WEBVTT\n\n"), F.col("turn").cast("string"), F.lit("\n00:00:01.000 --> 00:00:02.000\n  "), "text", F.lit("  \n\nNOTE x\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.parse_vtt(vtt).alias("markdown"))
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    rows = convert.html_column(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "markdown", T.estimate_tokens(F.col("markdown")).alias("tokens"), T.raw_tokens(F.octet_length("html")).alias("source_tokens"))
+
+
+def _html_sql() -> str:
+
+    t = r"regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis')"
+    t = rf"regexp_replace({t}, '\s+', ' ', 'g')"
+    for n in range(1, 7):
+        t = rf"regexp_replace({t}, '<h{n}\b[^>]*>', chr(10) || chr(10) || '{'#' * n} ', 'gi')"
+    t = rf"regexp_replace({t}, '<li\b[^>]*>', chr(10) || '* ', 'gi')"
+    t = rf"regexp_replace({t}, '<br\s*/?>', chr(10), 'gi')"
+    t = rf"regexp_replace({t}, '</?(b|strong)\b[^>]*>', '**', 'gi')"
+    t = rf"regexp_replace({t}, '</?(p|div|article|section|h[1-6]|ul|ol|nav|footer|header|table|tr)\b[^>]*>', chr(10) || chr(10), 'gi')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    t = f"regexp_replace({t}, ' *\\n *', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_html_sql()} AS markdown FROM pages")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", convert.html_text(F.col("html")).alias("markdown"))
+
+
+HARDWARE = "(SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'macOS' ELSE 'windows' END AS os, s_suppkey % 3 <> 0 AS vulkan, s_suppkey * 613 % 9000 AS vram, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey * 977 % 16000 END AS ram FROM supplier)"
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN lower(os) = 'macos' THEN 'parakeet-tdt-0.6b-v3' WHEN vulkan AND vram >= 6144 THEN 'whisper-large-v3-turbo-q8_0' WHEN vulkan AND vram >= 4096 THEN 'whisper-large-v3-turbo-q5_0'
+WHEN coalesce(nullif(ram, 0), 8192) < 6144 THEN 'whisper-small-q5_1' ELSE 'parakeet-tdt-0.6b-v3-int8' END AS model FROM {HARDWARE}""")
+def recommend_model(spark, sf_dir):
+    s = F.col("s_suppkey")
+    model = B.recommended_model(F.when(s % 5 == 0, "macOS").otherwise("windows"), s % 3 != 0, s * 613 % 9000, F.when(s % 7 != 0, s * 977 % 16000))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", model.alias("model"))
+
+
+@query("""WITH i AS (SELECT source AS doc_id, 'm/' || lpad(doc_id::VARCHAR, 9, '0') || '.png' AS name, text FROM documents WHERE length(trim(text, ' ')) >= 3),
+f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY doc_id, lower(trim(text, ' ' || chr(10))) ORDER BY name) = 1)
+SELECT doc_id, count(*) AS n_texts, md5(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Text found in images' || chr(10) || string_agg(chr(10) || chr(10) || '### ' || substr(name, 3) || chr(10) || chr(10) || text, '' ORDER BY name)) AS digest FROM f GROUP BY doc_id""")
+def ocr_dedupe(spark, sf_dir):
+    images = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("m/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".png")).alias("name"), "text")
+    return B.dedupe_image_texts(images).select("doc_id", "n_texts", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'N lines' ELSE '' END AS text FROM documents""")
+def ocr_reading_order(spark, sf_dir):
+    d = F.col("doc_id")
+
+    def box(y: float, text, score):
+        return F.struct(F.array(F.array(F.lit(0.0), F.lit(y)), F.array(F.lit(9.0), F.lit(y + 5.0))).alias("box"), F.lit(text).alias("text"), score.alias("score"))
+
+    boxes = F.array(box(30.0, "low", F.lit(0.4)), box(10.0, "N lines", F.when(d % 3 == 0, 0.9).otherwise(0.1)), box(20.0, " ", F.lit(0.9)))
+    return table(spark, sf_dir, "documents").select("doc_id", B.read_boxes(boxes).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN n > 0 THEN regexp_replace(left(text, 50), '\\s+$', '') || chr(10) || chr(10) || '---' || chr(10) || '> **Note:** this file has ' || n || CASE WHEN doc_id % 2 = 0 THEN ' page' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' with no text layer (looks scanned)' ELSE ' embedded image' || CASE WHEN n = 1 THEN '' ELSE 's' END END
+|| ' that were not read. Enable "Read text in images and scanned PDFs" in Settings to extract the text.' || chr(10) ELSE left(text, 50) END AS markdown, length(left(text, 50)) < n * 100 AND n > 0 AS thin FROM (SELECT *, doc_id % 4 AS n FROM documents)""")
+def unread_notes(spark, sf_dir):
+    n, t = F.col("doc_id") % 4, F.substring("text", 1, 50)
+    note = T.unread_note(n, F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".pptx"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.append(t, note).alias("markdown"), T.text_layer_is_thin(t, n).alias("thin"))
+
+
+@query(f"""WITH {RESULTS} SELECT doc_id, CASE WHEN c.doc_id2 IS NOT NULL THEN 'skipped' ELSE status END AS status FROM results LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM labels WHERE quality = 0) c ON doc_id = doc_id2""")
+def cancelled_files(spark, sf_dir):
+    rows = results(spark, sf_dir).join(_files(spark, sf_dir), "doc_id")
+    gone = _files(spark, sf_dir).join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    return B.mark_cancelled(rows, gone).select("doc_id", "status")
+
+
+@query()
+def archive_members(spark, sf_dir):
+    p = F.regexp_replace("path", "^/", "")
+    return paths(spark, sf_dir).select("page_id", formats.archive_skip(p, F.col("page_id") * 1_000_000).alias("skip"))
+
+
+@query()
+def batch_events(spark, sf_dir):
+    rows = results(spark, sf_dir).join(_files(spark, sf_dir), "doc_id").withColumn("output", B.output_name(F.col("path"))).withColumn("error", F.when(F.col("status") == "error", "x"))
+    return B.events(rows)
