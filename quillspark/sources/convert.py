@@ -415,10 +415,9 @@ def convert_files(files: DataFrame, allow_zip: bool = False, ocr: bool = False)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
-        kinds = to_arrow_schema(_parse_datatype_string(RESULT))
+        member = pa.struct([("name", pa.string()), ("size", pa.int64())])
+        kinds = pa.schema([("markdown", pa.string()), ("error", pa.string()), ("pages", pa.int32()), ("unread", pa.int32()), ("members", pa.list_(member))])
         for b in batches:
             rows = []
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
