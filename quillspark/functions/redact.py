@@ -28,8 +28,11 @@ IPV6 = r"(?U)\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"
 MAC = r"(?U)\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"
 
 
+DIGIT = r"(?U)\d"
+
+
 def _digit(t: Column) -> Column:
-    return t.rlike(r"(?U)\d")
+    return t.rlike(DIGIT)
 
 
 def _secret_word(t: Column) -> Column:
@@ -61,9 +64,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _guarded(pattern: str, label: str, may):
+    return lambda t: F.when(may(t), F.regexp_replace(t, pattern, label)).otherwise(t)
+
+
 def step(text: Column, name: str) -> Column:
     _, pattern, label, may = next(s for s in STEPS if s[0] == name)
-    return let(text, lambda t: F.when(may(t), F.regexp_replace(t, pattern, label)).otherwise(t))
+    return let(text, _guarded(pattern, label, may))
 
 
 def term_pattern(term: str) -> str:
@@ -99,9 +106,15 @@ def redact(text: Column, terms: str | list[str] | None = None, engine=None) -> C
     def body(t: Column) -> Column:
         if terms:
             t = redact_terms(t, terms)
-        for name, *_ in STEPS:
-            t = step(t, name)
-        return engine(t) if engine else t
+
+        def chain(x: Column) -> Column:
+            t = x["t"]
+            for _, pattern, label, may in STEPS:
+                # no step brings digits into a text: whether it has any is asked once
+                t = let(t, _guarded(pattern, label, (lambda t: x["digits"]) if may is _digit else may))
+            return engine(t) if engine else t
+
+        return let(t, lambda t: let(F.struct(t.alias("t"), _digit(t).alias("digits")), chain))
 
     def guarded(t: Column) -> Column:
         has = t.contains("**[")
