@@ -88,13 +88,13 @@ def redact_terms(text: Column, terms: str | list[str]) -> Column:
 
 def stash_headers(text: Column) -> Column:
     parts = F.split(text, HEADER, -1)
-    marked = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("[[DOCPREP_TURN_"), i.cast("string"), F.lit("]]"))).otherwise(p))
+    marked = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("[[KEPT_TURN_"), i.cast("string"), F.lit("]]"))).otherwise(p))
     return F.array_join(marked, "")
 
 
 def restore_headers(text: Column, original: Column) -> Column:
     heads = F.transform(F.regexp_extract_all(original, F.lit(HEADER), F.lit(1)), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return F.aggregate(heads, text, lambda t, x: F.replace(t, F.concat(F.lit("[[DOCPREP_TURN_"), x["i"].cast("string"), F.lit("]]")), x["h"]))
+    return F.aggregate(heads, text, lambda t, x: F.replace(t, F.concat(F.lit("[[KEPT_TURN_"), x["i"].cast("string"), F.lit("]]")), x["h"]))
 
 
 def redact(text: Column, terms: str | list[str] | None = None, engine=None) -> Column:
