@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python.  Documents are a few kB, so a batch stays at some MB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 _own_dir: dict[str, str] = {}
 
 
@@ -60,6 +61,7 @@ def tune_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keeps Arrow batches of whole texts small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def fold(doc_id: Column | str, mod: int) -> Column:

@@ -14,8 +14,8 @@ two levels of nodes:
   that a link needs; so a point stands in the nodes of these groups only.  The
   order has groups that many documents share last, so that boilerplate doesn't
   bring strangers together.
-* In a node the points are counts over ``GROUPS`` coarse groups, packed into leaves
-  by size.  A leaf's box (greatest counts) and then each point bounds the overlap;
+* In a node the points are counts over coarse groups (32, for large sets so many more
+  that eight shingles fall into one), packed into leaves by size.  A leaf's box (greatest counts) and then each point bounds the overlap;
   pairs that survive are verified on the whole sets.
 
 Copies that have been edited form large groups whose members all link.  Pairs are
@@ -45,11 +45,17 @@ from .common import cut, docs_table, sized, tune_arrow
 from .vector import NOT_SPACE, U64, doc_bytes, shingle_sets, slices, word_hashes
 
 K, PERCENT = 4, 85
-GROUPS = 32
+#: Leading bits of a shingle's hash that name its group: at least, and at most for large sets.
+COARSE_BITS, MOST_BITS = 5, 12
 BLOCK = 1024
 LEAF = 32
+NO_ID = -(1 << 63)
 #: Groups that count as shared by many, for the order only: any choice gives the same links.
-MOST_HEAVY, HEAVY_FROM, CHUNK = 200_000, 5, 3_000_000
+MOST_HEAVY, HEAVY_FROM, CHUNK = 200_000, 5, 1_500_000
+#: Classes that a task remembers as sent; beyond that it starts anew, and some are sent twice.
+MOST_SEEN = 1_000_000
+#: Sets that one task verifies against the same other set, about.
+STAR = 4096
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int):
@@ -74,15 +80,46 @@ def overlap_needed(a, b, percent: int):
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """The counts over the coarse groups, rounded up to a scale by which they fit into bytes: the scale, then the counts."""
-    count = np.bincount((s >> U64(59)).astype(np.int64), minlength=GROUPS)
+    """The counts over groups, by the hashes' leading bits: 32 groups, or so many more that eight shingles fall into one.
+
+    The scale by which counts fit into bytes, then the counts, rounded up.
+    """
+    bits = COARSE_BITS
+    while (8 << bits) < len(s) and bits < MOST_BITS:
+        bits += 1
+    count = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
     scale = 1 + int(count.max(initial=0)) // 256
     return np.array([scale], "<u4").tobytes() + (-(-count // scale)).astype(np.uint8).tobytes()
 
 
-def read_vectors(raw: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), 4 + GROUPS)
-    return flat[:, 4:].astype(np.int32) * np.ascontiguousarray(flat[:, :4]).view("<u4").astype(np.int32)
+def read_vectors(raw: list[bytes], groups: int = 1 << COARSE_BITS) -> np.ndarray:
+    """Counts over ``groups`` groups: finer ones are summed, as groups are told apart by leading bits."""
+    out = np.zeros((len(raw), groups), np.int32)
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        flat = np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8).reshape(len(rows), n)
+        scale = np.ascontiguousarray(flat[:, :4]).view("<u4").astype(np.int32)
+        out[rows] = (flat[:, 4:].astype(np.int32) * scale).reshape(len(rows), groups, -1).sum(2)
+    return out
+
+
+def within_reach(raw: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the summed minima of the pairs (indices), over the finest groups that both have, allow a link."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) - 4
+    both, ok = np.minimum(size[a], size[b]), np.zeros(len(a), bool)
+    for groups in np.unique(both).tolist():
+        mine = np.flatnonzero(both == groups)
+        used, back = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        step = max(1, 2_000_000 // groups)
+        for i in range(0, len(mine), step):
+            x, y = back[: len(mine)][i : i + step], back[len(mine) :][i : i + step]
+            rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            vec = read_vectors([raw[used[r]] for r in rows], groups)
+            least = np.minimum(vec[at[: len(x)]], vec[at[len(x) :]]).sum(1)
+            part = mine[i : i + step]
+            ok[part] = least >= overlap_needed(n[a[part]], n[b[part]], percent)
+    return ok
 
 
 def heavy_groups(rows: DataFrame, k: int, most: int = MOST_HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +152,25 @@ def _common(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def points(rows: DataFrame, k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, body) -> row, id, n, cid (class), counts and the root nodes of each row."""
+    """(id, body) -> id, n and cid (class) of each row; counts and root nodes once for each class and task, so copies are not sent on."""
     sent = rows.sparkSession.sparkContext.broadcast(heavy)  # at most MOST_HEAVY numbers
 
     def make(batches):
-        from pyspark import TaskContext
-
         h, n_of = sent.value
-        at = TaskContext.get().partitionId() << 40
+        seen: set[int] = set()  # classes whose point this task has sent
         for b in batches:
             n, cid, vec, nodes = [], [], [], []
             for s in _sets(b, 1, k):
                 n.append(len(s))
                 cid.append(class_id(s) if len(s) else None)
-                vec.append(count_vector(s))
-                if not len(s):
-                    nodes.append(s.view(np.int64))
+                if not len(s) or cid[-1] in seen:
+                    vec.append(None)
+                    nodes.append(s[:0].view(np.int64))
                     continue
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                seen.add(cid[-1])
+                vec.append(count_vector(s))
                 p = len(s) - int(needed(len(s), percent)) + 1
                 if len(h):
                     where = np.minimum(np.searchsorted(h, s), len(h) - 1)
@@ -140,10 +179,9 @@ def points(rows: DataFrame, k: int, percent: int, heavy: tuple[np.ndarray, np.nd
                 nodes.append(s[:p].view(np.int64))
             flat = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
             off = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(b))), b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["row", "id", "n", "cid", "counts", "nodes"])
-            at += len(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "n", "cid", "counts", "nodes"])
 
-    return rows.mapInArrow(make, "row long, id long, n long, cid long, counts binary, nodes array<long>")
+    return rows.mapInArrow(make, "id long, n long, cid long, counts binary, nodes array<long>")
 
 
 def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +243,8 @@ def _node_pairs(percent: int):
 
 def _pairs_of(t: pa.Table, percent: int) -> pa.RecordBatch:
     node, i, j, block, cid, comp, n = (t.column(c).to_numpy() for c in ("node", "i", "j", "block", "cid", "comp", "n"))
-    vec = read_vectors(t.column("counts").to_pylist())
+    raw = t.column("counts").to_pylist()
+    vec = read_vectors(raw)
     start = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     end = np.append(start[1:], len(node))
     two = end - start == 2
@@ -216,39 +255,56 @@ def _pairs_of(t: pa.Table, percent: int) -> pa.RecordBatch:
         x, y = tree_pairs(n[s:e], vec[s:e], comp[s:e], None if i[s] == j[s] else block[s:e], percent)
         left.append(x + s)
         right.append(y + s)
-    a, b = cid[np.concatenate(left)], cid[np.concatenate(right)]
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = within_reach(raw, n, a, b, percent)
+    a, b = cid[a[ok]], cid[b[ok]]
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
 def verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link.  rows: (id, body); first: (cid, id), a document of each class."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = cut(ids.join(first, "cid").select("cid", "id"), "dup-chosen")
-    texts = rows.join(sized(chosen.select("id")), "id", "left_semi")
+    """The pairs (a, b) of classes that link.  pairs: a working table; rows: (id, body); first: (cid, id), a document of each class.
+
+    Sets are made anew from the texts of the classes that occur, and go where their
+    pairs are: each ``b`` to its ``a``, whose own set goes there once.  An ``a`` with
+    many pairs is split.
+    """
+    tune_arrow(pairs.sparkSession)
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    salted = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    own = many.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    roles = cut(own.union(salted.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("role"))), "dup-roles")
+    ids = cut(roles.select("cid").distinct().join(first, "cid").select("id").distinct(), "dup-ids")
+    texts = rows.join(sized(ids), "id", "left_semi")
 
     def make(batches):
         for b in batches:
-            made = list(_sets(b, 1, k))
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in made], pa.int64()), b.column(0), pa.array([s.tobytes() for s in made], pa.large_binary()).cast(pa.binary())], ["cid", "id", "set"])
+            made = list(_sets(b, 0, k))
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["cid", "set"])
 
-    sets = texts.select("id", "body").mapInArrow(make, "cid long, id long, set binary").join(chosen, ["cid", "id"], "left_semi").dropDuplicates(["cid"]).select("cid", "set")
-    sets = cut(sets, "dup-sets")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+    sets = texts.select("body").mapInArrow(make, "cid long, set binary").join(sized(roles), "cid").select("a", "part", "role", "cid", "set")
+    sets = sets.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def check(batches):
+        centre = own_set = None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                if len(x) > len(y):
-                    x, y = y, x
+            left, right = [], []
+            for a, role, cid, raw in zip(*(b.column(c).to_pylist() for c in ("a", "role", "cid", "set"))):
+                s = np.frombuffer(raw, U64)
+                if role == 0:
+                    centre, own_set = a, s
+                    continue
+                if a != centre:
+                    raise ValueError("a set without the set that it is compared with")
+                x, y = (s, own_set) if len(s) <= len(own_set) else (own_set, s)
                 at = np.searchsorted(y, x)
                 shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    left.append(a)
+                    right.append(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return sets.mapInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,13 +333,16 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     heavy = heavy_groups(rows.select("body"), k)
     pts = cut(points(rows, k, percent, heavy), "dup-points")
-    classes = cut(pts.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("row").alias("row"), F.min("id").alias("least")), "dup-classes")
-    info = pts.join(classes.select("row"), "row", "left_semi")
-    member = info.select("cid", F.explode("nodes").alias("node"))
+    classes = cut(pts.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("least")), "dup-classes")
+    # for looking texts up, a null id is a number that stands for all of them
+    first = classes.select("cid", F.coalesce("least", F.lit(NO_ID)).alias("id"))
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+    # dealt by node once: the copies that several tasks have sent, the count and the join all keep that
+    member = pts.select("cid", F.explode("nodes").alias("node")).repartition("node").dropDuplicates(["node", "cid"])
     shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("first")).filter("m > 1")
     member = cut(member.join(shared, "node"), "dup-nodes")
-    point = cut(info.select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi"), "dup-info")
-    first = info.select("cid", "id")
+    point = pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    point = cut(point, "dup-info")
     # each node's points against its first
     star = member.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(point.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(point.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
@@ -291,7 +350,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     def bound(batches):
         for b in batches:
             if len(b):
-                ok = np.minimum(read_vectors(b.column(3).to_pylist()), read_vectors(b.column(5).to_pylist())).sum(1) >= overlap_needed(b.column(2).to_numpy(), b.column(4).to_numpy(), percent)
+                raw, n = b.column(3).to_pylist() + b.column(5).to_pylist(), np.concatenate([b.column(2).to_numpy(), b.column(4).to_numpy()])
+                ok = within_reach(raw, n, np.arange(len(b)), np.arange(len(b)) + len(b), percent)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)

@@ -14,7 +14,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 #: Bytes of text worked on at once; hashing takes about 40 times as much memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -58,7 +58,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES // 2)
+        size = max(n, SLICE_BYTES + 1)
         out = []
         for base in (_BASE, _INVERSE):
             p = np.full(size, base, U64)

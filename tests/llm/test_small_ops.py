@@ -272,11 +272,13 @@ def test_near_duplicates_go(spark, texts):
 
 def test_tree_finds_every_pair_in_reach():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.choice(2**63, rng.integers(1, 60)).astype(np.uint64) * np.uint64(2)) for _ in range(30)]
-    sets += [np.unique(np.concatenate([s[1:], rng.choice(2**63, 1).astype(np.uint64)])) for s in sets]
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 60) * (1 + 20 * (i % 3))).astype(np.uint64) * np.uint64(2)) for i in range(30)]
+    sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 2**63, 1).astype(np.uint64)])) for s in sets]
     n, vec = np.array([len(s) for s in sets]), neardup.read_vectors([neardup.count_vector(s) for s in sets])
     a, b = neardup.tree_pairs(n, vec, np.arange(len(sets)), None, 85)
-    found = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    raw = [neardup.count_vector(s) for s in sets]
+    ok = neardup.within_reach(raw, n, a, b, 85)
+    found = {tuple(sorted(p)) for p in zip(a[ok].tolist(), b[ok].tolist())}
     for i in range(len(sets)):
         for j in range(i):
             shared = len(np.intersect1d(sets[i], sets[j]))
