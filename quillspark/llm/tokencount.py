@@ -65,6 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
 
     misses.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     known = cached(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    known = cut(known, "count-known")  # a table, so that the join can split the rows of a hot text
     return rows.join(known, "digest", "left").select(id_col, "n_bytes", "digest", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 
 

@@ -76,6 +76,7 @@ def template_tree(urls: DataFrame, max_depth: int = 6, max_children: int = 16, z
         differs = both & (F.abs(gap) >= z * spread)
         merged = F.when(F.col("children") == 1, False).when(F.col("children") > max_children, ~differs).otherwise(both & ~differs)
         child = child.join(node, ["host", "template"]).filter(merged).select("host", "template", "seg", F.lit("*").alias("to"))
+        child = cut(child, "url-merged")  # a table, so that the join can split the rows of a hot branch
         last = rows.filter(F.size("segs") < level)
         here = here.join(child, ["host", "template", "seg"], "left")
         here = here.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("to", "seg"))).select(*rows.columns)
