@@ -19,8 +19,8 @@ two levels of nodes:
   pairs that survive are verified on the whole sets.
 
 Copies that have been edited form large groups whose members all link.  Pairs are
-not listed for them: first each node's points are compared with its first point
-only, and the verified links give components; then the pairs of a node whose
+not listed for them: first each node's points are compared with its most central
+point only, and the verified links give components; then the pairs of a node whose
 components still differ are searched.  So every link is either verified or within a
 component, and no group is expanded into its pairs.  A node with many points is cut
 into blocks, and each pair of blocks is a unit of work of its own.
@@ -339,8 +339,13 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     # dealt by node once: the copies that several tasks have sent, the count and the join all keep that
     member = pts.select("cid", F.explode("nodes").alias("node")).repartition("node").dropDuplicates(["node", "cid"])
-    shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("first")).filter("m > 1")
+    shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = cut(member.join(shared, "node"), "dup-nodes")
+    # a node is compared with its most central member first: the one whose nodes hold most points, as the text
+    # that copies were edited from has its nodes in common with all of them, and a copy has some of its own
+    central = member.groupBy("cid").agg(F.sum("m").alias("weight"))
+    best = member.join(central, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
+    member = cut(member.join(best, "node"), "dup-stars")
     point = pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     point = cut(point, "dup-info")
     # each node's points against its first
