@@ -50,7 +50,7 @@ def label_sample(rows: DataFrame, label: str, sample: int, id_col: str = "doc_id
     known = rows.filter(F.col(label).isNotNull() & F.col(text_col).isNotNull())
     digest = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
     ids = known.select(digest.alias("at")).distinct().orderBy("at").limit(sample)  # bounded
-    return known.select(digest.alias("at"), F.col(text_col).alias("text"), F.col(label).alias("label")).join(F.broadcast(ids), "at", "left_semi").orderBy("at").limit(2 * sample).select("at", "text", "label")
+    return known.select(digest.alias("at"), F.col(text_col).alias("text"), F.col(label).alias("label")).join(F.broadcast(ids), "at", "left_semi").orderBy("at").limit(2 * sample).select("at", "text", "label").repartition(16)  # a sorted limit ends in one task
 
 
 class LanguageModel:

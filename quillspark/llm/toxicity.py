@@ -34,7 +34,7 @@ from .grams import buckets, code_stream
 from .langid import label_sample
 
 BITS, DIM, ORDERS, WINDOW = 17, 6, (3, 4, 5), 1
-SAMPLE = 5000
+SAMPLE = 4000
 THRESHOLD = 0.7
 #: Distinct words that the first pass of training sees at most: the most frequent, and all that lean to toxic.
 MOST_WORDS = 60_000
@@ -116,20 +116,21 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at), np.maximum.accumulate(np.array(share))
 
 
-def train(doc_words: list[list[str]], labels: list[int], epochs: int = 5, rounds: int = 4, rate: float = 0.2) -> ToxicityModel:
+def train(docs: list[np.ndarray], vocabulary: list[str], labels: list[int], epochs: int = 5, rounds: int = 4, rate: float = 0.2) -> ToxicityModel:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), (np.array([0.0]), np.array([0.0])))
     rng = np.random.default_rng(5)
-    number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in ws], np.int32) for ws in doc_words]
-    codes, off = code_stream(list(number), "alnum")
-    start, _, at, of = word_grams(codes.astype(np.uint32))
-    # the words are single, so word i of the stream is word i of the vocabulary
-    owner = np.searchsorted(off, start, "right") - 1
-    of = owner[of]
-    order = np.argsort(of, kind="stable")
-    at, size = at[order], np.bincount(of, minlength=len(number))
+    number, parts, size = vocabulary, [], np.zeros(len(vocabulary), np.int64)
+    for i in range(0, len(number), 20_000):
+        codes, off = code_stream(number[i : i + 20_000], "alnum")
+        start, _, at, of = word_grams(codes.astype(np.uint32))
+        # the words are single, so word i of the stream is word i of the vocabulary
+        of = np.searchsorted(off, start, "right")[of] - 1
+        parts.append(at[np.argsort(of, kind="stable")].astype(np.int32))
+        size[i : i + 20_000] = np.bincount(of, minlength=len(off) - 1)
+    at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del parts
     first = np.concatenate([[0], np.cumsum(size)])
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
@@ -139,7 +140,7 @@ def train(doc_words: list[list[str]], labels: list[int], epochs: int = 5, rounds
     W[:, 1] = rng.normal(0, 0.3, DIM)
     W[:, 0] = -W[:, 1]
     bias = np.zeros(2, np.float32)
-    E_sum, W_sum = np.zeros(E.shape), np.zeros(W.shape)
+    E_sum, W_sum = np.zeros(E.shape, np.float32), np.zeros(W.shape)
 
     def step(words: np.ndarray, toxic: np.ndarray, weight: np.ndarray, lr: float) -> None:
         nonlocal W, bias
@@ -162,12 +163,18 @@ def train(doc_words: list[list[str]], labels: list[int], epochs: int = 5, rounds
         bias -= 0.1 * lr * db
         for d in range(DIM):  # steps shrink with the gradients a bucket has seen
             dE = np.bincount(gram, weights=back[:, d], minlength=1 << BITS)
-            E_sum[:, d] += dE * dE
+            E_sum[:, d] += (dE * dE).astype(np.float32)
             E[:, d] -= lr * dE / np.sqrt(E_sum[:, d] + 1e-8)
 
     def word_scores() -> np.ndarray:
         table = E @ (W[:, 1] - W[:, 0])
-        return np.bincount(np.repeat(np.arange(len(size)), size), weights=table[at], minlength=len(size)) / np.maximum(size, 1) + bias[1] - bias[0]
+        total = np.zeros(len(size), np.float32)
+        some = np.flatnonzero(size)
+        for part in np.array_split(some, max(1, len(some) // 50_000)):
+            if len(part):
+                a, b = first[part[0]], first[part[-1] + 1]
+                total[part] = np.add.reduceat(table[at[a:b]], first[part] - a)
+        return total / np.maximum(size, 1) + bias[1] - bias[0]
 
     pos, neg = (np.bincount(np.concatenate([docs[i] for i in np.flatnonzero((y == v) & ~held)] or [np.zeros(0, np.int32)]), minlength=len(number)) for v in (1, 0))
     # first: a word's target is its share of toxic documents, drawn to the mean where it is rare
@@ -224,9 +231,17 @@ def fit(rows: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.string())), b.column(2).cast(pa.int64())], ["at", "words", "label"])
 
     got = label_sample(rows, label, sample, id_col, text_col).mapInArrow(make, "at long, words array<string>, label long").toArrow()
-    order = sorted(range(len(got)), key=lambda i, k=got.column(0).to_pylist(): k[i])
-    words, labels = got.column(1).to_pylist(), got.column(2).to_pylist()
-    return train([words[i] for i in order], [labels[i] for i in order])
+    # words as numbers into one vocabulary: no string for each of their places
+    words = got.column(1).combine_chunks()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+    coded = words.flatten().dictionary_encode()
+    index, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *words.value_lengths().to_pylist()])
+    labels, keys = got.column(2).to_pylist(), got.column(0).to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], ends[i + 1] - ends[i]))
+    vocabulary = coded.dictionary.to_pylist()
+    docs = [index[ends[i] : ends[i + 1]].astype(np.int32) for i in order]
+    del got, words, coded, index
+    return train(docs, vocabulary, [labels[i] for i in order])
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
