@@ -527,6 +527,15 @@ def unread_notes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.append(t, note).alias("markdown"), T.text_layer_is_thin(t, n).alias("thin"))
 
 
+@query("""SELECT doc_id, CASE WHEN n > 0 THEN regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || '---' || chr(10) || '> **Note:** this file has ' || n || CASE WHEN doc_id % 2 = 0 THEN ' page' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' with no text layer (looks scanned)' ELSE ' embedded image' || CASE WHEN n = 1 THEN '' ELSE 's' END END
+|| ' that were not read. Enable "Read text in images and scanned PDFs" in Settings to extract the text.' || chr(10) ELSE text END AS markdown, length(text) < n * 100 AND n > 0 AS thin FROM (SELECT *, doc_id % 4 AS n FROM documents)""")
+def unread_notes_whole(spark, sf_dir):
+    """As unread_notes, whose SQL takes the first 50 characters only, on whole texts."""
+    n, t = F.col("doc_id") % 4, F.col("text")
+    note = T.unread_note(n, F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".pptx"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.append(t, note).alias("markdown"), T.text_layer_is_thin(t, n).alias("thin"))
+
+
 @query(f"""WITH {RESULTS} SELECT doc_id, CASE WHEN c.doc_id2 IS NOT NULL THEN 'skipped' ELSE status END AS status FROM results LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM labels WHERE quality = 0) c ON doc_id = doc_id2""")
 def cancelled_files(spark, sf_dir):
     rows = results(spark, sf_dir).join(_files(spark, sf_dir), "doc_id")
