@@ -164,6 +164,12 @@ def redact_custom_terms(spark, sf_dir):
     return rows.select("doc_id", F.md5(R.redact_terms(F.col("text"), "the\n\n  of and ").cast("binary")).alias("digest"))
 
 
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bthe\b', '[REDACTED_TERM]', 'gi'), '\bof and\b', '[REDACTED_TERM]', 'gi')) AS digest FROM documents")
+def redact_custom_terms_all(spark, sf_dir):
+    """As redact_custom_terms, whose SQL takes English only, on documents of any language or none."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.redact_terms(F.col("text"), "the\n\n  of and ").cast("binary")).alias("digest"))
+
+
 # --- paths, names and joins --------------------------------------------------------------------
 
 PATHS = """paths AS (
