@@ -326,10 +326,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("x"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and class_id (equal sets) of each row."""
-    spark = docs.sparkSession
-    tune_arrow(spark)
+def _nodes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """(rows, points, classes, first, member): texts by id, the working tables, a document of each class, and the classes in shared nodes."""
+    tune_arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     heavy = heavy_groups(rows.select("body"), k)
     pts = cut(points(rows, k, percent, heavy), "dup-points")
@@ -340,14 +339,35 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     # dealt by node once: the copies that several tasks have sent, the count and the join all keep that
     member = pts.select("cid", F.explode("nodes").alias("node")).repartition("node").dropDuplicates(["node", "cid"])
     shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    member = cut(member.join(shared, "node"), "dup-nodes")
+    return rows, pts, classes, first, cut(member.join(shared, "node"), "dup-nodes")
+
+
+def _info(pts: DataFrame, member: DataFrame) -> DataFrame:
+    """(cid, n, counts), once for each class that stands in a shared node."""
+    point = pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    return cut(point, "dup-info")
+
+
+def _search(here: DataFrame, point: DataFrame, percent: int) -> DataFrame:
+    """(node, m, cid, comp) -> the distinct pairs of a node's classes of different ``comp`` whose bound allows a link."""
+    here = here.join(point, "cid")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    here = here.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = here.select("node", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "cid", "comp", "n", "counts")
+    units = units.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return cut(units.mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "dup-rest")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and class_id (equal sets) of each row."""
+    rows, pts, classes, first, member = _nodes(docs, k, percent, id_col, text_col)
     # a node is compared with its most central member first: the one whose nodes hold most points, as the text
     # that copies were edited from has its nodes in common with all of them, and a copy has some of its own
     central = member.groupBy("cid").agg(F.sum("m").alias("weight"))
     best = member.join(central, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
     member = cut(member.join(best, "node"), "dup-stars")
-    point = pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
-    point = cut(point, "dup-info")
+    point = _info(pts, member)
     # each node's points against its first
     star = member.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(point.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(point.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
@@ -366,13 +386,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     # the nodes' pairs of components that still differ
     here = member.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "first")
     mixed = here.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
-    here = here.join(mixed, "node", "left_semi").join(point, "cid")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    here = here.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = here.select("node", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "cid", "comp", "n", "counts")
-    units = units.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    rest = cut(units.mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "dup-rest")
+    rest = _search(here.join(mixed, "node", "left_semi"), point, percent)
     more = verified(rest, rows, first, k, percent)
     comp = components(links.union(more))
     named = classes.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -383,6 +397,23 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("cid").alias("class_id"))
 
 
+def near_duplicate_links(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, those inside components too: (id, class_id) of each row, class_id null without words, and (a, b), every pair of classes that link, once."""
+    rows, pts, _, first, member = _nodes(docs, k, percent, id_col, text_col)
+    pairs = _search(member.withColumn("comp", F.col("cid")), _info(pts, member), percent)
+    return pts.select(F.col("id").alias(id_col), F.col("cid").alias("class_id")), verified(pairs, rows, first, k, percent)
+
+
+def link_counts(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (the least id of a document with an equal set) and n_links (other classes that link to the row's) of each row."""
+    of_row, links = near_duplicate_links(docs, k, percent, id_col, text_col)
+    links = cut(links, "dup-links")
+    ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("n_links"))
+    classes = of_row.filter("class_id IS NOT NULL").groupBy(F.col("class_id").alias("cid")).agg(F.min(id_col).alias("least")).join(ends, "cid", "left")
+    out = of_row.join(classes, F.col("class_id") == F.col("cid"), "left")
+    return out.select(id_col, F.coalesce("least", id_col).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays: the one with the least id (and all rows that repeat this id in it)."""
     groups = near_duplicates(docs, k, percent)
@@ -394,6 +425,10 @@ def op7_jaccard_groups(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs_table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_link_counts(spark, sf_dir: str) -> DataFrame:
+    return link_counts(docs_table(spark, sf_dir))
+
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -414,3 +449,21 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON v = d.doc_id
 """
+
+OP7_LINKS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 3], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), classes AS (
+  SELECT doc_id, least(doc_id, min(b)) AS class_id FROM documents LEFT JOIN links ON a = doc_id AND same GROUP BY doc_id
+), counts AS (
+  SELECT a, count(DISTINCT class_id) AS n_links FROM links JOIN classes ON doc_id = b WHERE NOT same GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM classes LEFT JOIN counts ON a = doc_id
+"""

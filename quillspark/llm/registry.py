@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_syncmer_fingerprints": fingerprint.op6_syncmer_fingerprints,
         "op7_jaccard_groups": neardup.op7_jaccard_groups,
+        "op7_link_counts": neardup.op7_link_counts,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_token_counts": tokencount.op9_token_counts,
         "op10_token_files": tokenfiles.op10_token_files,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": mixing.OP4_SQL,
         "op7_jaccard_groups": neardup.OP7_SQL,
+        "op7_link_counts": neardup.OP7_LINKS_SQL,
         "op8_decontaminate": decontam.OP8_SQL,
     }

@@ -261,6 +261,33 @@ def test_jaccard_groups(spark, texts, k, percent, block, monkeypatch):
     assert got == jaccard_groups(rows, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 1024), (2, 40, 16)])
+def test_links_inside_components_are_found(spark, texts, k, percent, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    words = " ".join(f"w{i}" for i in range(60)).split()
+    rows = [r for r in texts if r[0] != 5 or r[1] == texts[5][1]] + [(300 + i, " ".join([*words[:-1], f"x{i}"])) for i in range(3)]  # all three link
+
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset()
+
+    of = [sets(t) for _, t in rows]
+    ids = defaultdict(list)
+    for (d, _), s in zip(rows, of):
+        ids[s].append(d)
+    least = {s: min((d for d in v if d is not None), default=None) for s, v in ids.items()}
+    links = Counter()
+    for s in least:
+        for o in least:
+            shared = len(s & o)
+            links[s] += bool(s and o and s != o and 100 * shared >= percent * (len(s) + len(o) - shared))
+    got = Counter(tuple(r) for r in neardup.link_counts(documents(spark, rows), k, percent).collect())
+    assert got == Counter((d, least[s] if s else d, links[s]) for (d, _), s in zip(rows, of))
+    assert all(links[of[-1 - i]] == 2 for i in range(3))
+    assert neardup.near_duplicate_links(documents(spark, rows), k, percent)[1].count() * 2 == sum(links.values())
+
+
 def test_near_duplicates_go(spark, texts):
     rows = [r for r in texts if r[0] is not None]
     left = neardup.without_near_duplicates(documents(spark, rows))
