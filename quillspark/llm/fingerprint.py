@@ -13,7 +13,7 @@ one pair for each partition, are finished afterwards.
 
 Defined cases: null counts as empty; an empty text has the empty fingerprint, which
 is like itself (1.0) and unlike all others (0.0); a text shorter than ``K`` is one
-anchor; ids that repeat are ordered by their texts, null ids come last; a single row
+anchor, and so is any other that has none (which only texts of up to 22 code points can); ids that repeat are ordered by their texts, null ids come last; a single row
 follows itself; an empty table gives an empty result.
 """
 
@@ -39,6 +39,14 @@ _SHIFTS = np.array([24, 18, 12, 6, 0])
 _A = [U64(pow(0xD1342543DE82EF95, 1 << i, 1 << 64)) for i in range(4)]
 
 
+def _whole(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text of at least one code point as one anchor."""
+    h = np.array([len(codes)], U64)
+    for x in mix(codes.astype(U64)):
+        h = mix(h + x)
+    return np.zeros(1, np.int64), h
+
+
 def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (code points) and 64-bit hashes of a text's closed syncmers."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -46,10 +54,7 @@ def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if n < K:
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.array([n], U64)
-        for x in mix(codes.astype(U64)):
-            h = mix(h + x)
-        return np.zeros(1, np.int64), h
+        return _whole(codes)
     h = mix(codes.astype(U64) + U64(1))
     for i, a in enumerate(_A[:3]):  # 2, 4, 8 code points
         h = h[: -(1 << i)] * a + h[1 << i :]
@@ -62,9 +67,15 @@ def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at] * _A[3] + h[at + S])
 
 
+def anchors_or_whole(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``anchors``; a text that isn't empty and has none is one anchor itself."""
+    at, h = anchors(text)
+    return _whole(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)) if text and not len(at) else (at, h)
+
+
 def sketch(text: str | None) -> np.ndarray:
     """The smallest distinct anchor hashes, as 30-bit numbers in order."""
-    return np.unique(anchors(text)[1] >> U64(34))[:SKETCH].astype(np.int64)
+    return np.unique(anchors_or_whole(text)[1] >> U64(34))[:SKETCH].astype(np.int64)
 
 
 def write_sketch(values: np.ndarray) -> str:
@@ -158,7 +169,7 @@ def document_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def spans(batches):
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, h = anchors(text)
+                at, h = anchors_or_whole(text)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "position", "hash"])
 
     return rows.mapInArrow(spans, "doc_id long, position long, hash long")

@@ -185,6 +185,22 @@ def test_fingerprints(spark, texts):
     assert fingerprint.document_anchors(documents(spark, [(1, text), (2, None)])).count() == len(naive_anchors(text))
 
 
+def test_short_texts_have_fingerprints(spark):
+    rng = random.Random(6)
+    for n in range(1, 30):
+        made = ["".join(rng.choice("abcdefghé ") for _ in range(n)) for _ in range(60)]
+        sketches = {t: fingerprint.sketch(t) for t in made}
+        assert all(len(s) for s in sketches.values())
+        whole = [t for t in sketches if not len(fingerprint.anchors(t)[0])]
+        assert bool(whole) <= (16 <= n <= 22)
+        assert all(fingerprint.likeness(sketches[a], sketches[b]) == (a == b) for a in whole for b in whole)
+        assert all(fingerprint.likeness(sketches[t], fingerprint.sketch("")) == 0.0 for t in made)
+    rows = [(2, "Ente erkeitung chst."), (1, None)]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
+    assert got[2].fingerprint and got[2].near_next == 0.0 and not got[1].fingerprint
+    assert fingerprint.document_anchors(documents(spark, rows)).count() == 1
+
+
 # --- decontamination
 
 
