@@ -543,6 +543,21 @@ def ocr_reading_order(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", B.read_boxes(boxes).alias("text"))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents),
+r AS (SELECT doc_id, string_agg(word, chr(10) ORDER BY (i * 7919 + doc_id) % 1009, i) AS t FROM w WHERE (i * 31 + doc_id) % 10 >= 3 AND trim(word, ' ') <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(trim(t, ' ')) >= 3 THEN t ELSE '' END AS text FROM documents LEFT JOIN r USING (doc_id)""")
+def ocr_reading_order_words(spark, sf_dir):
+    """As ocr_reading_order, whose SQL knows one line, with a box for each word of the whole text."""
+
+    def box(word, i):
+        y = ((i * 7919 + F.col("doc_id")) % 1009).cast("double")
+        corners = F.array(F.array(F.lit(0.0), y + 5.0), F.array(F.lit(9.0), y))
+        return F.struct(corners.alias("box"), word.alias("text"), ((i * 31 + F.col("doc_id")) % 10 / F.lit(6.0)).alias("score"))
+
+    boxes = F.transform(F.split("text", " ", -1), box)
+    return table(spark, sf_dir, "documents").select("doc_id", B.read_boxes(boxes).alias("text"))
+
+
 @query("""SELECT doc_id, CASE WHEN n > 0 THEN regexp_replace(left(text, 50), '\\s+$', '') || chr(10) || chr(10) || '---' || chr(10) || '> **Note:** this file has ' || n || CASE WHEN doc_id % 2 = 0 THEN ' page' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' with no text layer (looks scanned)' ELSE ' embedded image' || CASE WHEN n = 1 THEN '' ELSE 's' END END
 || ' that were not read. Enable "Read text in images and scanned PDFs" in Settings to extract the text.' || chr(10) ELSE left(text, 50) END AS markdown, length(left(text, 50)) < n * 100 AND n > 0 AS thin FROM (SELECT *, doc_id % 4 AS n FROM documents)""")
 def unread_notes(spark, sf_dir):
