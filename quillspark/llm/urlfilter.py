@@ -15,7 +15,8 @@ rejected when its smoothed share of blocked URLs reaches ``purity``; shares are
 to the same template over all hosts, and that to the share over all URLs.
 
 Statistics count distinct (host, path), so repeated URLs weigh once and a hot URL is
-one row.  Paths deeper than ``max_depth`` share a last segment ``**``.
+one row.  Below ``max_depth`` a branch goes on as long as it has labelled URLs; where it
+has none, there is nothing to tell apart, and its paths share a last segment ``**``.
 
 Defined cases: a null URL, or one without ``://``, has the empty host and path and
 is judged like any other (no rule fits it unless one has an empty host); repeated
@@ -60,12 +61,18 @@ def template_tree(urls: DataFrame, max_depth: int = 6, max_children: int = 16, z
     """(host, path, blocked) of distinct URLs, blocked null where unlabelled -> with look (by looks alone) and template added."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     shown = F.transform(segments, looks)
-    shown = F.when(F.size(shown) > max_depth, F.concat(F.slice(shown, 1, max_depth), F.array(F.lit("**")))).otherwise(shown)
     rows = urls.withColumn("segs", shown).withColumn("look", F.array_join("segs", "/")).withColumn("template", F.lit(""))
     rows = cut(rows, "url-tree")
-    depth = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(1, depth + 1):
-        here = rows.filter(F.size("segs") >= level).withColumn("seg", F.element_at("segs", level))
+    depth, level = rows.agg(F.max(F.size("segs"))).first()[0] or 0, 0
+    while level < depth:
+        level += 1
+        here, last = rows.filter(F.size("segs") >= level), rows.filter(F.size("segs") < level)
+        if level > max_depth:
+            bare = cut(here.groupBy("host", "template").agg(F.count("blocked").alias("n")).filter("n = 0").select("host", "template"), "url-bare")
+            ended = here.join(bare, ["host", "template"], "left_semi").withColumn("template", F.concat("template", F.lit("/**")))
+            last = last.unionByName(ended.withColumn("segs", F.slice("segs", 1, level - 1)))
+            here = here.join(bare, ["host", "template"], "left_anti")
+        here = here.withColumn("seg", F.element_at("segs", level))
         child = here.groupBy("host", "template", "seg").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"))
         node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"), F.count(F.lit(1)).alias("children"))
         rest, rest_b = F.col("nn") - F.col("n"), F.col("bb") - F.col("b")
@@ -77,10 +84,11 @@ def template_tree(urls: DataFrame, max_depth: int = 6, max_children: int = 16, z
         merged = F.when(F.col("children") == 1, False).when(F.col("children") > max_children, ~differs).otherwise(both & ~differs)
         child = child.join(node, ["host", "template"]).filter(merged).select("host", "template", "seg", F.lit("*").alias("to"))
         child = cut(child, "url-merged")  # a table, so that the join can split the rows of a hot branch
-        last = rows.filter(F.size("segs") < level)
         here = here.join(child, ["host", "template", "seg"], "left")
         here = here.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("to", "seg"))).select(*rows.columns)
         rows = cut(here.unionByName(last), "url-tree")
+        if level >= max_depth:  # branches may have ended
+            depth = rows.agg(F.max(F.size("segs"))).first()[0] or 0
     return rows.drop("segs")
 
 

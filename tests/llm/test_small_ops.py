@@ -151,6 +151,14 @@ def test_similar_branches_merge(spark):
     assert got["/bad/pa"].startswith("/bad/") and got["/bad/pa"] == got["/bad/pb"]
 
 
+def test_urls_that_differ_deep_down(spark):
+    rows = [(f"http://a.example.net/1/2/3/4/5/6/7/{'bad' if i % 2 else 'good'}/{i}", i % 2) for i in range(40)]
+    urls = spark.createDataFrame([("a.example.net", u.split("net", 1)[1], b) for u, b in rows], "host string, path string, blocked int")
+    got = urlfilter.template_purity(urlfilter.template_tree(urls)).collect()
+    assert {r.template.split("/")[8] for r in got} == {"bad", "good"}
+    assert all((r.purity >= 0.5) == bool(r.blocked) for r in got)
+
+
 # --- fingerprints
 
 
