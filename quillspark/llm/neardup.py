@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_table, sized, tune_arrow
+from .common import cut, docs_table, sized, temp_name, tune_arrow
 from .vector import NOT_SPACE, U64, doc_bytes, shingle_sets, slices, word_hashes
 
 K, PERCENT = 4, 85
@@ -415,10 +415,14 @@ def link_counts(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays: the one with the least id (and all rows that repeat this id in it)."""
-    groups = near_duplicates(docs, k, percent)
-    gone = cut(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dup-gone")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: the one with the least id, null ids last.  Rows are told apart by a key of their own, as ids may repeat or be null."""
+    key, = temp_name(docs, "row")
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "dup-rows")
+    groups = near_duplicates(rows, k, percent, id_col=key).select(key, F.col("component_id").alias("group"))
+    groups = cut(groups.join(rows.select(key, F.col("doc_id").alias("id")), key), "dup-groups")
+    stays = groups.groupBy("group").agg(F.min(F.struct(F.isnull("id"), "id", key))[key].alias("kept"))
+    gone = cut(groups.join(stays, "group").filter(F.col(key) != F.col("kept")).select(key), "dup-gone")
+    return rows.join(sized(gone), key, "left_anti").select(*docs.columns)
 
 
 def op7_jaccard_groups(spark, sf_dir: str) -> DataFrame:

@@ -321,6 +321,13 @@ def test_near_duplicates_go(spark, texts):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, long), (None, long), (7, other), (7, other), (8, other), (9, "a b c d e f"), (10, "a b c d e f"), (10, "alone in the table with this text")]
+    left = neardup.without_near_duplicates(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(None, long), (7, other), (9, "a b c d e f"), (10, "alone in the table with this text")])
+
+
 def test_tree_finds_every_pair_in_reach():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 60) * (1 + 20 * (i % 3))).astype(np.uint64) * np.uint64(2)) for i in range(30)]
