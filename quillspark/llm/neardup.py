@@ -6,30 +6,38 @@ one of each class goes on.
 
 Shingles are hashed into groups and a set is the point of its group counts; the sum
 of the coordinates' minima bounds the overlap of two sets from above.  The tree has
-two levels of nodes:
-
-* At the root the groups are fine (one for each 64-bit hash) and so the points
-  sparse.  If two points share no group among a set's first ``n - ceil(percent * n)
-  + 1`` groups, in an order common to all, their summed minima stay below the overlap
-  that a link needs; so a point stands in the nodes of these groups only.  The
-  order has groups that many documents share last, so that boilerplate doesn't
-  bring strangers together.
+three levels, with finer groups from one to the next where points are left to tell apart:
+
+* At the root the groups are as fine as can be (one for each 64-bit hash), and so the
+  points sparse.  If two points share no group among a set's first ``n - ceil(percent *
+  n) + 1`` groups, in an order common to all, their summed minima stay below the overlap
+  that a link needs; so a point stands in the nodes of these groups only.  The order has
+  groups that many documents share last, so that boilerplate doesn't bring strangers
+  together.  Nodes that hold the same points are one.
 * In a node the points are counts over coarse groups (32, for large sets so many more
-  that eight shingles fall into one), packed into leaves by size.  A leaf's box (greatest counts) and then each point bounds the overlap;
-  pairs that survive are verified on the whole sets.
-
-Copies that have been edited form large groups whose members all link.  Pairs are
-not listed for them: first each node's points are compared with its most central
-point only, and the verified links give components; then the pairs of a node whose
-components still differ are searched.  So every link is either verified or within a
-component, and no group is expanded into its pairs.  A node with many points is cut
-into blocks, and each pair of blocks is a unit of work of its own.
+  that eight shingles fall into one), packed into leaves by size.  A leaf's box
+  (greatest counts) and then each point bounds the overlap.  The points that these
+  bounds connect are a *spot*, named by its members: the same spot found in many nodes
+  is one, so what goes on grows with the documents and not with their pairs.
+* In a spot the counts are over 2**32 groups, which bounds the overlap almost exactly.
+
+Copies that have been edited form large spots whose members mostly link.  Pairs are
+not listed for them: each spot's points are first compared with its most central one
+only, and the verified links give components; only pairs of components that still
+differ are bounded by the finest counts, and those that survive are verified on whole
+sets.  So every link is either verified or within a component, and no group is
+expanded into its pairs.  A node or spot of many points is cut into blocks: a node
+of more than ``BLOCK`` is a spot as it is, and in a spot the blocks of points outside
+its largest component meet all blocks, those of the largest component only the others.
+Their number is what the work of a spot grows with, beyond its size: nothing is listed
+for it, but each such point is bounded against each of the spot's.
 
 Components are found by alternating star contractions; links never leave the cluster.
 
 Defined cases: a null or wordless text has no shingles and is alone; repeated rows are
 members of one class; a null id takes part and never names a group unless all of the
-group's ids are null; an empty table gives an empty result.
+group's ids are null; rows of one id with different texts are judged each by its own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,15 +55,15 @@ from .vector import NOT_SPACE, U64, doc_bytes, shingle_sets, slices, word_hashes
 K, PERCENT = 4, 85
 #: Leading bits of a shingle's hash that name its group: at least, and at most for large sets.
 COARSE_BITS, MOST_BITS = 5, 12
-BLOCK = 1024
+#: Points of a node or spot that one task holds, about, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 LEAF = 32
-NO_ID = -(1 << 63)
 #: Groups that count as shared by many, for the order only: any choice gives the same links.
 MOST_HEAVY, HEAVY_FROM, CHUNK = 200_000, 5, 1_500_000
 #: Classes that a task remembers as sent; beyond that it starts anew, and some are sent twice.
 MOST_SEEN = 1_000_000
-#: Sets that one task verifies against the same other set, about.
-STAR = 4096
+#: Sets that one task verifies against the same other set, and points of a node that one task deals out, about.
+STAR, DEALT = 4096, 2000
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int):
@@ -152,47 +160,56 @@ def _common(sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def points(rows: DataFrame, k: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, body) -> id, n and cid (class) of each row; counts and root nodes once for each class and task, so copies are not sent on."""
+    """(id, body) -> id, n and cid (class) of each row; counts and root nodes once for each class and task, so copies are not sent on.
+
+    A node that many share is dealt in parts (``dealt``), so that none of its tasks holds all of them.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(heavy)  # at most MOST_HEAVY numbers
 
     def make(batches):
         h, n_of = sent.value
         seen: set[int] = set()  # classes whose point this task has sent
         for b in batches:
-            n, cid, vec, nodes = [], [], [], []
+            n, cid, vec, nodes, dealt = [], [], [], [], []
             for s in _sets(b, 1, k):
                 n.append(len(s))
                 cid.append(class_id(s) if len(s) else None)
                 if not len(s) or cid[-1] in seen:
                     vec.append(None)
                     nodes.append(s[:0].view(np.int64))
+                    dealt.append(np.zeros(0, np.int32))
                     continue
                 if len(seen) > MOST_SEEN:
                     seen.clear()
                 seen.add(cid[-1])
                 vec.append(count_vector(s))
                 p = len(s) - int(needed(len(s), percent)) + 1
+                common = np.zeros(len(s), np.int64)
                 if len(h):
                     where = np.minimum(np.searchsorted(h, s), len(h) - 1)
                     common = np.where(h[where] == s, n_of[where], 0)
-                    s = s[np.argsort(common, kind="stable")]
+                    order = np.argsort(common, kind="stable")
+                    s, common = s[order], common[order]
                 nodes.append(s[:p].view(np.int64))
+                dealt.append((1 + common[:p] // DEALT).astype(np.int32))
             flat = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "n", "cid", "counts", "nodes"])
+            parts = np.concatenate(dealt) if dealt else np.zeros(0, np.int32)
+            off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(off, pa.array(flat)), pa.ListArray.from_arrays(off, pa.array(parts))], ["id", "n", "cid", "counts", "nodes", "dealt"]
+            )
 
-    return rows.mapInArrow(make, "id long, n long, cid long, counts binary, nodes array<long>")
+    return rows.mapInArrow(make, "id long, n long, cid long, counts binary, nodes array<long>, dealt array<int>")
 
 
-def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of a node (indices) of different components whose bound allows a link; with ``side``, only across sides.
+def tree_pairs(n: np.ndarray, vec: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of a node (indices) whose bound allows a link.
 
     Points are packed by size into leaves; a leaf is passed over when no size in it can
     fit, or when the summed minima with its greatest counts stay below what is needed.
     """
     order = np.argsort(n, kind="stable")
-    n, vec, comp = n[order], vec[order], comp[order]
-    side = side[order] if side is not None else None
+    n, vec = n[order], vec[order]
     m = len(n)
     starts = np.arange(0, m, LEAF)
     top = np.maximum.reduceat(vec, starts, 0)
@@ -207,11 +224,9 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarra
         for other in reach[box]:
             s2, e2 = starts[other], min(starts[other] + LEAF, m)
             bound = np.minimum(vec[s:e, None, :], vec[None, s2:e2, :]).sum(2)
-            ok = (bound >= overlap_needed(n[s:e, None], n[None, s2:e2], percent)) & (comp[s:e, None] != comp[None, s2:e2])
+            ok = bound >= overlap_needed(n[s:e, None], n[None, s2:e2], percent)
             if other == leaf:
                 ok &= np.tri(e - s, e2 - s2, -1, bool).T
-            if side is not None:
-                ok &= side[s:e, None] != side[None, s2:e2]
             i, j = np.nonzero(ok)
             left.append(order[s + i])
             right.append(order[s2 + j])
@@ -219,71 +234,195 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _node_pairs(percent: int):
-    """Rows of units, in order (node, i, j, block, cid, comp, n, counts) -> pairs (a, b) with a < b."""
+def whole_units(batches, keys: list[str]):
+    """Record batches in order of ``keys`` -> tables that end where a unit ends.  A unit is bounded by how it was dealt."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(c).to_numpy() for c in keys], 1)
+        change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        if len(change):
+            yield held.slice(0, int(change[-1]))
+            held = held.slice(int(change[-1]))
+    if held is not None and len(held):
+        yield held
+
+
+def unit_ranges(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each unit of a table that is in order of ``keys``."""
+    key = np.stack([t.column(c).to_numpy() for c in keys], 1)
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    return start, np.append(start[1:], len(key))
+
+
+def _near_groups(percent: int):
+    """Nodes, in order (node, cid, n, counts) -> (spot, cid): the groups of a node's points that the tree's bounds connect.
+
+    A group is named by a hash of its members, so the same group found in many nodes is one.
+    """
 
     def search(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = np.stack([held.column(c).to_numpy() for c in ("node", "i", "j")], 1)
-            if not len(key):
-                continue
-            change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            if not len(change):
-                continue  # the unit goes on; it has 2 * BLOCK rows or so at most
-            yield _pairs_of(held.slice(0, int(change[-1])), percent)
-            held = held.slice(int(change[-1]))
-        if held is not None and len(held):
-            yield _pairs_of(held, percent)
+        for t in whole_units(batches, ["node"]):
+            cid, n, raw = t.column("cid").to_numpy(), t.column("n").to_numpy(), t.column("counts").to_pylist()
+            vec = read_vectors(raw)
+            start, end = unit_ranges(t, ["node"])
+            two = end - start == 2
+            a, b = start[two], start[two] + 1  # most nodes hold two points
+            ok = np.minimum(vec[a], vec[b]).sum(1) >= overlap_needed(n[a], n[b], percent)
+            left, right = [a[ok]], [b[ok]]
+            for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist()):
+                x, y = tree_pairs(n[s:e], vec[s:e], percent)
+                left.append(x + s)
+                right.append(y + s)
+            a, b = np.concatenate(left), np.concatenate(right)
+            ok = within_reach(raw, n, a, b, percent)
+            a, b = a[ok], b[ok]
+            # the least point that is connected to each: pairs never leave their node
+            least = np.arange(len(cid))
+            while len(a):
+                low = np.minimum(least[a], least[b])
+                before = least.copy()
+                np.minimum.at(least, a, low)
+                np.minimum.at(least, b, low)
+                least = least[least]
+                if (before == least).all():
+                    break
+            row = np.unique(np.concatenate([a, b]))
+            row = row[np.lexsort((cid[row], least[row]))]
+            cut_ = np.flatnonzero(np.append(True, least[row][1:] != least[row][:-1])) if len(row) else row
+            spots, members = [], cid[row]
+            for s, e in zip(cut_.tolist(), [*cut_[1:].tolist(), len(row)]):
+                spots += [class_id(members[s:e].astype(U64))] * (e - s)
+            yield pa.RecordBatch.from_arrays([pa.array(spots, pa.int64()), pa.array(members)], ["spot", "cid"])
 
     return search
 
 
-def _pairs_of(t: pa.Table, percent: int) -> pa.RecordBatch:
-    node, i, j, block, cid, comp, n = (t.column(c).to_numpy() for c in ("node", "i", "j", "block", "cid", "comp", "n"))
-    raw = t.column("counts").to_pylist()
-    vec = read_vectors(raw)
-    start = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-    end = np.append(start[1:], len(node))
-    two = end - start == 2
-    a, b = start[two], start[two] + 1  # most nodes hold two points
-    ok = (comp[a] != comp[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (np.minimum(vec[a], vec[b]).sum(1) >= overlap_needed(n[a], n[b], percent))
-    left, right = [a[ok]], [b[ok]]
-    for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist()):
-        x, y = tree_pairs(n[s:e], vec[s:e], comp[s:e], None if i[s] == j[s] else block[s:e], percent)
-        left.append(x + s)
-        right.append(y + s)
-    a, b = np.concatenate(left), np.concatenate(right)
-    ok = within_reach(raw, n, a, b, percent)
-    a, b = cid[a[ok]], cid[b[ok]]
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-
-def verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link.  pairs: a working table; rows: (id, body); first: (cid, id), a document of each class.
-
-    Sets are made anew from the texts of the classes that occur, and go where their
-    pairs are: each ``b`` to its ``a``, whose own set goes there once.  An ``a`` with
-    many pairs is split.
-    """
-    tune_arrow(pairs.sparkSession)
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
-    salted = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    own = many.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    roles = cut(own.union(salted.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("role"))), "dup-roles")
-    ids = cut(roles.select("cid").distinct().join(first, "cid").select("id").distinct(), "dup-ids")
-    texts = rows.join(sized(ids), "id", "left_semi")
+def fine_counts(s: np.ndarray) -> bytes:
+    """The counts over 2**32 groups: the group of each shingle, in order."""
+    return (s >> U64(32)).astype("<u4").tobytes()
+
+
+def overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """The summed minima of the counts of each two points, from their groups in order."""
+    m = len(lists)
+    of = np.repeat(np.arange(m), [len(x) for x in lists])
+    value = np.concatenate(lists).astype(np.int64)
+    # the i-th time that a point has a group counts as a group of its own: so minima become common groups
+    place = np.arange(len(value))
+    new = np.append(True, (value[1:] != value[:-1]) | (of[1:] != of[:-1]))[: len(value)]
+    again = place - np.maximum.accumulate(np.where(new, place, 0))
+    group, number, times = np.unique(value | (again << 32), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[number]
+    of, at = of[keep], column[number[keep]]
+    out = np.zeros((m, m), np.float32)
+    width = max(1, 4_000_000 // m)
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    for c in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(at, [c, c + width])
+        x = np.zeros((m, min(width, int(shared.sum()) - c)), np.float32)
+        x[of[lo:hi], at[lo:hi] - c] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _fine_pairs(percent: int):
+    """Units, in order (spot, i, j, side, cid, comp, n, fine) -> pairs (a, b), a < b, of different components whose finest counts allow a link."""
 
-    def make(batches):
-        for b in batches:
-            made = list(_sets(b, 0, k))
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["cid", "set"])
+    def search(batches):
+        for t in whole_units(batches, ["spot", "i", "j"]):
+            i, j, side, cid, comp, n = (t.column(c).to_numpy() for c in ("i", "j", "side", "cid", "comp", "n"))
+            raw = t.column("fine").to_pylist()
+            left, right = [], []
+            for s, e in zip(*(x.tolist() for x in unit_ranges(t, ["spot", "i", "j"]))):
+                have = overlaps([np.frombuffer(r, "<u4") for r in raw[s:e]])
+                ok = have >= overlap_needed(n[s:e, None], n[None, s:e], percent)
+                ok &= comp[s:e, None] != comp[None, s:e]
+                if i[s] != j[s]:
+                    ok &= side[s:e, None] != side[None, s:e]
+                x, y = np.nonzero(np.triu(ok, 1))
+                left.append(cid[s + x])
+                right.append(cid[s + y])
+            a, b = np.concatenate(left), np.concatenate(right)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return search
+
+
+def _beside(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """(a, part, role, cid, info's columns): each ``b`` of pairs (a, b) beside its ``a``, whose own row comes first (role 0).  An ``a`` with many pairs is split."""
+    many = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > STAR).select("a", F.ceil(F.col("n") / STAR).cast("int").alias("parts")), "dup-many")
+    salted = pairs.join(sized(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    own = salted.select("a", "part").distinct().select(F.col("a").alias("cid"), "a", "part", F.lit(0).alias("role"))
+    roles = own.union(salted.select(F.col("b").alias("cid"), "a", "part", F.lit(1).alias("role")))
+    rows = info.join(roles, "cid").select("a", "part", "role", *info.columns)
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
-    sets = texts.select("body").mapInArrow(make, "cid long, set binary").join(sized(roles), "cid").select("a", "part", "role", "cid", "set")
-    sets = sets.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+
+def in_reach(pairs: DataFrame, point: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts allow a link.  point: (cid, n, counts)."""
+
+    def bound(batches):
+        centre = None
+        for b in batches:
+            a, role, cid, n, raw = (b.column(c).to_pylist() for c in ("a", "role", "cid", "n", "counts"))
+            if centre is not None:  # the pairs of an ``a`` may go on in the next batch
+                a, role, cid, n, raw = ([x, *y] for x, y in zip(centre, (a, role, cid, n, raw)))
+            if not a:
+                continue
+            of = np.maximum.accumulate(np.where(np.array(role) == 0, np.arange(len(a)), 0))
+            here = np.flatnonzero(np.array(role) == 1)
+            ok = here[within_reach(raw, np.array(n, np.int64), of[here], here, percent)]
+            k = int(of[-1])
+            centre = (a[k], 0, cid[k], n[k], raw[k])
+            yield pa.RecordBatch.from_arrays([pa.array([a[x] for x in ok], pa.int64()), pa.array([cid[x] for x in ok], pa.int64())], ["a", "b"])
+
+    return _beside(pairs, point.select("cid", "n", "counts")).mapInArrow(bound, "a long, b long")
+
+
+class Texts:
+    """Looks the sets of classes up again: rows (id, body), and first (cid, id), the id of a document of each class."""
+
+    def __init__(self, rows: DataFrame, first: DataFrame, k: int):
+        self.rows, self.first, self.k = rows, first, k
+
+    def made(self, classes: DataFrame, name: str, make) -> DataFrame:
+        """(cid, n, name): make(set) of each class in ``classes`` (cid); of copies within a task only one is sent."""
+        k, ids = self.k, self.first.join(classes.select("cid").distinct(), "cid", "left_semi").select(F.col("id").alias("id_")).distinct()
+        ids = sized(cut(ids, "dup-ids"))
+        texts = self.rows.join(ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+
+        def run(batches):
+            seen: set[int] = set()
+            for b in batches:
+                cid, n, out = [], [], []
+                for s in _sets(b, 0, k):
+                    c = class_id(s) if len(s) else None
+                    if c is None or c in seen:
+                        continue
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    cid.append(c)
+                    n.append(len(s))
+                    out.append(make(s))
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["cid", "n", name])
+
+        return texts.select("body").mapInArrow(run, f"cid long, n long, {name} binary")
+
+
+def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes, a working table, that link: decided on whole sets, which are made anew from the texts."""
+    tune_arrow(pairs.sparkSession)
+    used = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
+    sets = texts.made(used, "set", lambda s: s.tobytes())
 
     def check(batches):
         centre = own_set = None
@@ -304,11 +443,11 @@ def verified(pairs: DataFrame, rows: DataFrame, first: DataFrame, k: int, percen
                     right.append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return sets.mapInArrow(check, "a long, b long").distinct()
+    return _beside(pairs, sets.select("cid", "set")).mapInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, root): the least vertex of each vertex's component, for vertices with a link, by alternating large and small stars."""
+    """(x, root): the least vertex of each vertex's component, for vertices with a link, by alternating large and small stars."""
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dup-edges")
     seen = None
     while True:
@@ -326,82 +465,97 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("x"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
 
 
-def _nodes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
-    """(rows, points, classes, first, member): texts by id, the working tables, a document of each class, and the classes in shared nodes."""
-    tune_arrow(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    heavy = heavy_groups(rows.select("body"), k)
-    pts = cut(points(rows, k, percent, heavy), "dup-points")
-    classes = cut(pts.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("least")), "dup-classes")
-    # for looking texts up, a null id is a number that stands for all of them
-    first = classes.select("cid", F.coalesce("least", F.lit(NO_ID)).alias("id"))
-    rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    # dealt by node once: the copies that several tasks have sent, the count and the join all keep that
-    member = pts.select("cid", F.explode("nodes").alias("node")).repartition("node").dropDuplicates(["node", "cid"])
-    shared = member.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return rows, pts, classes, first, cut(member.join(shared, "node"), "dup-nodes")
-
-
-def _info(pts: DataFrame, member: DataFrame) -> DataFrame:
-    """(cid, n, counts), once for each class that stands in a shared node."""
-    point = pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
-    return cut(point, "dup-info")
+class Tree:
+    """The points of all rows, and the groups of points (spots) within which links can lie.
 
+    pts: (id, n, cid, ..) of each row; classes: (cid, least id); spots: (spot, cid, m).
+    """
 
-def _search(here: DataFrame, point: DataFrame, percent: int) -> DataFrame:
-    """(node, m, cid, comp) -> the distinct pairs of a node's classes of different ``comp`` whose bound allows a link."""
-    here = here.join(point, "cid")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    here = here.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    here = here.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = here.select("node", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "cid", "comp", "n", "counts")
-    units = units.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return cut(units.mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "dup-rest")
+    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+        tune_arrow(docs.sparkSession)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+        self.percent = percent
+        self.pts = cut(points(rows, k, percent, heavy_groups(rows.select("body"), k)), "dup-points")
+        self.classes = cut(self.pts.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("least")), "dup-classes")
+        self.texts = Texts(rows, self.classes.select("cid", F.col("least").alias("id")), k)
+        member = cut(self._members(), "dup-nodes")
+        point = self.pts.filter("counts IS NOT NULL").select("cid", "n", "counts").join(member.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+        self.point = cut(point, "dup-info")
+        # a node of many points isn't searched for groups: it is one
+        found = member.filter(F.col("m") <= BLOCK).join(self.point, "cid").select("node", "cid", "n", "counts")
+        found = found.repartition("node").sortWithinPartitions("node").mapInArrow(_near_groups(percent), "spot long, cid long").distinct()
+        spots = cut(found.union(member.filter(F.col("m") > BLOCK).select("node", "cid")), "dup-groups")
+        self.spots = cut(spots.join(spots.groupBy("spot").agg(F.count(F.lit(1)).alias("m")), "spot"), "dup-spots")
+
+    def _members(self) -> DataFrame:
+        """(node, cid, m) of the root's nodes that hold several classes; of nodes that hold the same classes, one."""
+        each = self.pts.select("cid", F.explode(F.arrays_zip("nodes", "dealt")).alias("x")).select("cid", F.col("x.nodes").alias("node"), F.col("x.dealt").alias("parts"))
+        each = each.select("cid", "node", "parts", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
+        # dealt once: the copies that several tasks have sent, the counts and the join all keep that
+        each = each.repartition("node", "part").dropDuplicates(["node", "part", "cid"])
+        held = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("h"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("g")]
+        some = each.groupBy("node", "part").agg(F.first("parts").alias("parts"), *held).filter("m > 1 OR parts > 1")
+        node = some.groupBy("node").agg(F.first("parts").alias("parts"), F.sum("m").alias("m"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).filter("m > 1")
+        one = node.groupBy("m", "h", "g").agg(F.min(F.struct("node", "parts")).alias("x"))
+        one = one.select("x.node", "m", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
+        return each.join(one, ["node", "part"]).select("node", "cid", "m")
+
+    def pairs(self, here: DataFrame) -> DataFrame:
+        """(spot, cid, comp) -> the distinct pairs of classes of different ``comp`` that share a spot and whose finest counts allow a link.
+
+        A spot of many points, or of large ones, is dealt in blocks.  Those of its largest component
+        meet only the blocks of others, as links between them are known to be of no use.
+        """
+        here = cut(here.join(self.point.select("cid", "n"), "cid"), "dup-here")
+        total = here.groupBy("spot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        large = cut(total.filter("blocks > 1"), "dup-large")
+        most = here.join(sized(large), "spot").groupBy("spot", "comp").agg(F.count(F.lit(1)).alias("c"), F.first("blocks").alias("blocks"))
+        most = most.groupBy("spot").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.first("blocks").alias("blocks"))
+        here = here.join(sized(cut(most, "dup-main")), "spot", "left")
+        # blocks 0 .. b - 1 hold the main component, b .. 2 b - 1 all others
+        b = F.coalesce("blocks", F.lit(1))
+        main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+        side = F.when(F.isnull("blocks"), 0).otherwise(F.pmod(F.xxhash64("cid"), b) + F.when(main, 0).otherwise(b)).cast("int")
+        other = F.when(F.isnull("blocks"), F.array(F.lit(0))).when(main, F.sequence(b, 2 * b - 1)).otherwise(F.sequence(F.lit(0), 2 * b - 1))
+        units = here.withColumn("side", side).withColumn("other", F.explode(other))
+        units = units.select("spot", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "cid", "comp", "n")
+        fine = self.texts.made(here, "fine", fine_counts).select("cid", "fine").dropDuplicates(["cid"])
+        units = units.join(fine, "cid").repartition("spot", "i", "j").sortWithinPartitions("spot", "i", "j")
+        found = units.select("spot", "i", "j", "side", "cid", "comp", "n", "fine").mapInArrow(_fine_pairs(self.percent), "a long, b long")
+        return cut(found.distinct(), "dup-rest")
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and class_id (equal sets) of each row."""
-    rows, pts, classes, first, member = _nodes(docs, k, percent, id_col, text_col)
-    # a node is compared with its most central member first: the one whose nodes hold most points, as the text
+    tree = Tree(docs, k, percent, id_col, text_col)
+    # a spot is compared with its most central member first: the one whose spots hold most points, as the text
     # that copies were edited from has its nodes in common with all of them, and a copy has some of its own
-    central = member.groupBy("cid").agg(F.sum("m").alias("weight"))
-    best = member.join(central, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
-    member = cut(member.join(best, "node"), "dup-stars")
-    point = _info(pts, member)
-    # each node's points against its first
-    star = member.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    star = star.join(point.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(point.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
-
-    def bound(batches):
-        for b in batches:
-            if len(b):
-                raw, n = b.column(3).to_pylist() + b.column(5).to_pylist(), np.concatenate([b.column(2).to_numpy(), b.column(4).to_numpy()])
-                ok = within_reach(raw, n, np.arange(len(b)), np.arange(len(b)) + len(b), percent)
-                yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    star = cut(star.filter(near).select("a", "b", "na", "ca", "nb", "cb").mapInArrow(bound, "a long, b long"), "dup-star")
-    links = cut(verified(star, rows, first, k, percent), "dup-links")
+    central = tree.spots.groupBy("cid").agg(F.sum("m").alias("weight"))
+    best = tree.spots.join(central, "cid").groupBy("spot").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
+    spots = cut(tree.spots.join(best, "spot"), "dup-stars")
+    star = cut(spots.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "dup-star")
+    star = cut(in_reach(star, tree.point, percent), "dup-star")
+    links = cut(verified(star, tree.texts, percent), "dup-links")
     comp = cut(components(links), "dup-components")
-    # the nodes' pairs of components that still differ
-    here = member.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "first")
-    mixed = here.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
-    rest = _search(here.join(mixed, "node", "left_semi"), point, percent)
-    more = verified(rest, rows, first, k, percent)
+    # what is left: the others of a spot (a spot of two has none) whose components still differ
+    here = spots.filter("cid <> first AND m > 2").join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").select("spot", "cid", F.coalesce("root", "cid").alias("comp"))
+    here = cut(here, "dup-open")
+    mixed = here.groupBy("spot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("spot")
+    more = verified(tree.pairs(here.join(mixed, "spot", "left_semi")), tree.texts, percent)
     comp = components(links.union(more))
-    named = classes.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = tree.classes.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = cut(named.select("cid", "root", "least"), "dup-named")
     names = named.groupBy("root").agg(F.min("least").alias("component"))
     of_class = named.select("cid", "root").join(names, "root").select("cid", "component")
-    out = pts.select("id", "n", "cid").join(of_class, "cid", "left")
+    out = tree.pts.select("id", "n", "cid").join(of_class, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("cid").alias("class_id"))
 
 
 def near_duplicate_links(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links, those inside components too: (id, class_id) of each row, class_id null without words, and (a, b), every pair of classes that link, once."""
-    rows, pts, _, first, member = _nodes(docs, k, percent, id_col, text_col)
-    pairs = _search(member.withColumn("comp", F.col("cid")), _info(pts, member), percent)
-    return pts.select(F.col("id").alias(id_col), F.col("cid").alias("class_id")), verified(pairs, rows, first, k, percent)
+    tree = Tree(docs, k, percent, id_col, text_col)
+    pairs = tree.pairs(tree.spots.select("spot", "cid", F.col("cid").alias("comp")))
+    return tree.pts.select(F.col("id").alias(id_col), F.col("cid").alias("class_id")), verified(pairs, tree.texts, percent)
 
 
 def link_counts(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
