@@ -64,6 +64,7 @@ MOST_HEAVY, HEAVY_FROM, CHUNK = 200_000, 5, 1_500_000
 MOST_SEEN = 1_000_000
 #: Sets that one task verifies against the same other set, and points of a node that one task deals out, about.
 STAR, DEALT = 4096, 2000
+PARTS = 1 << 32
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int):
@@ -485,19 +486,21 @@ class Tree:
         found = member.filter(F.col("m") <= BLOCK).join(self.point, "cid").select("node", "cid", "n", "counts")
         found = found.repartition("node").sortWithinPartitions("node").mapInArrow(_near_groups(percent), "spot long, cid long").distinct()
         spots = cut(found.union(member.filter(F.col("m") > BLOCK).select("node", "cid")), "dup-groups")
-        self.spots = cut(spots.join(spots.groupBy("spot").agg(F.count(F.lit(1)).alias("m")), "spot"), "dup-spots")
+        size = sized(cut(spots.groupBy("spot").agg(F.count(F.lit(1)).alias("m")), "dup-sizes"))
+        self.spots = cut(spots.join(size, "spot"), "dup-spots")
 
     def _members(self) -> DataFrame:
         """(node, cid, m) of the root's nodes that hold several classes; of nodes that hold the same classes, one."""
-        each = self.pts.select("cid", F.explode(F.arrays_zip("nodes", "dealt")).alias("x")).select("cid", F.col("x.nodes").alias("node"), F.col("x.dealt").alias("parts"))
-        each = each.select("cid", "node", "parts", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
+        each = self.pts.select("cid", F.explode(F.arrays_zip("nodes", "dealt")).alias("x")).select("cid", F.col("x.nodes").alias("node"), F.col("x.dealt").cast("long").alias("parts"))
+        # a node's part, with the number of its parts in front: the same columns for all uses, so that they share one exchange
+        each = each.select("cid", "node", (F.col("parts") * PARTS + F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("part"))
         # dealt once: the copies that several tasks have sent, the counts and the join all keep that
         each = each.repartition("node", "part").dropDuplicates(["node", "part", "cid"])
         held = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("h"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("g")]
-        some = each.groupBy("node", "part").agg(F.first("parts").alias("parts"), *held).filter("m > 1 OR parts > 1")
+        some = each.groupBy("node", "part").agg(*held).withColumn("parts", F.floor(F.col("part") / PARTS).cast("long")).filter("m > 1 OR parts > 1")
         node = some.groupBy("node").agg(F.first("parts").alias("parts"), F.sum("m").alias("m"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).filter("m > 1")
         one = node.groupBy("m", "h", "g").agg(F.min(F.struct("node", "parts")).alias("x"))
-        one = one.select("x.node", "m", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part"))
+        one = one.select("x.node", "m", F.explode(F.sequence(F.col("x.parts") * PARTS, F.col("x.parts") * (PARTS + 1) - 1)).alias("part"))
         return each.join(one, ["node", "part"]).select("node", "cid", "m")
 
     def pairs(self, here: DataFrame) -> DataFrame:
@@ -506,6 +509,7 @@ class Tree:
         A spot of many points, or of large ones, is dealt in blocks.  Those of its largest component
         meet only the blocks of others, as links between them are known to be of no use.
         """
+        here = cut(joined_spots(here), "dup-here")
         here = cut(here.join(self.point.select("cid", "n"), "cid"), "dup-here")
         total = here.groupBy("spot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         large = cut(total.filter("blocks > 1"), "dup-large")
@@ -525,6 +529,19 @@ class Tree:
         return cut(found.distinct(), "dup-rest")
 
 
+def joined_spots(here: DataFrame) -> DataFrame:
+    """(spot, cid, comp), a working table -> spots that share points are one, as long as that has at most ``BLOCK`` points; larger ones stay as they are.
+
+    A family of copies has many spots that differ by a few members; joined, each of its points stands in one.
+    """
+    least = here.groupBy("spot").agg(F.min("cid").alias("a"))
+    root = cut(components(here.join(least, "spot").select("a", F.col("cid").alias("b"))), "dup-families")
+    small = root.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= BLOCK).select("root")
+    small = cut(root.join(small, "root").select(F.col("x").alias("cid"), "root"), "dup-families")
+    both = here.join(small, "cid", "left")
+    return both.filter("root IS NULL").select("spot", "cid", "comp").union(both.filter("root IS NOT NULL").select("root", "cid", "comp").distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and class_id (equal sets) of each row."""
     tree = Tree(docs, k, percent, id_col, text_col)
@@ -532,7 +549,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     # that copies were edited from has its nodes in common with all of them, and a copy has some of its own
     central = tree.spots.groupBy("cid").agg(F.sum("m").alias("weight"))
     best = tree.spots.join(central, "cid").groupBy("spot").agg(F.max(F.struct("weight", "cid"))["cid"].alias("first"))
-    spots = cut(tree.spots.join(best, "spot"), "dup-stars")
+    spots = cut(tree.spots.join(sized(cut(best, "dup-best")), "spot"), "dup-stars")
     star = cut(spots.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "dup-star")
     star = cut(in_reach(star, tree.point, percent), "dup-star")
     links = cut(verified(star, tree.texts, percent), "dup-links")
@@ -541,7 +558,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col:
     here = spots.filter("cid <> first AND m > 2").join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").select("spot", "cid", F.coalesce("root", "cid").alias("comp"))
     here = cut(here, "dup-open")
     mixed = here.groupBy("spot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("spot")
-    more = verified(tree.pairs(here.join(mixed, "spot", "left_semi")), tree.texts, percent)
+    more = verified(tree.pairs(cut(here.join(mixed, "spot", "left_semi"), "dup-mixed")), tree.texts, percent)
     comp = components(links.union(more))
     named = tree.classes.join(comp.select(F.col("x").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = cut(named.select("cid", "root", "least"), "dup-named")
