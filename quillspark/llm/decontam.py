@@ -6,11 +6,12 @@ prefix doubling (ranks of 1, 2, 4, 8, 16 words).  Every suffix of every benchmar
 item is binary-searched in it, all suffixes at once; the range that shares its
 first 13 words (an item of fewer words: all of it) gives the places where the
 window occurs.  Windows that follow each other in both texts join to the longest
-verbatim matches.
+verbatim matches.  Windows that many items share, or that an item repeats, are
+searched once.
 
-The benchmark is sent to every task in blocks of at most ``block_bytes``; further
-blocks are further passes, whose hits are merged per document, so neither side has
-to fit in memory.
+The benchmark goes to the tasks in blocks of at most ``block_bytes`` (or one text), one
+at a time: neither the driver nor a task ever holds more than one.  Further blocks
+are further passes over rows that are stored first, and hits are merged by row.
 
 Defined cases: null or wordless documents have 0 words and no hit; null or wordless
 items have no window; items with equal ids count once; repeated documents are
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_table, tune_arrow
-from .vector import ALNUM, doc_bytes, ragged, slices, word_hashes
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from .common import cut, docs_table, tune_arrow
+from .vector import ALNUM, U64, doc_bytes, mix, ragged, slices, word_hashes
 
 WINDOW = 13
 DEPTH = 16
-BLOCK_BYTES = 8_000_000
-#: What an item's words take in a task, at most, for a byte of its text.
+BLOCK_BYTES = 2_000_000
 HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest array<struct<item:string,item_start:long,start:long,length:long>>"
 
 
@@ -89,33 +92,51 @@ class SuffixArray:
 
 
 class Windows:
-    """The windows of a block of items: every suffix that has one, cut to its window."""
+    """The windows of a block of items: every suffix that has one, cut to its window.  Equal windows are one.
+
+    ``places`` are numbers of windows in order of items and words, with a gap after each item, so that of two
+    windows the second follows the first in an item where its place is the next number.
+    """
 
     def __init__(self, ids: list[str], texts: pa.Array, width: int):
         hashes, off = word_hashes(*doc_bytes(texts), ALNUM)
-        self.ids, items, places, lengths = ids, [], [], []
-        for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-            n = b - a
-            if n:
-                m = max(1, n - width + 1)
-                items.append(np.full(m, k))
-                places.append(np.arange(m))
-                lengths.append(np.full(m, min(n, width)))
-        self.item = np.concatenate(items) if items else np.zeros(0, np.int64)
-        self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        self.length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        at = np.minimum(off[self.item][:, None] + self.place[:, None] + np.arange(width), max(0, len(hashes) - 1))
-        self.hashes = hashes[at] if len(hashes) else np.zeros((0, width), np.uint64)
+        n = np.diff(off)
+        some = np.flatnonzero(n)
+        m = np.maximum(1, n[some] - width + 1)
+        item, length = np.repeat(some, m), np.repeat(np.minimum(n[some], width), m)
+        start = ragged(off[some], m)
+        key = length.astype(U64)
+        for i in range(width):
+            inside = np.flatnonzero(length > i)
+            key[inside] = mix(key[inside] * U64(0x9E3779B97F4A7C15) + hashes[start[inside] + i])
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.ids, self.length = ids, length[first]
         self.valid = np.arange(width) < self.length[:, None]
-
-
-def _hits(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> list[tuple]:
-    """(n_words, spans, items, longest matches) of each document."""
+        self.hashes = hashes[np.where(self.valid, start[first][:, None] + np.arange(width), 0)] if len(hashes) else np.zeros((0, width), U64)
+        # of each place its item and where it starts there; of each window its places
+        place = np.arange(len(item)) + item
+        self.item_of, self.at = np.zeros(int(place[-1]) + 2 if len(place) else 2, np.int64), np.zeros(int(place[-1]) + 2 if len(place) else 2, np.int64)
+        self.item_of[place], self.at[place] = item, start - off[item]
+        order = np.argsort(which, kind="stable")
+        self.places, self.first_place = place[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(first)))])
+        # windows with the same items share a list of them
+        pair = np.unique(np.stack([which, item], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        count = np.bincount(pair[:, 0], minlength=len(first))
+        begin = np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(pair[:, 1].astype(U64) + U64(1)))])
+        _, alike, self.list_of = np.unique(total[begin[1:]] - total[begin[:-1]], return_index=True, return_inverse=True)
+        self.lists = [pair[begin[w] : begin[w + 1], 1] for w in alike.tolist()]
+
+
+def _hits(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> list[list]:
+    """[n_words, spans, items, longest matches] of each document.
+
+    What is held grows with the words of the slice and with the pairs of document and item, not with
+    how often a window occurs in the benchmark.
+    """
     hashes, doc_words = word_hashes(data, offsets, ALNUM)
-    n_docs = len(offsets) - 1
-    counts = np.diff(doc_words).tolist()
-    out = [[n, [], [], []] for n in counts]
-    if not len(hashes) or not len(windows.item):
+    out = [[n, [], [], []] for n in np.diff(doc_words).tolist()]
+    if not len(hashes) or not len(windows.length):
         return out
     shard = SuffixArray(hashes, doc_words)
     ranks = shard.encode(windows.hashes.ravel()).reshape(windows.hashes.shape)
@@ -124,91 +145,127 @@ def _hits(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> list[tuple
     try_, lo, hi = try_[hi > lo], lo[hi > lo], hi[hi > lo]
     if not len(try_):
         return out
-    w = np.repeat(try_, hi - lo)
+    # a place has one window of each length at most
+    window = np.repeat(try_, hi - lo)
     place = shard.order[ragged(lo, hi - lo)]
     doc = np.searchsorted(shard.starts, place, "right") - 1
-    item, at, length = windows.item[w], windows.place[w], windows.length[w]
     # spans of hit words: joined windows, by document and place
     step = np.zeros(len(shard.text) + 1, np.int64)
     np.add.at(step, place, 1)
-    np.add.at(step, place + length, -1)
+    np.add.at(step, place + windows.length[window], -1)
     hit = (np.cumsum(step) > 0).astype(np.int8)
     edge = np.diff(hit, prepend=0)
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     for d, s, e in zip((np.searchsorted(shard.starts, begins, "right") - 1).tolist(), begins.tolist(), ends.tolist()):
         out[d][1].append({"start": s - int(shard.starts[d]), "end": e - int(shard.starts[d])})
-    for d, k in {*zip(doc.tolist(), item.tolist())}:
-        out[d][2].append(windows.ids[k])
-    # runs of windows on one diagonal are one verbatim match; of each document the longest is kept
-    order = np.lexsort((place, place - at, item, doc))
-    doc, item, at, length, place = doc[order], item[order], at[order], length[order], place[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(new)
-    run = np.diff(np.append(begin, len(doc)))
-    size = run + length[begin] - 1
-    best = np.lexsort((at[begin], place[begin], -size, doc[begin]))
-    one = np.ones(len(best), bool)
-    one[1:] = doc[begin][best][1:] != doc[begin][best][:-1]
-    for b in best[one].tolist():
-        i, d = begin[b], int(doc[begin[b]])
-        out[d][3].append({"item": windows.ids[int(item[i])], "item_start": int(at[i]), "start": int(place[i] - shard.starts[d]), "length": int(size[b])})
+    lists = np.unique(np.stack([doc, windows.list_of[window]], 1), axis=0)
+    cut_ = np.flatnonzero(np.append(True, lists[1:, 0] != lists[:-1, 0]))
+    for a, b in zip(cut_.tolist(), [*cut_[1:].tolist(), len(lists)]):
+        found = np.unique(np.concatenate([windows.lists[k] for k in lists[a:b, 1].tolist()]))
+        out[int(lists[a, 0])][2] = [windows.ids[k] for k in found.tolist()]
+    _longest(out, doc, place - shard.starts[doc], window, windows)
     return out
 
 
+def _longest(out: list[list], doc: np.ndarray, place: np.ndarray, window: np.ndarray, windows: Windows) -> None:
+    """Of each document the longest verbatim match, the first in the document of equal ones, then of the least item and place in it.
+
+    Windows that follow each other in the text and in an item join; ``run`` has, for each place of the
+    benchmark, how many windows have joined up to there.
+    """
+    run = np.zeros(len(windows.item_of) + 1, np.int64)
+    order = np.lexsort((place, windows.length[window], doc))
+    before, last, best, at = np.zeros(0, np.int64), (-1, -1, -1), None, -1
+    for d, p, w in zip(doc[order].tolist(), place[order].tolist(), window[order].tolist()):
+        length = int(windows.length[w])
+        if d != at:
+            _keep(out, at, best, windows)
+            at, best = d, None
+        q = windows.places[windows.first_place[w] : windows.first_place[w + 1]]
+        if last != (d, length, p - 1):
+            run[before] = 0
+            before = q[:0]
+        joined = run[q - 1] + 1  # the place before the first is a gap, whose run stays 0
+        run[before] = 0
+        run[q] = joined
+        before, last = q, (d, length, p)
+        k = int(joined.argmax())
+        size, start = int(joined[k]) + length - 1, p - int(joined[k]) + 1
+        if best is None or size > best[0] or size == best[0] and start < best[1]:
+            best = size, start, int(q[k]) - int(joined[k]) + 1
+    _keep(out, at, best, windows)
+
+
+def _keep(out: list[list], d: int, best: tuple[int, int, int] | None, windows: Windows) -> None:
+    if best:
+        size, start, q = best
+        out[d][3].append({"item": windows.ids[int(windows.item_of[q])], "item_start": int(windows.at[q]), "start": start, "length": size})
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items in blocks of at most ``block_bytes`` of text (or one item): (ids, texts), read one block at a time."""
-    ids, texts, held = [], [], 0
-    for r in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        n = len(r[1].encode())
-        if ids and held + n > block_bytes:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(r[0] or "")
-        texts.append(r[1])
-        held += n
-    yield ids, texts
-
-
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of each row (default: doc_id) with n_words, spans of hit words, items and the longest verbatim match."""
+    """The items (id, text) in blocks of at most ``block_bytes`` of text (or one text): their number, and a function that fetches one."""
+    items = benchmark.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    total, n = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1
+    if total > block_bytes:
+        items, n = cut(items, "benchmark"), 2 * -(-total // block_bytes)
+    while True:
+        block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+        if n == 1 or not items.groupBy(block.alias("block"), F.xxhash64("id", "text").alias("key")).agg(F.sum(F.octet_length("text")).alias("b")).groupBy("block").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("k")).filter((F.col("b") > block_bytes) & (F.col("k") > 1)).head(1):
+            break
+        n *= 2
+
+    def fetch(i: int) -> tuple[list[str], pa.Array]:
+        got = items.filter(block == i).distinct().toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+        return got.column(0).to_pylist(), got.column(1).combine_chunks()
+
+    return n, fetch
+
+
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``keep`` columns of each row (default: doc_id) with n_words, spans of hit words, n_hit, items and the longest verbatim match.
+
+    prefix: stands before the names of added columns, where ``keep`` has such names.
+    """
     if not 1 <= width <= DEPTH:
         raise ValueError(f"width must be from 1 to {DEPTH}")
-    tune_arrow(docs.sparkSession)
+    spark = docs.sparkSession
+    tune_arrow(spark)
     keep = ["doc_id"] if keep is None else keep
-    n_keep, parts = len(keep), []
-    blocks = list(_blocks(benchmark, id_col, text_col, block_bytes))
-    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("body"))
-    kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:n_keep]))
-    if len(blocks) > 1:  # the rows need a name to be joined by
-        source = source.withColumn("row", F.monotonically_increasing_id()).select("row", *source.columns)
-        kinds, n_keep = f"row long, {kinds}", n_keep + 1
-    types = None
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     types = to_arrow_schema(_parse_datatype_string(HITS))
-    for ids, texts in blocks:
-
-        def search(batches, ids=ids, texts=texts):
-            windows = Windows(ids, pa.array(texts, pa.string()), width)
+    n_blocks, fetch = _blocks(benchmark, id_col, text_col, block_bytes)
+    names = [f"k{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)], F.col("text").alias("body"))
+    if n_blocks > 1:  # each block is a pass over the same rows, which need a name that stays
+        source = cut(source.withColumn("row", F.monotonically_increasing_id()), "contaminated-rows")
+        names = ["row"]
+    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names)
+
+    def one(i: int) -> DataFrame:
+        block = spark.sparkContext.broadcast(fetch(i))  # at most block_bytes
+
+        def search(batches):
+            windows = Windows(*block.value, width)
             for b in batches:
-                data, offsets = doc_bytes(b.column(n_keep))
+                data, offsets = doc_bytes(b.column(len(names)))
                 for i, j in slices(offsets):
                     found = _hits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], windows)
                     new = [pa.array([f[k] for f in found], types.field(k).type) for k in range(4)]
-                    yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(n_keep)] + new, b.schema.names[:n_keep] + types.names)
+                    yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(len(names))] + new, names + types.names)
+
+        return source.select(*names, "body").mapInArrow(search, f"{kinds}, {HITS}")
 
-        parts.append(source.mapInArrow(search, f"{kinds}, {HITS}"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        firsts = [F.first(f"k{i}").alias(f"k{i}") for i in range(len(keep))]
-        out = out.groupBy("row").agg(*firsts, F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("longest")).alias("longest"))
-        out = out.withColumn("spans", merged_spans(F.col("spans")))
-    longest = F.try_element_at(F.sort_array(F.transform("longest", lambda x: F.struct(-x["length"], x["start"].alias("start"), x["item"].alias("item"), x["item_start"].alias("item_start"), x["length"].alias("length")))), F.lit(1))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"), longest.dropFields("col1").alias("longest"))
+    out = one(0)
+    if n_blocks > 1:
+        out = cut(out, "contaminated-pass")
+        more = [cut(one(i).filter("size(items) > 0").select("row", "spans", "items", "longest"), "contaminated-pass") for i in range(1, n_blocks)]
+        for p in more[1:]:
+            more[0] = more[0].unionByName(p)
+        found = out.select("row", "spans", "items", "longest").unionByName(more[0])
+        found = found.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "longest")]).withColumn("spans", merged_spans(F.col("spans")))
+        out = source.drop("body").join(found.join(out.select("row", "n_words"), "row"), "row")
+    longest = F.try_element_at(F.array_sort(F.transform("longest", lambda x: F.struct(-x["length"], x["start"].alias("start"), x["item"].alias("item"), x["item_start"].alias("item_start"), x["length"].alias("length")))), F.lit(1))
+    added = {"n_words": F.col("n_words"), "spans": F.col("spans"), "n_hit": n_hit(F.col("spans")), "items": F.array_sort(F.array_distinct("items")), "longest": longest.dropFields("col1")}
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[v.alias(prefix + k) for k, v in added.items()])
 
 
 def merged_spans(spans: Column) -> Column:
@@ -232,7 +289,7 @@ def contaminated(n_hit_: Column, n_words: Column) -> Column:
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    out = match_benchmark(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark")).withColumn("n_hit", n_hit(F.col("spans")))
+    out = match_benchmark(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",
         "n_words",

@@ -16,8 +16,9 @@ row.  The number of bins grows with the source.
 
 Defined cases: a null source is a source, ordered last; null or empty texts have
 size 0 and take 0; a source of size 0 has target 0; a null quality counts as
-weight 1; repeated rows are separate documents; ties of keys are ordered by
-digest, id and size; an empty table gives an empty result.
+weight 1; repeated rows are separate documents, of which any number may be taken;
+keys that tie are ordered by id and size; other columns stay as they are, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,18 +66,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return levels.withColumn("lam", F.coalesce(lam["level"], F.lit(float("inf")))).select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("lam") * F.col("w")).alias("target"))
 
 
-def keyed(docs: DataFrame, quality: DataFrame | None, seed: str = SEED) -> DataFrame:
-    """Adds mix_size and mix_key to each row of ``docs``.  quality: (doc_id, weight) with one row for an id at most."""
+def keyed(docs: DataFrame, quality: DataFrame | None, seed: str = SEED, text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, source, mix_size and mix_key of each row, with the row itself as a struct (doc) if ``whole``.
+
+    quality: (doc_id, weight) with one row for an id at most.
+    """
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
+    rows = docs.select(*own, "doc_id", "source", n_words(F.col(text_col)).alias("mix_size"))
     if quality is not None:
-        docs = docs.join(quality.select("doc_id", F.col("weight").alias("mix_q")), "doc_id", "left")
+        rows = rows.join(quality.select("doc_id", F.col("weight").alias("mix_q")), "doc_id", "left")
     else:
-        docs = docs.withColumn("mix_q", F.lit(None).cast("double"))
+        rows = rows.withColumn("mix_q", F.lit(None).cast("double"))
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("mix_q", F.lit(UNLABELLED))
-    return docs.withColumn("mix_key", key).drop("mix_q")
+    return rows.withColumn("mix_key", key).drop("mix_q")
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, rows_per_bin: int) -> DataFrame:
-    """One row for each source: its size and target, complete epochs, number of bins, the bin at the edge and the last row that it takes."""
+    """One row for each source (s_): its size and target, complete epochs, number of bins, the bin at the edge, the last kind of row that it takes, how many of these it takes and how many there are."""
     sizes = cut(rows.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
     plan = source_targets(sizes.select("source", "source_size"), weights, max_epochs).join(sizes.select(F.col("source").alias("s_"), "n"), F.col("source").eqNullSafe(F.col("s_")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -84,17 +90,23 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, rows_pe
         F.col("source").alias("s_"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_bin)).alias("bins")
     )
     plan = cut(plan, "mix-plan")
+    # rows that are equal in all that the order goes by are one kind, counted before anything moves
+    rows = rows.groupBy("source", "mix_key", "doc_id", "mix_size").agg(F.count(F.lit(1)).alias("equal"))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("bin", bin_of(F.col("mix_key"), F.col("bins")))
-    by_bin = rows.groupBy("source", "bin").agg(F.sum("mix_size").alias("bin_size"), F.first("budget").alias("bin_budget"))
+    rows = cut(rows.select("source", "mix_key", "doc_id", "mix_size", "equal", "budget", "bin", (F.col("mix_size") * F.col("equal")).alias("words")), "mix-kinds")
+    by_bin = rows.groupBy("source", "bin").agg(F.sum("words").alias("bin_size"), F.first("budget").alias("bin_budget"))
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = by_bin.withColumn("before", before).filter((F.col("before") <= F.col("bin_budget")) & (F.col("before") + F.col("bin_size") > F.col("bin_budget")))
     edge = cut(edge.select(F.col("source").alias("s_"), F.col("bin").alias("edge"), "before"), "mix-edges")
-    # row by row only within the bin at the edge; the row at the budget goes in if at least half of it fits
+    # kind by kind only within the bin at the edge; the row at the budget goes in if at least half of it fits
     at = rows.join(edge, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bin") == F.col("edge")))
-    upto = F.sum("mix_size").over(Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = at.withColumn("upto", F.col("before") + upto).filter(F.col("upto") - F.col("mix_size") / 2 <= F.col("budget"))
-    last = last.groupBy(F.col("source").alias("e_")).agg(F.max(F.struct("mix_key", "doc_id", "mix_size")).alias("last"))
-    edge = edge.join(last, F.col("s_").eqNullSafe(F.col("e_")), "left").select(F.col("s_").alias("e_"), "edge", "last")
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("budget") - F.col("before") - F.coalesce(upto, F.lit(0))
+    fit = F.when(F.col("mix_size") > 0, F.floor(left / F.col("mix_size") + 0.5)).when(left >= 0, F.col("equal")).otherwise(0)
+    last = at.withColumn("takes", F.least(fit, F.col("equal"))).filter("takes > 0")
+    kind = F.struct("mix_key", "doc_id", "mix_size")
+    last = last.groupBy(F.col("source").alias("e_")).agg(F.max(F.struct(kind.alias("last"), "takes", "equal")).alias("x")).select("e_", "x.*")
+    edge = edge.join(last, F.col("s_").eqNullSafe(F.col("e_")), "left").select(F.col("s_").alias("e_"), "edge", "last", "takes", "equal")
     return cut(plan.join(edge, F.col("s_").eqNullSafe(F.col("e_")), "left").drop("e_"), "mix-plan")
 
 
@@ -103,35 +115,49 @@ def bin_of(key: Column, bins: Column) -> Column:
     return F.least(F.floor((1 - F.exp(-key * min(UNLABELLED, *QUALITY.values()))) * bins), bins - 1).cast("long")
 
 
-def mix_rows(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_bin: int = 2000, seed: str = SEED, text_col: str = "text", stored: bool = True) -> DataFrame:
-    """All rows of ``docs`` with mix_size, source_size, target and copies (how often the row is taken).
-
-    stored: the rows are kept as a working table; if not, they are read again (for wide rows).
-    """
-    rows = keyed(docs.withColumn("mix_size", n_words(F.col(text_col))), quality, seed)
-    if stored:
-        rows = cut(rows.drop(text_col), "mix-rows")
-        slim = rows
-    else:
-        slim = cut(rows.select("doc_id", "source", "mix_size", "mix_key"), "mix-rows")
-    plan = mix_plan(slim.select("doc_id", "source", "mix_size", "mix_key"), weights, max_epochs, rows_per_bin)
+def copies(rows: DataFrame, plan: DataFrame, max_epochs: int, row: str | None) -> DataFrame:
+    """rows with source_size, target and copies.  row: a number of each row, a working table's, if some kind is taken in part."""
+    kind = F.struct("mix_key", "doc_id", "mix_size")
+    if row is not None:
+        # the number of the last row of its kind that is taken: first by the number's upper bits, then within the part where it lies
+        mine = rows.join(sized(plan.filter("takes < equal"), 50_000), F.col("source").eqNullSafe(F.col("s_")) & (kind == F.col("last"))).select("s_", F.col(row).alias("row"), F.shiftright(F.col(row), 33).alias("part"), "takes")
+        parts = mine.groupBy("s_", "part", "takes").agg(F.count(F.lit(1)).alias("c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("s_").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = cut(parts.withColumn("before", before).filter("before < takes AND before + c >= takes").select(F.col("s_").alias("e_"), F.col("part").alias("p_"), (F.col("takes") - F.col("before")).alias("nth")), "mix-parts")
+        here = mine.join(sized(parts, 50_000), F.col("s_").eqNullSafe(F.col("e_")) & (F.col("part") == F.col("p_")))
+        here = here.withColumn("i", F.row_number().over(Window.partitionBy("s_").orderBy("row"))).filter("i = nth").select("e_", F.col("row").alias("last_row"))
+        plan = plan.join(cut(here, "mix-rows"), F.col("s_").eqNullSafe(F.col("e_")), "left").drop("e_")
+    plan = cut(plan, "mix-plan") if row is not None else plan
     rows = rows.join(sized(plan, 50_000), F.col("source").eqNullSafe(F.col("s_")))
-    bin_, row = bin_of(F.col("mix_key"), F.col("bins")), F.struct("mix_key", "doc_id", "mix_size")
+    whole = (F.coalesce("last_row", F.lit((1 << 63) - 1)) >= F.col(row)) if row is not None else F.lit(True)
+    upto = F.coalesce((kind < F.col("last")) | ((kind == F.col("last")) & whole), F.lit(False))
+    bin_ = bin_of(F.col("mix_key"), F.col("bins"))
     # no edge: the budget is 0 or the whole source
-    more = F.when(F.col("edge").isNull(), F.col("budget") > 0).otherwise((bin_ < F.col("edge")) | ((bin_ == F.col("edge")) & F.coalesce(row <= F.col("last"), F.lit(False))))
-    return rows.withColumn("copies", F.least(F.col("epochs") + more.cast("int"), F.lit(max_epochs))).drop("s_", "epochs", "budget", "bins", "edge", "last", "mix_key")
+    more = F.when(F.col("edge").isNull(), F.col("budget") > 0).otherwise((bin_ < F.col("edge")) | ((bin_ == F.col("edge")) & upto))
+    return rows.withColumn("copies", F.least(F.col("epochs") + more.cast("int"), F.lit(max_epochs)))
+
+
+def in_part(plan: DataFrame) -> bool:
+    """Whether some source takes only some of several equal rows."""
+    return bool(plan.filter("takes < equal").head(1))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_bin: int = 2000, seed: str = SEED, text_col: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words, repeats counted), one row per document."""
-    out = mix_rows(docs.select("doc_id", "source", "text"), quality, **options)
+    rows = cut(keyed(docs, quality, seed, text_col).withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_plan(rows, weights, max_epochs, rows_per_bin)
+    out = copies(rows, plan, max_epochs, "mix_row" if in_part(plan) else None)
     return out.select("doc_id", "source", F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, rows_per_bin: int = 2000, seed: str = SEED, text_col: str = "text") -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    out = mix_rows(docs, quality, stored=False, **options)
-    return out.filter("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan = mix_plan(cut(keyed(docs, quality, seed, text_col), "mix-rows"), weights, max_epochs, rows_per_bin)
+    rows, row = keyed(docs, quality, seed, text_col, whole=True), None
+    if in_part(plan):  # rows need numbers that stay
+        rows, row = cut(rows.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows"), "mix_row"
+    out = copies(rows, plan, max_epochs, row).filter("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

@@ -492,12 +492,12 @@ class Tree:
     def _members(self) -> DataFrame:
         """(node, cid, m) of the root's nodes that hold several classes; of nodes that hold the same classes, one."""
         each = self.pts.select("cid", F.explode(F.arrays_zip("nodes", "dealt")).alias("x")).select("cid", F.col("x.nodes").alias("node"), F.col("x.dealt").cast("long").alias("parts"))
-        # a node's part, with the number of its parts in front: the same columns for all uses, so that they share one exchange
+        # a node's part, with the number of its parts in front: the same columns and conditions for all uses, so that they share one exchange
         each = each.select("cid", "node", (F.col("parts") * PARTS + F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("part"))
         # dealt once: the copies that several tasks have sent, the counts and the join all keep that
-        each = each.repartition("node", "part").dropDuplicates(["node", "part", "cid"])
+        each = each.filter("node IS NOT NULL AND part IS NOT NULL").repartition("node", "part").dropDuplicates(["node", "part", "cid"])
         held = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("h"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("g")]
-        some = each.groupBy("node", "part").agg(*held).withColumn("parts", F.floor(F.col("part") / PARTS).cast("long")).filter("m > 1 OR parts > 1")
+        some = each.groupBy("node", "part").agg(*held).withColumn("parts", F.shiftright("part", 32)).filter("m > 1 OR parts > 1")
         node = some.groupBy("node").agg(F.first("parts").alias("parts"), F.sum("m").alias("m"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).filter("m > 1")
         one = node.groupBy("m", "h", "g").agg(F.min(F.struct("node", "parts")).alias("x"))
         one = one.select("x.node", "m", F.explode(F.sequence(F.col("x.parts") * PARTS, F.col("x.parts") * (PARTS + 1) - 1)).alias("part"))

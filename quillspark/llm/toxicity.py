@@ -1,16 +1,16 @@
 """Operator 5: toxicity by subword-bag embeddings and a linear softmax.
 
-A word is the average of the embeddings of its character n-grams (3 to 5, with the
-word's edges), hashed into ``2**BITS`` buckets; a linear softmax
-on that average gives its log-odds.  Embeddings and softmax are trained jointly in
-numpy.  As unseen misspellings share n-grams with known words, they share their
-vectors.
-
-A document is as toxic as its most toxic ``window`` of words (their averages
-averaged), so that a long text doesn't dilute a few of its words.  Training follows
-that: first every word bears its documents' labels; then, in rounds, the most toxic
-word of each toxic document stands for it, against the most toxic words of clean
-documents.  Documents kept from training calibrate the score (a rising
+A bag of words is the average of the embeddings of its words' character n-grams (3 to
+5, with the word's edges), hashed into ``2**BITS`` buckets; a linear softmax on that
+average gives its log-odds.  Embeddings and softmax are trained jointly in numpy.  As
+unseen misspellings share n-grams with known words, they share their vectors.
+
+The bag of a whole text would drown three words in three thousand, so a document is
+judged by the bag of its ``words`` most toxic words: of all its bags of so many, the one
+with the highest log-odds.  One word alone says less: long clean texts have some word
+that looks toxic by chance, but rarely two.  Training follows that: first each word is a
+bag with the share of toxic documents that have it, and then, in rounds, each document
+is the bag that judges it.  Documents kept from training calibrate the score (a rising
 curve from the highest log-odds to the share of toxic documents).
 
 Training reads a bounded sample of labelled documents (``sample`` rows with the
@@ -33,11 +33,9 @@ from .common import docs_table, fold, tune_arrow
 from .grams import buckets, code_stream
 from .langid import label_sample
 
-BITS, DIM, ORDERS, WINDOW = 17, 6, (3, 4, 5), 1
+BITS, DIM, ORDERS, WORDS = 17, 6, (3, 4, 5), 2
 SAMPLE = 4000
 THRESHOLD = 0.7
-#: Distinct words that the first pass of training sees at most: the most frequent, and all that lean to toxic.
-MOST_WORDS = 60_000
 NO_EVIDENCE = -30.0
 DROP = 0.3
 
@@ -58,11 +56,11 @@ def word_grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 class ToxicityModel:
-    def __init__(self, table: np.ndarray, curve: tuple[np.ndarray, np.ndarray], window: int = WINDOW):
-        self.table, self.curve, self.window = table, curve, window
+    def __init__(self, table: np.ndarray, curve: tuple[np.ndarray, np.ndarray], words: int = WORDS):
+        self.table, self.curve, self.words = table, curve, words
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """The highest log-odds of a window of each text."""
+        """The log-odds of the bag of each text's most toxic words."""
         out = []
         i = 0
         while i < len(texts):  # about a million characters at once
@@ -74,17 +72,15 @@ class ToxicityModel:
             start, _, at, of = word_grams(codes.astype(np.uint32))
             n = np.bincount(of, minlength=len(start))
             score = np.bincount(of, weights=self.table[at], minlength=len(start)) / np.maximum(n, 1)
+            score, start = score[n > 0], start[n > 0]
             first = np.searchsorted(start, off)
             out += [self._most(score[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             i = j
         return np.array(out)
 
     def _most(self, score: np.ndarray) -> float:
-        if not len(score):
-            return NO_EVIDENCE
-        w = min(self.window, len(score))
-        total = np.concatenate([[0], np.cumsum(score)])
-        return float(((total[w:] - total[:-w]) / w).max())
+        q = min(self.words, len(score))
+        return float(np.partition(score, -q)[-q:].mean()) if q else NO_EVIDENCE
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         m = self.evidence(texts)
@@ -142,22 +138,23 @@ def train(docs: list[np.ndarray], vocabulary: list[str], labels: list[int], epoc
     bias = np.zeros(2, np.float32)
     E_sum, W_sum = np.zeros(E.shape, np.float32), np.zeros(W.shape)
 
-    def step(words: np.ndarray, toxic: np.ndarray, weight: np.ndarray, lr: float) -> None:
+    def step(bags: np.ndarray, toxic: np.ndarray, weight: np.ndarray, lr: float) -> None:
+        """One step on bags, rows of words (-1: none), of which each has at least one."""
         nonlocal W, bias
+        bag, place = np.nonzero(bags >= 0)
+        words = bags[bag, place]
+        own = np.bincount(bag, minlength=len(bags))[:, None].astype(np.float32)
         n = size[words]
-        words, toxic, weight, n = words[n > 0], toxic[n > 0], weight[n > 0], n[n > 0]
-        if not len(words):
-            return
         gram = at[np.repeat(first[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        edges = np.cumsum(n) - n
         # some n-grams are left out at random, so that evidence spreads over all of a word's
         kept = ((rng.random(len(gram)) >= DROP) / (1 - DROP)).astype(np.float32)
-        x = np.add.reduceat(E[gram] * kept[:, None], edges) / n[:, None]
+        of_word = np.add.reduceat(E[gram] * kept[:, None], np.cumsum(n) - n) / n[:, None]
+        x = np.add.reduceat(of_word, np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))) / own
         z = x @ W + bias
         p = _sigmoid(z[:, 1] - z[:, 0])
         g = ((p - toxic) * weight)[:, None] * np.array([-1, 1], np.float32)
-        back = np.repeat((g @ W.T) / n[:, None], n, 0) * kept[:, None]
-        dW, db = x.T @ g / len(words), g.sum(0) / len(words)
+        back = np.repeat((g @ W.T / own)[bag] / n[:, None], n, 0) * kept[:, None]
+        dW, db = x.T @ g / len(bags), g.sum(0) / len(bags)
         W_sum[...] += dW * dW
         W -= lr * dW / np.sqrt(W_sum + 1e-8)
         bias -= 0.1 * lr * db
@@ -166,6 +163,14 @@ def train(docs: list[np.ndarray], vocabulary: list[str], labels: list[int], epoc
             E_sum[:, d] += (dE * dE).astype(np.float32)
             E[:, d] -= lr * dE / np.sqrt(E_sum[:, d] + 1e-8)
 
+    def judging(s: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+        """The bag of each document that has the highest log-odds."""
+        out = np.full((len(docs), WORDS), -1, np.int64)
+        for k, d in enumerate(docs):
+            q = min(WORDS, len(d))
+            out[k, :q] = d[np.argpartition(s[d], len(d) - q)[len(d) - q :]]
+        return out
+
     def word_scores() -> np.ndarray:
         table = E @ (W[:, 1] - W[:, 0])
         total = np.zeros(len(size), np.float32)
@@ -179,12 +184,9 @@ def train(docs: list[np.ndarray], vocabulary: list[str], labels: list[int], epoc
     pos, neg = (np.bincount(np.concatenate([docs[i] for i in np.flatnonzero((y == v) & ~held)] or [np.zeros(0, np.int32)]), minlength=len(number)) for v in (1, 0))
     # first: a word's target is its share of toxic documents, drawn to the mean where it is rare
     base = float((y[~held] == 1).mean())
-    seen = np.flatnonzero(pos + neg)
+    seen = np.flatnonzero((pos + neg > 0) & (size > 0))
     many = pos[seen] + neg[seen]
     target = (pos[seen] + 2 * base) / (many + 2)
-    if len(seen) > MOST_WORDS:
-        keep = np.sort(np.argsort(-np.maximum(many, 1000 * (target > 0.5)) + rng.random(len(seen)))[:MOST_WORDS])
-        seen, many, target = seen[keep], many[keep], target[keep]
     weight = np.log1p(many)
     up = target > 0.5
     if up.any() and not up.all():
@@ -193,26 +195,20 @@ def train(docs: list[np.ndarray], vocabulary: list[str], labels: list[int], epoc
     for _ in range(epochs):
         mixed = rng.permutation(len(seen))
         for part in np.array_split(mixed, max(1, len(mixed) // 2048)):
-            step(seen[part], target[part], weight[part], rate)
-    toxic_docs, clean_docs = np.flatnonzero((y == 1) & ~held), np.flatnonzero((y == 0) & ~held)
-    often = np.flatnonzero(neg > 0)
-    for _ in range(rounds):  # then: its most toxic words stand for a document
-        s = word_scores()
-        up = [d[(s[d] >= s[d].max()) | ((s[d] > 0) & (neg[d] == 0))] for d in (docs[i] for i in toxic_docs) if len(d)]
-        up = np.concatenate(up) if up else np.zeros(0, np.int64)
-        down = [d[np.argsort(-s[d])[:4]] for d in (docs[i] for i in clean_docs) if len(d)]
-        down = np.concatenate(down) if down else np.zeros(0, np.int64)
-        some = rng.choice(often, min(2 * len(down) + 1, 20_000)) if len(often) else down[:0]
-        rows = np.concatenate([up, down, some]).astype(np.int64)
-        toxic = np.concatenate([np.ones(len(up)), np.zeros(len(down) + len(some))])
-        weight = np.concatenate([np.full(len(up), len(down) / max(1, len(up))), np.ones(len(down)), np.full(len(some), 0.3)])
-        weight = np.minimum(weight / max(1e-9, weight.mean()), 10)
+            step(seen[part][:, None], target[part], weight[part], rate)
+    docs = [d[size[d] > 0] for d in docs]
+    learn = np.array([i for i in np.flatnonzero(~held) if len(docs[i])], np.int64)
+    share = y[learn].mean() if len(learn) else 0.5
+    for _ in range(rounds):  # then: each document is the bag that judges it
+        bags = judging(word_scores(), [docs[i] for i in learn])
+        weight = np.where(y[learn] == 1, np.minimum(10, (1 - share) / max(share, 1e-9)), 1.0)
         for _ in range(2):
-            mixed = rng.permutation(len(rows))
-            for part in np.array_split(mixed, max(1, len(mixed) // 1024)):
-                step(rows[part], toxic[part], weight[part], rate)
+            mixed = rng.permutation(len(learn))
+            for part in np.array_split(mixed, max(1, len(mixed) // 256)):
+                if len(part):
+                    step(bags[part], y[learn][part], weight[part] / weight.mean(), rate)
     s = word_scores()
-    most = np.array([s[d].max() if len(d) else NO_EVIDENCE for d in docs])
+    most = np.array([np.sort(s[d])[-WORDS:].mean() if len(d) else NO_EVIDENCE for d in docs])
     test = held if held.any() else ~held
     curve = _isotonic(most[test], y[test])
     return ToxicityModel((E @ (W[:, 1] - W[:, 0]) + (bias[1] - bias[0])).astype(np.float32), curve)
@@ -244,8 +240,8 @@ def fit(rows: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str
     return train(docs, vocabulary, [labels[i] for i in order])
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns (default: doc_id) with the score of each whole text."""
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``keep`` columns (default: doc_id) with the score of each whole text, as ``name`` (choose one that none of ``keep`` has)."""
     keep = ["doc_id"] if keep is None else keep
     tune_arrow(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("body"))
@@ -258,7 +254,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "score"])
 
     out = source.mapInArrow(run, f"{kinds}score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
