@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, mixing, neardup, sharding, toxicity
-from quillspark.llm.common import cut, docs_table, sized
+from quillspark.llm.common import cut, docs_table, sized, temp_name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
     model = toxicity.fit(toxicity.labelled(docs, docs_table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    score, = temp_name(docs, "score")
+    return toxicity.score(docs, model, keep=docs.columns, name=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark windows go."""
-    out = decontam.match_benchmark(docs, docs_table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return out.filter(~decontam.contaminated(decontam.n_hit(F.col("spans")), F.col("n_words"))).select(*docs.columns)
+    out = decontam.match_benchmark(docs, docs_table(spark, sf_dir, "benchmark"), keep=docs.columns, prefix=(at := temp_name(docs, "match")[0]))
+    return out.filter(~decontam.contaminated(F.col(f"{at}n_hit"), F.col(f"{at}n_words"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
