@@ -37,7 +37,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes a working table to the shared folder and reads it back: later steps start from it, whatever executors are lost."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -149,8 +149,11 @@ def fit(rows: DataFrame, label: str = "lang", sample: int = SAMPLE, id_col: str
     return train(found, got.column(3).to_pylist())
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns (default: doc_id) with lang_pred, score and accepted."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``keep`` columns (default: doc_id) with lang_pred, score and accepted.
+
+    prefix: stands before the names of added columns, where ``keep`` has such names.
+    """
     keep = ["doc_id"] if keep is None else keep
     tune_arrow(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("body"))
@@ -163,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], [*b.schema.names[:-1], "lang_pred", "score", "accepted"])
 
     out = source.mapInArrow(run, f"{kinds}lang_pred string, score double, accepted boolean")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "accepted")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in ("lang_pred", "score", "accepted")])
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -4,19 +4,18 @@ Rules judge what they fit.  All other URLs are judged by their template: every
 host has a tree of path segments, whose variable segments become wildcards
 
 * by their looks: runs of digits are ``{n}``, long hexadecimal names ``{h}``;
-* by statistics, level by level from the root: among the children of a node, those
-  whose labelled share of blocked URLs is like the rest of the node's merge into
-  ``*``, and so do the children of a node of more than ``max_children`` unless
-  their share differs.  A child is compared with the node's other children
-  together, never pair by pair.
+* by statistics, level by level from the root: the children of a node whose labelled
+  share of blocked URLs isn't unlike that of the node's other children together merge
+  into ``*``, and so do those without labels, about which nothing is known that would
+  tell them apart.  A branch that has no labelled URL, or only one path, is done: the
+  rest of its paths stands in the template as it looks.
 
 Labels are the rules' own verdicts (or any label column).  A template is
 rejected when its smoothed share of blocked URLs reaches ``purity``; shares are drawn
 to the same template over all hosts, and that to the share over all URLs.
 
 Statistics count distinct (host, path), so repeated URLs weigh once and a hot URL is
-one row.  Below ``max_depth`` a branch goes on as long as it has labelled URLs; where it
-has none, there is nothing to tell apart, and its paths share a last segment ``**``.
+one row.  There is no greatest depth or number of children.
 
 Defined cases: a null URL, or one without ``://``, has the empty host and path and
 is judged like any other (no rule fits it unless one has an empty host); repeated
@@ -57,38 +56,30 @@ def looks(segment: Column) -> Column:
     return F.when(segment.rlike("^(?=.*[0-9])[0-9a-fA-F]{8,}$"), F.lit("{h}")).otherwise(F.regexp_replace(segment, "[0-9]+", "{n}"))
 
 
-def template_tree(urls: DataFrame, max_depth: int = 6, max_children: int = 16, z: float = 2.0) -> DataFrame:
+def template_tree(urls: DataFrame, z: float = 2.0) -> DataFrame:
     """(host, path, blocked) of distinct URLs, blocked null where unlabelled -> with look (by looks alone) and template added."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    shown = F.transform(segments, looks)
-    rows = urls.withColumn("segs", shown).withColumn("look", F.array_join("segs", "/")).withColumn("template", F.lit(""))
-    rows = cut(rows, "url-tree")
-    depth, level = rows.agg(F.max(F.size("segs"))).first()[0] or 0, 0
-    while level < depth:
+    rows = urls.withColumn("segs", F.transform(segments, looks)).withColumn("look", F.array_join("segs", "/")).withColumn("template", F.lit(""))
+    rows, level = cut(rows, "url-tree"), 0
+    while (rows.agg(F.max(F.size("segs"))).first()[0] or 0) > level:
         level += 1
-        here, last = rows.filter(F.size("segs") >= level), rows.filter(F.size("segs") < level)
-        if level > max_depth:
-            bare = cut(here.groupBy("host", "template").agg(F.count("blocked").alias("n")).filter("n = 0").select("host", "template"), "url-bare")
-            ended = here.join(bare, ["host", "template"], "left_semi").withColumn("template", F.concat("template", F.lit("/**")))
-            last = last.unionByName(ended.withColumn("segs", F.slice("segs", 1, level - 1)))
-            here = here.join(bare, ["host", "template"], "left_anti")
+        here, done = rows.filter(F.size("segs") >= level), rows.filter(F.size("segs") < level)
         here = here.withColumn("seg", F.element_at("segs", level))
-        child = here.groupBy("host", "template", "seg").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"))
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"), F.count(F.lit(1)).alias("children"))
+        child = here.groupBy("host", "template", "seg").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("paths"))
+        node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"), F.sum("paths").alias("all"), F.count(F.lit(1)).alias("children"))
         rest, rest_b = F.col("nn") - F.col("n"), F.col("bb") - F.col("b")
         share = (F.col("bb") + 1) / (F.col("nn") + 2)
         gap = (F.col("b") + share) / (F.col("n") + 1) - (rest_b + share) / (rest + 1)
         spread = F.sqrt(share * (1 - share) * (1 / (F.col("n") + 1) + 1 / (rest + 1)))
-        both = (F.col("n") > 0) & (rest > 0)
-        differs = both & (F.abs(gap) >= z * spread)
-        merged = F.when(F.col("children") == 1, False).when(F.col("children") > max_children, ~differs).otherwise(both & ~differs)
-        child = child.join(node, ["host", "template"]).filter(merged).select("host", "template", "seg", F.lit("*").alias("to"))
+        differs = (F.col("n") > 0) & (F.abs(gap) >= z * spread)
+        ends = (F.col("nn") == 0) | (F.col("all") == 1)
+        child = child.join(node, ["host", "template"]).select("host", "template", "seg", ends.alias("ends"), (~ends & (F.col("children") > 1) & ~differs).alias("merged")).filter("ends OR merged")
         child = cut(child, "url-merged")  # a table, so that the join can split the rows of a hot branch
         here = here.join(child, ["host", "template", "seg"], "left")
-        here = here.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("to", "seg"))).select(*rows.columns)
-        rows = cut(here.unionByName(last), "url-tree")
-        if level >= max_depth:  # branches may have ended
-            depth = rows.agg(F.max(F.size("segs"))).first()[0] or 0
+        over = F.coalesce("ends", F.lit(False))
+        step = F.when(over, F.array_join(F.slice("segs", level, F.size("segs")), "/")).when(F.coalesce("merged", F.lit(False)), "*").otherwise(F.col("seg"))
+        here = here.withColumn("template", F.concat("template", F.lit("/"), step)).withColumn("segs", F.when(over, F.slice("segs", 1, level - 1)).otherwise(F.col("segs")))
+        rows = cut(here.select(*rows.columns).unionByName(done), "url-tree")
     return rows.drop("segs")
 
 
@@ -104,16 +95,19 @@ def template_purity(rows: DataFrame, weight: float = 4.0) -> DataFrame:
     return out.withColumn("purity", (F.col("tb") + weight * look) / (F.col("tn") + weight)).drop("lb", "ln", "tb", "tn")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, keep: list[str] | None = None, url_col: str = "url", max_depth: int = 6, max_children: int = 16) -> DataFrame:
-    """``keep`` columns (default: page_id) with host, path, rule, verdict, template and purity."""
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, purity: float = 0.5, keep: list[str] | None = None, url_col: str = "url", prefix: str = "") -> DataFrame:
+    """``keep`` columns (default: page_id) with host, path, rule, verdict, template and purity.
+
+    prefix: stands before the names of added columns, where ``keep`` has such names.
+    """
     keep = ["page_id"] if keep is None else keep
     rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = rows.select("host", "path").distinct().withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     urls = urls.select("host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("given"), (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
-    judged = template_purity(template_tree(urls, max_depth, max_children))
+    judged = template_purity(template_tree(urls))
     judged = judged.withColumn("verdict", F.coalesce("given", F.when(F.col("purity") >= purity, "block").otherwise("allow")))
     out = rows.join(judged, ["host", "path"])
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", "verdict", "template", "purity")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in ("host", "path", "rule", "verdict", "template", "purity")])
 
 
 def op3_url_templates(spark, sf_dir: str) -> DataFrame:

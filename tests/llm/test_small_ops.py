@@ -139,16 +139,86 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule) == ("", "", None)
     # unruled templates follow the same template elsewhere
     assert {got[300 + i].verdict for i in range(1, 10, 2)} == {"block"} and {got[300 + i].verdict for i in range(0, 10, 2)} == {"allow"}
-    assert got[101].template == "/de/{n}.html" and got[8].template.endswith("/**")
+    assert got[101].template == "/de/{n}.html" and got[8].template == "/a/b/c/d/e/f/g/h/i"
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def naive_templates(rows, z=2.0):
+    """The tree by recursion over (host, path, blocked) of distinct URLs: {(host, path): template}."""
+    import math
+
+    def look(seg):
+        return "{h}" if re.fullmatch("(?=.*[0-9])[0-9a-fA-F]{8,}", seg) else re.sub("[0-9]+", "{n}", seg)
+
+    out = {}
+
+    def walk(part, level, template):
+        ended = [r for r in part if len(r[1]) == level]
+        for r in ended:
+            out[r[0]] = template
+        part = [r for r in part if len(r[1]) > level]
+        if not part:
+            return
+        known = [r[2] for r in part if r[2] is not None]
+        if not known or len(part) == 1:
+            for r in part:
+                out[r[0]] = template + "/" + "/".join(r[1][level:])
+            return
+        kids = defaultdict(list)
+        for r in part:
+            kids[r[1][level]].append(r)
+        nn, bb = len(known), sum(known)
+        share, to = (bb + 1) / (nn + 2), defaultdict(list)
+        for seg, mine in kids.items():
+            own = [r[2] for r in mine if r[2] is not None]
+            n, b = len(own), sum(own)
+            gap = (b + share) / (n + 1) - (bb - b + share) / (nn - n + 1)
+            spread = math.sqrt(share * (1 - share) * (1 / (n + 1) + 1 / (nn - n + 1)))
+            to["*" if len(kids) > 1 and not (n and abs(gap) >= z * spread) else seg] += mine
+        for seg, mine in to.items():
+            walk(mine, level + 1, f"{template}/{seg}")
+
+    hosts = defaultdict(list)
+    for h, p, b in rows:
+        hosts[h].append(((h, p), [look(s) for s in re.sub("^/", "", p).split("/")], b))
+    for part in hosts.values():
+        walk(part, 0, "")
+    return out
+
+
+def test_templates_equal_plain_recursion(spark):
+    rng = random.Random(12)
+    rows = {}
+    for i in range(900):
+        depth = rng.randrange(0, 12) if i % 9 == 0 else rng.randrange(1, 4)
+        path = "".join("/" + rng.choice(["a", "b", "bad", "good", "x", str(rng.randrange(400)), f"p{rng.randrange(30)}", "deadbeef01", ""]) for _ in range(depth))
+        rows[rng.choice(["h", "h", "k.org", "", "solo"]), path] = rng.choice([None, 1 if "bad" in path else 0])
+    rows |= {("unlabelled", f"/q/{i}/r"): None for i in range(20)}
+    rows = [(h, p, b) for (h, p), b in rows.items()]
+    got = urlfilter.template_tree(spark.createDataFrame(rows, "host string, path string, blocked int")).collect()
+    assert {(r.host, r.path): r.template for r in got} == naive_templates(rows) and len(got) == len(rows)
+    # purity by plain sums
+    want, look, own = {}, defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for r in got:
+        if r.blocked is not None:
+            for x in (look[r.look], own[r.host, r.template]):
+                x[0] += r.blocked
+                x[1] += 1
+    prior = sum(r.blocked or 0 for r in got) / sum(r.blocked is not None for r in got)
+    for r in got:
+        a, b = look[r.look], own[r.host, r.template]
+        want[r.host, r.path] = (b[0] + 4 * (a[0] + 4 * prior) / (a[1] + 4)) / (b[1] + 4)
+    tree = spark.createDataFrame(got, "host string, path string, blocked int, look string, template string")
+    pure = {(r.host, r.path): r.purity for r in urlfilter.template_purity(tree).collect()}
+    assert pure.keys() == want.keys() and all(abs(pure[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_similar_branches_merge(spark):
     rows = [("h", f"/user/{chr(97 + i)}/x", 0) for i in range(26)] + [("h", f"/good/p{chr(97 + i)}", 0) for i in range(10)] + [("h", f"/bad/p{chr(97 + i)}", 1) for i in range(10)]
-    tree = urlfilter.template_tree(spark.createDataFrame(rows, "host string, path string, blocked int"))
-    got = {r.path: r.template for r in tree.collect()}
-    assert {got[f"/user/{chr(97 + i)}/x"] for i in range(26)} == {"/*/*/x"} or {got[f"/user/{chr(97 + i)}/x"] for i in range(26)} == {"/user/*/x"}
-    assert got["/bad/pa"].startswith("/bad/") and got["/bad/pa"] == got["/bad/pb"]
+    for some in (rows, rows[23:]):  # with many children and with few
+        got = {r.path: r.template for r in urlfilter.template_tree(spark.createDataFrame(some, "host string, path string, blocked int")).collect()}
+        assert len({t for p, t in got.items() if p.startswith("/user/")}) == 1
+        assert got["/bad/pa"].startswith("/bad/") and got["/bad/pa"] == got["/bad/pb"] and not got["/good/pa"].startswith("/bad/")
 
 
 def test_urls_that_differ_deep_down(spark):
@@ -162,47 +232,118 @@ def test_urls_that_differ_deep_down(spark):
 # --- fingerprints
 
 
+def naive_hash(codes):
+    """The rolling hash of code points, one by one: the highest power for the first."""
+    a, h = 0xD1342543DE82EF95, 0
+    for c in codes:
+        h = (h * a + int(fingerprint.mix(np.array([c], np.uint64) + np.uint64(1))[0])) % 2**64
+    return h
+
+
 def naive_anchors(text):
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    """Position and 12 bits of the hash of each k-mer whose least inner s-mer is its first or last."""
+    K, S = fingerprint.K, fingerprint.S
+    codes = [ord(c) for c in text]
+    final = lambda h: int(fingerprint.mix(np.array([h], np.uint64))[0])
     out = []
-    for i in range(len(codes) - fingerprint.K + 1):
-        inner = [fingerprint.anchors(text[i : i + fingerprint.K])]
-        if len(inner[0][0]):
-            out.append(i)
+    for i in range(len(codes) - K + 1):
+        inner = [final(naive_hash(codes[j : j + S])) for j in range(i, i + K - S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            a8, a16 = pow(0xD1342543DE82EF95, 8, 2**64), pow(0xD1342543DE82EF95, 16, 2**64)
+            q = [naive_hash(codes[i + 8 * x : i + 8 * x + 8]) for x in range(4)]
+            out.append((i, final(((q[0] * a8 + q[1]) * a16 + q[2] * a8 + q[3]) % 2**64) >> 52))
     return out
 
 
+def naive_fingerprint(text):
+    """(fingerprint, tokens) by plain loops."""
+    found = naive_anchors(text)
+    if not found and text:
+        h = len(text)
+        for c in text:
+            h = int(fingerprint.mix(np.array([(h + int(fingerprint.mix(np.array([ord(c)], np.uint64))[0])) % 2**64], np.uint64))[0])
+        found = [(0, h >> 52)]
+    digits, out, shown, before = fingerprint._DIGITS.tobytes().decode(), [], "", 0
+    for p, h in found:
+        gap, before = p - before, p
+        out.append((gap, h))
+        shown += digits[63] * (gap // 63) + digits[gap % 63] + digits[h >> 6] + digits[h & 63]
+    return shown, out
+
+
+def naive_likeness(a, b):
+    """By the table of longest common sequences of tokens and their times."""
+    def times(x):
+        seen = Counter()
+        out = []
+        for t in x:
+            out.append((t, seen[t]))
+            seen[t] += 1
+        return out
+
+    m = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = times(a[m:]), times(b[m:])
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+    shared = m + best[-1][-1]
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+
+
 def test_fingerprints(spark, texts):
-    rows = [r for r in texts if r[0] is not None and r[0] != 5] + [(5, texts[5][1])]
+    rows = [(d, t if t is None or len(t) < 900 else t[:900]) for d, t in texts if d is not None][:70:2] + [(900, "x" * 400), (901, ""), (902, None), (903, "ab" * 20)]
+    rows = list(dict(rows).items())
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows, 5)).collect()}
-    order = sorted({d: t for d, t in rows}.items(), reverse=True)
+    order = sorted(dict(rows).items(), reverse=True)
+    assert len(got) == len(rows)
+    made = {t: naive_fingerprint(t) for _, t in [(0, t or "") for _, t in order]}
     for i, (d, t) in enumerate(order):
         t, n = t or "", order[(i + 1) % len(order)][1] or ""
         m = len(t) // 3
         e = t[: len(t) - m] + n[:m]
-        r = got[d]
+        own, new, r = made[t], naive_fingerprint(e), got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert r.fingerprint == fingerprint.write_sketch(fingerprint.sketch(t)) and r.edited_fingerprint == fingerprint.write_sketch(fingerprint.sketch(e))
-        assert r.near_next == fingerprint.likeness(fingerprint.sketch(t), fingerprint.sketch(n)) and 0 <= r.near_edited <= 1
-    text = texts[3][1]
-    assert fingerprint.anchors(text)[0].tolist() == naive_anchors(text)  # whether a k-mer is an anchor depends on itself only
-    assert fingerprint.likeness(fingerprint.sketch(""), fingerprint.sketch(None)) == 1.0 and fingerprint.likeness(fingerprint.sketch("a"), fingerprint.sketch("")) == 0.0
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], new[0])
+        assert r.near_edited == naive_likeness(own[1], new[1]) and r.near_next == naive_likeness(own[1], made[n][1])
+    text = texts[3][1] + " far from it"
+    assert fingerprint.anchors(text)[0].tolist() == [p for p, _ in naive_anchors(text)]
     assert fingerprint.fingerprint_documents(documents(spark, [])).count() == 0
     one = fingerprint.fingerprint_documents(documents(spark, [(1, "x" * 40)])).first()
     assert one.near_next == 1.0
     assert fingerprint.document_anchors(documents(spark, [(1, text), (2, None)])).count() == len(naive_anchors(text))
 
 
+def test_fingerprints_are_read_back():
+    rng = random.Random(2)
+    for n in (0, 1, 31, 32, 60, 500, 5000):
+        made = fingerprint.tokens("".join(rng.choice("abc dé") for _ in range(n)))
+        assert fingerprint.read_tokens(fingerprint.write_tokens(made)).tolist() == made.tolist()
+    far = np.array([0 << 12 | 5, 62 << 12 | 4095, 63 << 12, 640 << 12 | 77])
+    assert fingerprint.read_tokens(fingerprint.write_tokens(far)).tolist() == far.tolist()
+
+
+def test_likeness_follows_edits():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    moved = text[:2000] + "inserted words " + text[2000:]
+    swapped = text[3000:] + text[:3000]
+    other = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    like = lambda x: fingerprint.likeness(fingerprint.tokens(text), fingerprint.tokens(x))
+    assert like(text) == 1.0 and like(moved) > 0.97 and like(other) < 0.01
+    assert 0.3 < like(swapped) < 0.36  # half of it is in order
+
+
 def test_short_texts_have_fingerprints(spark):
     rng = random.Random(6)
-    for n in range(1, 30):
+    for n in range(1, 60):
         made = ["".join(rng.choice("abcdefghé ") for _ in range(n)) for _ in range(60)]
-        sketches = {t: fingerprint.sketch(t) for t in made}
-        assert all(len(s) for s in sketches.values())
-        whole = [t for t in sketches if not len(fingerprint.anchors(t)[0])]
-        assert bool(whole) <= (16 <= n <= 22)
-        assert all(fingerprint.likeness(sketches[a], sketches[b]) == (a == b) for a in whole for b in whole)
-        assert all(fingerprint.likeness(sketches[t], fingerprint.sketch("")) == 0.0 for t in made)
+        found = {t: fingerprint.tokens(t) for t in made}
+        assert all(len(s) for s in found.values())
+        whole = [t for t in found if not len(fingerprint.anchors(t)[0])]
+        assert not whole or n <= 54
+        assert all(fingerprint.likeness(found[t], found[t]) == 1.0 for t in whole)
+        assert all(fingerprint.likeness(found[t], fingerprint.tokens("")) == 0.0 for t in made)
     rows = [(2, "Ente erkeitung chst."), (1, None)]
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
     assert got[2].fingerprint and got[2].near_next == 0.0 and not got[1].fingerprint
