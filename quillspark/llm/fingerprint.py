@@ -141,14 +141,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-OUT = pa.schema([("part", pa.int32()), ("edge", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
-OUT_SQL = "part int, edge string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+#: The working table.  An edited text's fingerprint begins as the text's own does: only ``kept`` (so many characters of that) and the rest are stored.
+OUT = pa.schema([("part", pa.int32()), ("edge", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("kept", pa.int32()), ("rest", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
+OUT_SQL = "part int, edge string, doc_id long, n_chars long, edited_sha256 string, fingerprint string, kept int, rest string, near_edited double, near_next double, text string"
 
 
 def _finish(text: str, own: np.ndarray, following: str, next_tokens: np.ndarray) -> tuple:
     new = edited(text, following)
     s = tokens(new) if new != text else own
-    return hashlib.sha256(new.encode()).hexdigest(), write_tokens(own), write_tokens(s), likeness(own, s), likeness(own, next_tokens)
+    m = min(len(own), len(s))
+    other = own[:m] != s[:m]
+    same = int(other.argmax()) if other.any() else m
+    shown = write_tokens(own)
+    kept = 3 * same + int(((own[:same] >> 12) // FAR).sum())
+    return hashlib.sha256(new.encode()).hexdigest(), shown, kept, write_tokens(s[same:]), likeness(own, s), likeness(own, next_tokens)
 
 
 def _stream(batches):
@@ -165,13 +171,13 @@ def _stream(batches):
                 d, t, s = held
                 rows.append((part, "", d, len(t), *_finish(t, s, text, own), None))
             if first:
-                rows.append((part, "head", doc, len(text), None, write_tokens(own), None, None, None, text))
+                rows.append((part, "head", doc, len(text), None, write_tokens(own), None, None, None, None, text))
                 first = False
             held = (doc, text, own)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(OUT), OUT)], schema=OUT)
     if held is not None:
         d, t, s = held
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((part, "tail", d, len(t), None, write_tokens(s), None, None, None, t), OUT)], schema=OUT)
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((part, "tail", d, len(t), None, write_tokens(s), None, None, None, None, t), OUT)], schema=OUT)
 
 
 def _ends(batches):
@@ -197,7 +203,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads = heads.select("part", F.col("text").alias("following"), F.col("fingerprint").alias("other")).join(parts, F.col("part") == F.col("p")).drop("part", "p")
     tails = rows.filter("edge = 'tail'").join(heads, F.col("part") == F.col("of")).select("doc_id", "text", "fingerprint", "following", "other")
     out = rows.filter("edge = ''").unionByName(tails.mapInArrow(_ends, OUT_SQL))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    new = F.concat(F.substring("fingerprint", F.lit(1), F.col("kept")), F.col("rest"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", new.alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def document_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
