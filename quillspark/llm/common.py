@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
 _own_dir: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -19,10 +20,12 @@ def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has set; a temporary one only on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="quill-")
@@ -30,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/quill-{spark.sparkContext.applicationId}"
+    if top not in _swept:  # results are read from these tables as long as the session lives
+        _swept.add(top)
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +59,7 @@ def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes this application's working tables."""
+    """Deletes this application's working tables now; they go by themselves when it ends."""
     top = f"{shared_dir(spark)}/quill-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(top)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

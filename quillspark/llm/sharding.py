@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, docs_table, temp_name
+from .common import cut, docs_table
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[int]:
@@ -70,9 +70,11 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[int]:
     return [shard[find(i)] for i in range(len(sizes))]
 
 
-def shard_documents(df: DataFrame, n_shards: int = 8, text: str = "text", order: str = "doc_id", n_pieces: int = 4096, detail: int = 512, rows_per_run: int = 1_000_000, keep: list[str] | None = None) -> DataFrame:
+def shard_documents(df: DataFrame, n_shards: int = 8, text: str = "text", order: str = "doc_id", n_pieces: int = 4096, detail: int = 512, rows_per_run: int = 1_000_000, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns (default: ``order``) with size, text_crc32, law, shard, slot and grown_shard.
 
+    prefix: stands before the names of added columns, where ``keep`` has such names.
+
     Slots number a shard's rows without gaps from 0.  They are dealt in runs: rows
     of a shard are split by a hash of the text and id into runs of about
     ``rows_per_run`` rows, runs are numbered within, and the runs' counts are
@@ -80,11 +82,11 @@ def shard_documents(df: DataFrame, n_shards: int = 8, text: str = "text", order:
     """
     spark = df.sparkSession
     keep = [order] if keep is None else keep
-    size, crc, key, run = temp_name(df, "size", "crc", "key", "run")
+    size, crc, key, run, at = "size", "crc", "key", "run", "order"
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        *keep,
-        *([order] if order not in keep else []),
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
+        F.col(f"`{order}`").alias(at),
         (F.octet_length(body).cast("long") + 1).alias(size),
         F.crc32(body.cast("binary")).alias(crc),
         F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text), F.octet_length(F.col(text)))).alias(key),
@@ -107,20 +109,13 @@ def shard_documents(df: DataFrame, n_shards: int = 8, text: str = "text", order:
     out = rows.join(F.broadcast(by_key), F.col(key) == F.col("_g"), "left")
     out = out.withColumn("shard", F.coalesce(F.col("_gs"), F.element_at(F.lit(of_piece), piece + 1)).cast("int")).drop("_g", "_gs")
     runs = max(16, -(-n // rows_per_run))
-    out = out.withColumn(run, F.pmod(F.xxhash64(F.col(key), F.col(order)), F.lit(runs)).cast("int"))
+    out = out.withColumn(run, F.pmod(F.xxhash64(F.col(key), F.col(at)), F.lit(runs)).cast("int"))
     counts = out.groupBy("shard", run).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy(run).rowsBetween(Window.unboundedPreceding, -1))).select(F.col("shard").alias("_s"), F.col(run).alias("_r"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    out = out.withColumn("_at", F.row_number().over(Window.partitionBy("shard", run).orderBy(order, key)))
+    out = out.withColumn("_at", F.row_number().over(Window.partitionBy("shard", run).orderBy(at, key)))
     out = out.join(before, (F.col("shard") == F.col("_s")) & (F.col(run) == F.col("_r")), "left")
-    return out.select(
-        *keep,
-        F.col(size).alias("size"),
-        F.col(crc).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("_before") + F.col("_at") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    added = {"size": F.col(size), "text_crc32": F.col(crc), "law": F.lit("bytes"), "shard": F.col("shard"), "slot": (F.col("_before") + F.col("_at") - 1).cast("long"), "grown_shard": F.lit(None).cast("int")}
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[v.alias(prefix + c) for c, v in added.items()])
 
 
 def op2_kk_shards(spark, sf_dir: str) -> DataFrame:
