@@ -97,51 +97,75 @@ def restore_headers(text: Column, original: Column) -> Column:
     return F.aggregate(heads, text, lambda t, x: F.replace(t, F.concat(F.lit("[[KEPT_TURN_"), x["i"].cast("string"), F.lit("]]")), x["h"]))
 
 
-def redact(text: Column, terms: str | list[str] | None = None, engine=None) -> Column:
-    """The whole chain; turn headers of transcripts stay as they are.
+def chain(text: Column, terms: str | list[str] | None) -> Column:
+    def steps(x: Column) -> Column:
+        t = x["t"]
+        for _, pattern, label, may in STEPS:
+            # no step brings digits into a text: whether it has any is asked once
+            t = let(t, _guarded(pattern, label, (lambda t: x["digits"]) if may is _digit else may))
+        return t
 
-    engine: a Column function run after the patterns, for models of one's own.
-    """
-
-    def body(t: Column) -> Column:
-        if terms:
-            t = redact_terms(t, terms)
+    return let(redact_terms(text, terms) if terms else text, lambda t: let(F.struct(t.alias("t"), _digit(t).alias("digits")), steps))
 
-        def chain(x: Column) -> Column:
-            t = x["t"]
-            for _, pattern, label, may in STEPS:
-                # no step brings digits into a text: whether it has any is asked once
-                t = let(t, _guarded(pattern, label, (lambda t: x["digits"]) if may is _digit else may))
-            return engine(t) if engine else t
 
-        return let(t, lambda t: let(F.struct(t.alias("t"), _digit(t).alias("digits")), chain))
+def redact(text: Column, terms: str | list[str] | None = None) -> Column:
+    """The whole chain; turn headers of transcripts stay as they are.  ``engines`` adds models of one's own."""
 
     def guarded(t: Column) -> Column:
-        has = t.contains("**[")
-        return F.when(has, restore_headers(body(stash_headers(t)), t)).otherwise(body(t))
+        return F.when(t.contains("**["), restore_headers(chain(stash_headers(t), terms), t)).otherwise(chain(t, terms))
 
     return let(text, guarded)
 
 
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def redact_sql(text: str) -> str:
+    """The chain of the name ``text`` as an SQL expression, every step without its cheap test."""
+
+    def steps(t: str) -> str:
+        for _, pattern, label, _ in STEPS:
+            t = f"regexp_replace({t}, {_literal(pattern)}, {_literal(label)})"
+        return t
+
+    head, mark = _literal(HEADER), "concat('[[KEPT_TURN_', cast(i as string), ']]')"
+    stashed = f"array_join(transform(split({text}, {head}, -1), (p, i) -> if(i < size(split({text}, {head}, -1)) - 1, concat(p, {mark}), p)), '')"
+    heads = f"transform(regexp_extract_all({text}, {head}, 1), (h, i) -> named_struct('h', h, 'm', {mark}))"
+    return f"CASE WHEN contains({text}, '**[') THEN aggregate({heads}, {steps(stashed)}, (t, x) -> replace(t, x.m, x.h)) ELSE {steps(text)} END"
+
+
 def label_counts(text: Column, labels: list[str] = LABELS) -> list[Column]:
-    """How often each label stands in a redacted text."""
-    return [F.regexp_count(text, F.lit(re.escape(f"[REDACTED_{name}]"))).cast("long").alias(name.lower()) for name in labels]
+    """How often each label stands in a redacted text; texts without any are passed over by one cheap test."""
+    some = text.contains("[REDACTED_")
+    return [F.when(some, F.regexp_count(text, F.lit(re.escape(f"[REDACTED_{name}]")))).when(text.isNotNull(), 0).cast("long").alias(name.lower()) for name in labels]
+
+
+# Labels of entities and what takes their place.
+ENTITY_LABELS = {"PERSON": "[REDACTED_NAME]", "ORG": "[REDACTED_ORG]", "GPE": "[REDACTED_LOCATION]"}
 
 
 def splice_entities(text: Column, entities: Column) -> Column:
     """Replaces spans (array<struct<start, end, label>>, code points) of people, organisations and places by their labels, from right to left."""
-    label = F.create_map(*[F.lit(x) for x in ("PERSON", "[REDACTED_NAME]", "ORG", "[REDACTED_ORG]", "GPE", "[REDACTED_LOCATION]")])
+    label = F.create_map(*[F.lit(x) for pair in ENTITY_LABELS.items() for x in pair])
     ordered = F.reverse(F.array_sort(entities))
     return F.aggregate(ordered, text, lambda t, e: F.when(F.try_element_at(label, e["label"]).isNull(), t).otherwise(F.concat(F.substring(t, F.lit(1), e["start"].cast("int")), F.try_element_at(label, e["label"]), F.substring(t, (e["end"] + 1).cast("int"), F.length(t)))))
 
 
 def pack_lines(text: Column, most: int = 4000) -> Column:
-    """Lines packed into chunks of at most ``most`` characters (a longer line stands alone), for a model that reads so much."""
-    lines = F.split(text, "(?<=\n)", -1)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    """Lines packed into chunks for a model that reads so much; joined by line feeds they are the text again.
 
-    def add(a: Column, x: Column) -> Column:
-        full = (F.length(a["held"]) + F.length(x) > most) & (a["held"] != "")
-        return F.struct(F.when(full, F.array_append(a["done"], a["held"])).otherwise(a["done"]).alias("done"), F.when(full, x).otherwise(F.concat(a["held"], x)).alias("held"))
+    A line weighs its length and one more, but only its length where it begins a chunk after another.  A longer
+    line stands alone; where it is the first, an empty chunk comes before it.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
 
-    return F.aggregate(lines, start, add, lambda a: F.when(a["held"] != "", F.array_append(a["done"], a["held"])).otherwise(a["done"]))
+    def add(a: Column, x: Column) -> Column:
+        full = a["n"] + F.length(x) + 1 > most
+        return F.struct(
+            F.when(full, F.array_append(a["done"], F.array_join(a["held"], "\n"))).otherwise(a["done"]).alias("done"),
+            F.when(full, F.array(x)).otherwise(F.array_append(a["held"], x)).alias("held"),
+            F.when(full, F.length(x)).otherwise(a["n"] + F.length(x) + 1).alias("n"),
+        )
+
+    return F.aggregate(F.split(text, "\n", -1), start, add, lambda a: F.array_append(a["done"], F.array_join(a["held"], "\n")))

@@ -1,28 +1,61 @@
-"""The scalar operators as SQL functions."""
+"""The scalar operators as SQL functions, and two table functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .redact import redact_sql
+
+
+class ZipEntries:
+    """zip_entries(name, content): the members of an archive with their sizes and why they are skipped (null: they aren't)."""
+
+    def eval(self, name: str, content: bytes):
+        import io
+        import zipfile
+
+        from ..sources.convert import member_skip
+
+        for m in zipfile.ZipFile(io.BytesIO(content)).infolist():
+            if not m.is_dir():
+                yield m.filename, m.file_size, member_skip(m.filename, m.file_size)
+
+
+class MergeTurns:
+    """merge_turns(TABLE(SELECT doc_id, seq, start, end, speaker, text ...) PARTITION BY doc_id ORDER BY seq): segments of one speaker without a pause above three seconds as one."""
+
+    def __init__(self):
+        self.seq, self.held = 0, None
+
+    def eval(self, row):
+        text = (row["text"] or "").strip()
+        if not text:
+            return
+        start, end, speaker = row["start"], max(row["start"], row["end"]), row["speaker"]
+        held = self.held
+        if held and speaker is not None and held[4] == speaker and start - held[3] <= 3.0:
+            self.held = (*held[:3], max(held[3], end), speaker, f"{held[5]} {text}")
+            return
+        if held:
+            yield held
+        self.seq += 1
+        self.held = (row["doc_id"], self.seq, start, end, speaker, text)
+
+    def terminate(self):
+        if self.held:
+            yield self.held
+
 
 def register(spark: SparkSession) -> None:
-    """Defines temporary SQL functions; they are expressions, so they are optimised like built-in ones."""
+    """Defines temporary SQL functions; the scalar ones are expressions, so they are optimised like built-in ones."""
+    from pyspark.sql.functions import udtf
+
     define = lambda name, args, kind, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
     define("estimate_tokens", "t STRING", "BIGINT", "greatest(1, length(t) div 4)")
     define("raw_tokens", "n BIGINT", "BIGINT", "greatest(1, n div 4)")
     define("slugify", "t STRING", "STRING", r"regexp_replace(regexp_replace(lower(t), r'(?U)[^\p{L}\p{N}_\s-]', ''), r'(?U)\s+', '-')")
     define("format_timestamp", "s DOUBLE", "STRING", "format_string('%02d:%02d:%02d', cast(greatest(0D, bround(s)) as bigint) div 3600, cast(greatest(0D, bround(s)) as bigint) % 3600 div 60, cast(greatest(0D, bround(s)) as bigint) % 60)")
     define("parse_vtt", "t STRING", "STRING", r"array_join(filter(transform(split(t, r'\r\n|\r|\n', -1), x -> regexp_replace(x, r'(?U)^\s+|\s+$', '')), x -> x <> '' AND x <> 'WEBVTT' AND NOT x rlike r'(?U)^\d+$' AND NOT contains(x, '-->')), '\n\n')")
-    spark.udf.register("redact_pii", _python_redact())  # in Arrow batches; DataFrames have the Column form, redact.redact
-
-
-def _python_redact():
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def redact_pii(s):
-        from .pyredact import redact_text
-
-        return s.map(lambda t: redact_text(t) if t is not None else None)
-
-    return redact_pii
+    define("redact_pii", "content STRING", "STRING", redact_sql("content"))
+    spark.udtf.register("zip_entries", udtf(ZipEntries, returnType="name string, size long, skip string"))
+    spark.udtf.register("merge_turns", udtf(MergeTurns, returnType="doc_id long, seq long, start double, end double, speaker string, text string"))

@@ -24,23 +24,41 @@ def output_name(path: Column) -> Column:
     return F.concat(F.substring(path, F.lit(1), (F.length(path) - F.length(ext)).cast("int")), F.lit(".md"))
 
 
+NUMBERED = r" \((\d+)\)"
+
+
 def unique_outputs(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Adds output to (path): sources of one target share it in order of path; ``name (1).md`` and on for all but the first.
+    """Adds output to (path): in order of path, each source takes the first free of ``name.md``, ``name (1).md``, ``name (2).md``, ...
 
-    taken: (output) names that exist; numbers go on after the highest of them.  Naming
-    doesn't depend on which task comes first.
+    taken: (output) names that exist.  Naming doesn't depend on which task comes first; a path that is listed
+    twice has one output.  Names that can meet differ in their numbers only: such a family is settled in one
+    place, and only if it has more than one member; most files are renamed by nobody and never move.
     """
-    rows = files.withColumn("target_", output_name(F.col("path")))
-    stem = F.regexp_replace("target_", r"\.md\z", "")
-    rank = F.row_number().over(Window.partitionBy("target_").orderBy("path")) - 1
-    rows = rows.withColumn("n_", rank)
+    family = F.regexp_replace(F.regexp_replace("target", r"\.md\z", ""), f"({NUMBERED})+\\z", "")
+    wanted = files.select("path").distinct().select(F.lit(False).alias("taken"), "path", output_name(F.col("path")).alias("target"))
     if taken is not None:
-        number = F.regexp_extract("output", r"\A([\s\S]*?)(?: \((\d+)\))?\.md\z", 2)
-        base = F.concat(F.regexp_extract("output", r"\A([\s\S]*?)(?: \((\d+)\))?\.md\z", 1), F.lit(".md"))
-        used = taken.groupBy(base.alias("target_")).agg((F.max(F.when(number == "", 0).otherwise(number.cast("int"))) + 1).alias("from_"))
-        rows = rows.join(used, "target_", "left").withColumn("n_", F.col("n_") + F.coalesce("from_", F.lit(0))).drop("from_")
-    name = F.when(F.col("n_") == 0, F.col("target_")).otherwise(F.concat(stem, F.lit(" ("), F.col("n_").cast("string"), F.lit(").md")))
-    return rows.withColumn("output", name).drop("target_", "n_")
+        wanted = wanted.union(taken.select(F.lit(True), "output", "output").distinct())
+    wanted = wanted.withColumn("family", family)
+    several = wanted.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family")
+
+    def settle(part):
+        used, free, out = set(part["target"][part["taken"]]), {}, []
+        rest = part[~part["taken"]].sort_values("path")
+        for path, target in zip(rest["path"], rest["target"]):
+            n, name = free.get(target, 0), target
+            while n and (name := f"{target[:-3]} ({n}).md") in used or not n and target in used:
+                n += 1
+            free[target] = n + 1
+            used.add(name)
+            out.append((path, name))
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=["path_", "output_"])
+
+    named = wanted.join(several, "family", "left_semi").select("family", "taken", "path", "target").groupBy("family").applyInPandas(settle, "path_ string, output_ string")
+    renamed = named.filter(F.col("output_") != output_name(F.col("path_")))
+    rows = files.join(renamed, F.col("path") == F.col("path_"), "left")
+    return rows.withColumn("output", F.coalesce("output_", output_name(F.col("path")))).drop("path_", "output_")
 
 
 def apply_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -129,6 +147,31 @@ def events(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(F.lit("file").alias("event"), "path", "status", "output", "tokens", "source_tokens", "error")).alias("value"))
 
 
+def combined_only(results: DataFrame, collection: str, stamp: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the combined document, summary) of a batch that leaves only the combined document, if at least two files were converted.
+
+    The summary's tokens are then the combined document's.  Nothing is deleted: single outputs just aren't written.
+    """
+    done = results.filter("status = 'done'")
+    one = combined(done.select(F.lit(collection).alias("collection"), F.col("output").alias("name"), F.col("markdown").alias("body")), stamp).filter("n_files > 1")
+    total = batch_summary(results)
+    both = total.withColumn("c_", F.lit(None).cast("long")).unionByName(one.select(F.col("tokens").cast("long").alias("c_")), allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])  # of two rows at most
+    return one, both.withColumn("tokens", F.coalesce("c_", "tokens")).drop("c_")
+
+
+def event_stream(results: DataFrame, combined_output: DataFrame | None = None, base_dir: str = "") -> DataFrame:
+    """(seq, value): the JSON lines of a batch: its start, one line for each file, the combined document (output, tokens), and the summary."""
+    line = lambda n, df, **cols: df.select(F.lit(n).alias("seq"), F.to_json(F.struct(*[c.alias(k) for k, c in cols.items()])).alias("value"))
+    total = results.agg(F.count(F.lit(1)).alias("total"))
+    out = line(0, total, event=F.lit("start"), total=F.col("total"), base_dir=F.lit(base_dir))
+    out = out.union(events(results).select(F.lit(1).alias("seq"), "value"))
+    if combined_output is not None:
+        out = out.union(line(2, combined_output, event=F.lit("combined"), output=F.col("output"), tokens=F.col("tokens")))
+    summary = batch_summary(results)
+    return out.union(line(3, summary, event=F.lit("summary"), **{c: F.col(c) for c in ("converted", "failed", "skipped", "tokens", "saved_vs_raw", "src_tokens", "out_comparable")}))
+
+
 def recommended_model(os: Column, vulkan: Column, vram_mb: Column, ram_mb: Column) -> Column:
     """The speech model for a machine."""
     # Model names and memory limits that must equal the original's.
@@ -139,6 +182,31 @@ def recommended_model(os: Column, vulkan: Column, vram_mb: Column, ram_mb: Colum
     )
 
 
+def active_model(installed: DataFrame, catalog: DataFrame, preferred: str = "", saved: str = "") -> DataFrame:
+    """(model): the first installed (model) of the preferred one, the saved one and the catalog (seq, model) in its order; no row if none is."""
+    first = [(i - 2, m.strip()) for i, m in enumerate((preferred or "", saved or "")) if m.strip()]
+    spark = catalog.sparkSession
+    wanted = catalog.select(F.col("seq").cast("long").alias("seq"), "model").union(spark.createDataFrame(first, "seq long, model string"))
+    return wanted.join(installed.select("model"), "model", "left_semi").orderBy("seq", "model").limit(1).select("model")
+
+
+def gpu_decision(model: Column, vulkan: Column, vram_mb: Column, override: str | None = None) -> Column:
+    """struct(gpu, reason): whether speech recognition should use the GPU."""
+    # Settings, limits and reasons that must equal the original's.
+    say = lambda gpu, why: F.struct(F.lit(gpu).alias("gpu"), F.lit(why).alias("reason"))
+    word = (override or "").strip()
+    if word in ("0", "false", "off"):
+        return say(False, "forced off by DOCPREP_AUDIO_GPU")
+    if word in ("1", "true", "on"):
+        return say(True, "forced on by DOCPREP_AUDIO_GPU")
+    return (
+        F.when(~F.coalesce(vulkan, F.lit(False)), say(False, "no Vulkan-capable GPU"))
+        .when(F.coalesce(vram_mb, F.lit(0)) < 2048, say(False, "GPU has under 2 GB of dedicated memory"))
+        .when(~model.startswith("whisper-large"), say(False, "small model: CPU avoids per-process Vulkan pipeline compilation"))
+        .otherwise(say(True, "large model on a Vulkan GPU"))
+    )
+
+
 def error_code(kind: Column) -> Column:
     """Exit code of an error kind."""
     return F.when(kind.isin("invalid_args", "file_not_found", "model_missing"), 2).when(kind == "no_audio", 3).when(kind.isin("decode_error", "inference_error"), 1)

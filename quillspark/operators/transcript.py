@@ -48,19 +48,29 @@ def clamp_words(words: DataFrame, duration: Column) -> DataFrame:
 
 
 def smooth_flips(words: DataFrame, max_word: float = 0.55, max_gap: float = 0.75) -> DataFrame:
-    """A short word between two of one other speaker takes that speaker, from left to right, seeing what was already changed."""
-    w = F.col("ws_")
+    """A short word between two of one other speaker takes that speaker, from left to right, seeing what was already changed.
+
+    Only a short word with short pauses on both sides can flip, so a word that isn't one ends what earlier
+    flips can do: the fold runs over such words and the one before them, not over the transcript.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    may = (F.col("end") - F.col("start") < max_word) & (F.col("start") - F.lag("end").over(order) < max_gap) & (F.lead("start").over(order) - F.col("end") < max_gap)
+    rows = words.select("doc_id", "seq", "word", "start", "end", "raw_speaker", F.lead("raw_speaker").over(order).alias("after"), F.coalesce(may, F.lit(False)).alias("may"))
+    rows = rows.withColumn("run", F.sum((~F.col("may")).cast("int")).over(order))
+    runs = rows.groupBy("doc_id", "run").agg(_ordered("seq", "word", "start", "end", "raw_speaker", "after").alias("ws_"))
+
+    def add(done: Column, x: Column) -> Column:
+        left = F.element_at(done, -1)
+        return F.array_append(done, F.when((left == x["after"]) & (x["raw_speaker"] != left), left).otherwise(x["raw_speaker"]))
+
+    spoken = F.aggregate(F.slice("ws_", 2, F.size("ws_")), F.array(F.element_at("ws_", 1)["raw_speaker"]).cast("array<string>"), add)
+    out = runs.select("doc_id", F.explode(F.arrays_zip("ws_", spoken.alias("speaker"))).alias("x"))
+    return out.select("doc_id", *[F.col(f"x.ws_.{c}").alias(c) for c in ("seq", "word", "start", "end")], F.col("x.speaker").alias("raw_speaker"))
 
-    def add(done: Column, k: Column) -> Column:
-        here, before, after = F.element_at(w, k), F.element_at(w, k - 1), F.element_at(w, k + 1)
-        left = F.try_element_at(done, F.lit(-1))
-        flip = (left == after["raw_speaker"]) & (here["raw_speaker"] != left) & (here["end"] - here["start"] < max_word) & (here["start"] - before["end"] < max_gap) & (after["start"] - here["end"] < max_gap)
-        return F.array_append(done, F.when((k > 1) & (k < F.size(w)), F.when(F.coalesce(flip, F.lit(False)), left).otherwise(here["raw_speaker"])).otherwise(here["raw_speaker"]))
 
-    rows = words.groupBy("doc_id").agg(_ordered("seq", "word", "start", "end", "raw_speaker").alias("ws_"))
-    spoken = F.aggregate(F.sequence(F.lit(1), F.size(w)), F.array().cast("array<string>"), add)
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("ws_", spoken.alias("speaker"))).alias("x"))
-    return rows.select("doc_id", F.col("x.ws_.seq").alias("seq"), F.col("x.ws_.word").alias("word"), F.col("x.ws_.start").alias("start"), F.col("x.ws_.end").alias("end"), F.col("x.speaker").alias("raw_speaker"))
+def distinct_speakers(segments: DataFrame) -> DataFrame:
+    """(doc_id, n_speakers): the speakers whose names a transcript has."""
+    return segments.groupBy("doc_id").agg(F.count_distinct("speaker").alias("n_speakers"))
 
 
 def canonical_speakers(words: DataFrame, raw: str = "raw_speaker") -> DataFrame:

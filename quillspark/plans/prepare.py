@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..formats import extension
 from ..functions import text as T
+from ..functions.engines import EntityEngine, TextEngine, redact_with
 from ..functions.redact import redact
 from ..operators import batch as B
 from ..sources.convert import convert_files
@@ -21,6 +22,7 @@ class Options:
     terms: str | None = None
     allow_zip: bool = False
     stamp: str | None = None
+    engine: EntityEngine | TextEngine | None = None
     overwrite: bool = True
 
 
@@ -30,15 +32,17 @@ def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame
     manifest: (source, output) of an earlier run, whose names are kept; existing:
     (output) names that are taken when ``overwrite`` is off.
     """
-    made = files.select("path", "n_bytes").join(convert_files(files, options.allow_zip), "path")
+    made = convert_files(files, options.allow_zip)
     ext = extension(F.col("path"))
     text: Column = T.append(F.col("markdown"), T.unread_note(F.col("unread"), ext))
     stamp = F.lit(options.stamp) if options.stamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     if options.yaml:
         text = F.concat(T.frontmatter(F.col("path"), stamp), text)
-    if options.redact:
+    if options.redact and not options.engine:
         text = redact(text, options.terms)
     done = made.withColumn("status", F.when(F.col("error").isNull(), "done").otherwise("error")).withColumn("markdown", F.when(F.col("error").isNull(), text))
+    if options.redact and options.engine:
+        done = redact_with(done, options.engine, "markdown", options.terms)
     tokens = F.when(F.col("status") == "done", T.estimate_tokens(F.col("markdown")))
     done = done.withColumn("tokens", tokens).withColumn("source_tokens", F.when(F.col("status") == "done", T.source_tokens(F.col("path"), F.col("n_bytes"), F.col("members"), F.col("pages"), F.col("tokens"))))
     done = B.unique_outputs(done, None if options.overwrite else existing)

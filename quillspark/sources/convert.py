@@ -271,13 +271,13 @@ def pdf_to_markdown(raw: bytes) -> str:
     if not raw.lstrip().startswith(b"%PDF"):
         raise ConversionError("not a PDF file")
     out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", raw, re.S):
+    for m in re.finditer(rb"stream\r?\n(.*?)endstream", raw, re.S):
         data = m[1]
         try:
-            data = zlib.decompress(data)
+            data = zlib.decompressobj().decompress(data)  # leaves the line feed behind the data alone
         except zlib.error:
             pass
-        for block in re.findall(rb"BT(.*?)ET", data, re.S):
+        for block in re.findall(rb"\bBT\b((?:\((?:\\.|[^\\)])*\)|[^(])*?)\bET\b", data, re.S):
             line = []
             for piece in re.finditer(rb"\(((?:\\.|[^\\)])*)\)|(T\*|Td|TD|'|\")", block, re.S):
                 if piece[2]:
@@ -321,6 +321,17 @@ def suffix(name: str) -> str:
     return posixpath.splitext(posixpath.basename(name))[1].lower()
 
 
+def member_skip(name: str, size: int) -> str | None:
+    """Why a member of an archive is left out, 'silent' if without a word, or None."""
+    base, ext = posixpath.basename(name), suffix(name)
+    if not base or base.startswith(("~$", ".")):
+        return "silent"
+    for why, out in (("nested archive", ext == ".zip"), ("audio/video skipped in archives", ext in formats.MEDIA), ("unsupported type", ext not in formats.CONVERTIBLE), ("exceeds size cap", size > formats.ZIP_MAX_ENTRY)):
+        if out:
+            return why
+    return None
+
+
 def archive_to_markdown(name: str, raw: bytes) -> str:
     """Every member that converts, and the list of those that don't."""
     z = _zip(raw)
@@ -332,17 +343,16 @@ def archive_to_markdown(name: str, raw: bytes) -> str:
         raise ConversionError(f"Archive expands to {total >> 20} MB; limit is {formats.ZIP_MAX_TOTAL >> 20} MB")
     parts, skipped = [f"# Archive: {posixpath.basename(name)}"], []
     for m in members:
-        base, ext = posixpath.basename(m.filename), suffix(m.filename)
-        if not base or base.startswith(("~$", ".")):
+        why = member_skip(m.filename, m.file_size)
+        if why == "silent":
             continue
-        why = "nested archive" if ext == ".zip" else "audio/video skipped in archives" if ext in formats.MEDIA else "unsupported type" if ext not in formats.CONVERTIBLE else "exceeds size cap" if m.file_size > formats.ZIP_MAX_ENTRY else None
         if why is None:
             with z.open(m) as f:
                 body = f.read(formats.ZIP_MAX_ENTRY + 1)
             if len(body) > formats.ZIP_MAX_ENTRY:
                 raise ConversionError(f"Archive entry {m.filename} exceeds the size cap while decompressing")
             try:
-                parts.append(f"\n---\n## {m.filename}\n\n{CONVERTERS[ext](body)}")
+                parts.append(f"\n---\n## {m.filename}\n\n{CONVERTERS[suffix(m.filename)](body)}")
                 continue
             except Exception as e:  # noqa: BLE001  one broken member doesn't end the archive
                 why = f"conversion failed: {e}"
@@ -406,12 +416,12 @@ RESULT = "markdown string, error string, pages int, unread int, members array<st
 
 
 def convert_files(files: DataFrame, allow_zip: bool = False, ocr: bool = False) -> DataFrame:
-    """(path, content) with markdown, error, pages, unread images and zip members.
+    """(path, n_bytes, content) to path, n_bytes, markdown, error, pages, unread images and zip members, one row for each row.
 
     Files that the routes refuse get their error as a column and never reach Python.
     """
-    routed = files.withColumn("r_", formats.route(F.col("path"), allow_zip, ocr)).withColumn("route", F.col("r_.route")).withColumn("refused", F.col("r_.error")).drop("r_")
-    todo = routed.filter("route IN ('document', 'vtt', 'zip')").select("path", "content")
+    routed = files.select("path", F.col("n_bytes").cast("long").alias("n_bytes"), "content").withColumn("r_", formats.route(F.col("path"), allow_zip, ocr)).withColumn("route", F.col("r_.route")).withColumn("refused", F.col("r_.error")).drop("r_")
+    todo = routed.filter("route IN ('document', 'vtt', 'zip')").select("path", "content", "n_bytes")
 
     def run(batches):
         import pyarrow as pa
@@ -433,11 +443,11 @@ def convert_files(files: DataFrame, allow_zip: bool = False, ocr: bool = False)
                         pass
                 rows.append((text, error, pdf_pages(raw) if ext == ".pdf" else None, unread_images(ext, raw, text), members))
             made = [pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["path", *kinds.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], ["path", "n_bytes", *kinds.names])
 
-    done = todo.mapInArrow(run, f"path string, {RESULT}")
+    done = todo.mapInArrow(run, f"path string, n_bytes long, {RESULT}")
     asked = F.when(F.col("route") == "speech", F.lit("The speech model is missing: words and turns are read from tables")).otherwise(F.lit("No readable text found in this image"))
-    rest = routed.filter("route IS NULL OR route NOT IN ('document', 'vtt', 'zip')").select("path", F.lit(None).cast("string").alias("markdown"), F.coalesce("refused", asked).alias("error"), F.lit(None).cast("int").alias("pages"), F.lit(0).alias("unread"), F.lit(None).cast("array<struct<name:string,size:long>>").alias("members"))
+    rest = routed.filter("route IS NULL OR route NOT IN ('document', 'vtt', 'zip')").select("path", "n_bytes", F.lit(None).cast("string").alias("markdown"), F.coalesce("refused", asked).alias("error"), F.lit(None).cast("int").alias("pages"), F.lit(0).alias("unread"), F.lit(None).cast("array<struct<name:string,size:long>>").alias("members"))
     return done.unionByName(rest)
 
 

@@ -98,10 +98,11 @@ def probe_matroska(raw: bytes):
     scale, duration, audio, at = 1_000_000, None, False, 0
     while at < len(raw):
         name, n = _vint(raw, at, True)
-        if not n:
-            break
-        size, m = _vint(raw, at + n, False)
-        if not m or name == cluster:
+        size, m = _vint(raw, at + n, False) if n else (None, 0)
+        if not n or not m:
+            at += 1  # not an element: the next byte may begin one
+            continue
+        if name == cluster:
             break
         body = at + n + m
         if name in (segment, info, tracks, entry):
@@ -109,7 +110,7 @@ def probe_matroska(raw: bytes):
             continue
         data = raw[body : body + (size or 0)]
         if name == scale_id:
-            scale = int.from_bytes(data, "big")
+            scale = int.from_bytes(data, "big") or scale
         elif name == duration_id and len(data) in (4, 8):
             duration = struct.unpack(">f" if len(data) == 4 else ">d", data)[0]
         elif name == kind and int.from_bytes(data, "big") == 2:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,29 @@ from pyspark.sql import functions as F
 from ..formats import SCANNED, extension, is_hidden
 
 
+def file_system(path: str):
+    """The file system of a path or URI, as tasks can use it, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _put(path: str, body: bytes) -> None:
+    """Writes a file to a name of its own and then moves it."""
+    system, name = file_system(path)
+    temp = f"{name}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(temp) as f:
+        f.write(body)
+    system.move(temp, name)
+
+
 def scan_listing(paths: DataFrame, extensions: list[str] = SCANNED) -> DataFrame:
     """Of a listing (path), the files a folder scan takes: no lock files or dotfiles, known suffixes, in order of path."""
     return paths.filter(~is_hidden(F.col("path")) & extension(F.col("path")).isin(extensions)).orderBy("path")
 
 
 def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, n_bytes) of all files under local folders, folders with leading dots included; one task a folder.
+    """(path, n_bytes) of all files under folders (paths or URIs), folders with leading dots included; one task a folder.
 
     Spark's own listing leaves out names that begin with ``_`` or ``.``, so tasks walk the folders.
     """
@@ -26,16 +41,16 @@ def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     def walk(batches):
         import pyarrow as pa
 
+        from pyarrow import fs
+
         for b in batches:
             found = []
             for top in b.column(0).to_pylist():
-                for d, _, names in os.walk(top):
-                    for n in names:
-                        p = os.path.join(d, n)
-                        try:
-                            found.append((p, os.path.getsize(p)))
-                        except OSError:
-                            continue
+                system, name = file_system(top)
+                scheme = top[: len(top) - len(name)] if "://" in top else ""
+                for f in system.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True)):
+                    if f.type == fs.FileType.File:
+                        found.append((scheme + f.path, f.size))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["path", "n_bytes"])
 
     tops = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
@@ -71,11 +86,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def write_manifest(outputs: DataFrame, path: str, combined: str | None = None) -> str | None:
     """Writes (source, output) as a manifest, to a name of its own and then moved; None where that fails.  A manifest is one file for its readers, so it is made on the driver."""
     body = {"version": 1, "outputs": {r[0]: r[1] for r in outputs.select("source", "output").toLocalIterator()}, "combined": combined}
-    temp = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
-        with open(temp, "w", encoding="utf-8") as f:
-            json.dump(body, f, ensure_ascii=False, indent=2)
-        os.replace(temp, path)
+        _put(path, json.dumps(body, ensure_ascii=False, indent=2).encode())
     except OSError:
         return None
     return path
@@ -90,11 +102,8 @@ def write_markdown(results: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                temp = f"{out}.{uuid.uuid4().hex}.tmp"
                 try:
-                    with open(temp, "w", encoding="utf-8") as f:
-                        f.write(text or "")
-                    os.replace(temp, out)
+                    _put(out, (text or "").encode())
                     ok.append(True)
                 except OSError:
                     ok.append(False)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import redact as R
 from quillspark.functions import text as T
-from quillspark.functions.pyredact import redact_text
 from quillspark.functions.register import register
 from quillspark.operators import batch as B
 
@@ -42,15 +41,48 @@ def test_redaction_edges(spark):
     assert column(spark, [a for a, _ in EDGES], R.redact) == [b for _, b in EDGES]
 
 
-def test_redaction_equals_python_and_is_stable(spark):
+def test_redaction_in_sql_and_is_stable(spark):
+    register(spark)
+    assert column(spark, [a for a, _ in EDGES], lambda c: F.call_function("redact_pii", c)) == [b for _, b in EDGES]
     rng = random.Random(3)
-    bits = ["503", "555", "0182", "-", " ", ".", "@", "a.b", "x.edu", "token", "=", '"', "abcdefgh9", ":", "//", "redis", "12", "1.2.3.4", " ", "٣٤٥", "\n", "**[00:00:01] Speaker 2:**", "sk-", "é", "secret", "'", "(503)"]
+    bits = ["503", "555", "0182", "-", " ", ".", "@", "a.b", "x.edu", "token", "=", '"', "abcdefgh9", ":", "//", "redis", "12", "1.2.3.4", " ", "٣٤٥", "\n", "**[00:00:01] Speaker 2:**", "sk-", "é", "secret", "'", "(503)"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + [None]
     got = column(spark, texts, R.redact)
-    assert got[:-1] == [redact_text(t) for t in texts[:-1]] and got[-1] is None
+    # the SQL form runs every step, without the tests that pass steps over
+    assert got == column(spark, texts, lambda c: F.call_function("redact_pii", c)) and got[-1] is None
     assert column(spark, got, R.redact) == got
 
 
+def test_engines(spark):
+    from quillspark.functions.engines import EntityEngine, TextEngine, redact_with
+
+    def names():
+        import re
+
+        return lambda t: [(m.start(), m.end(), "PERSON" if m[0] == "Ann" else "DATE") for m in re.finditer("Ann|May", t)]
+
+    def failing():
+        def model(t):
+            raise RuntimeError("no model")
+
+        return model
+
+    texts = ["Ann and Ann in May, call 503-555-0182", "**[00:00:01] Speaker 1:** Ann", "x" * 12 + "Ann", None, ""]
+
+    def run(values, engine):
+        rows = spark.createDataFrame([(i, v, "kept") for i, v in enumerate(values)], "i int, markdown string, other string").repartition(3)
+        got = sorted(redact_with(rows, engine).collect())
+        assert all(r.other == "kept" for r in got)
+        return [r.markdown for r in got]
+
+    assert run(texts, EntityEngine(names)) == ["[REDACTED_NAME] and [REDACTED_NAME] in May, call [REDACTED_PHONE]", "**[00:00:01] Speaker 1:** [REDACTED_NAME]", "x" * 12 + "[REDACTED_NAME]", None, ""]
+    # a model that reads five characters at once can't see the Ann that lies across two chunks
+    assert run(texts, EntityEngine(names, 5))[0] == "[REDACTED_NAME] and Ann in May, call [REDACTED_PHONE]"
+    plain = column(spark, texts, R.redact)
+    assert run(texts, EntityEngine(failing)) == run(texts, TextEngine(failing)) == plain
+    assert run(["ab\n\ncd", "keep", None], TextEngine(lambda: (lambda t: "" if t == "keep" else t.upper()), 8)) == ["AB\n\nCD", "keep", None]
+
+
 def test_custom_terms(spark):
     text = ["**[00:00:01] Speaker 1:** the Speaker said Acme, ACME and C++ a.c"]
     assert column(spark, text, lambda c: R.redact(c, "speaker\n acme \n\na.c")) == ["**[00:00:01] Speaker 1:** the [REDACTED_TERM] said [REDACTED_TERM], [REDACTED_TERM] and C++ [REDACTED_TERM]"]
@@ -60,8 +92,10 @@ def test_entities_and_chunks(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(k).alias("label")) for a, b, k in ((0, 3, "PERSON"), (9, 13, "GPE"), (4, 8, "DATE"))])
     assert column(spark, ["Ann went Oslo."], lambda c: R.splice_entities(c, spans)) == ["[REDACTED_NAME] went [REDACTED_LOCATION]."]
     text = "aa\nbbbb\ncc\n" + "d" * 20 + "\ne"
-    chunks = column(spark, [text], lambda c: R.pack_lines(c, 8))[0]
-    assert "".join(chunks) == text and chunks[:2] == ["aa\nbbbb\n", "cc\n"]
+    chunks = column(spark, [text], lambda c: R.pack_lines(c, 9))[0]
+    assert chunks == ["aa\nbbbb", "cc", "d" * 20, "e"] and "\n".join(chunks) == text
+    # a first line that is too long leaves an empty chunk before it
+    assert column(spark, ["dddd\ne"], lambda c: R.pack_lines(c, 3))[0] == ["", "dddd", "e"]
 
 
 @pytest.mark.parametrize(("s", "stamp", "long_", "short"), [(0.0, "00:00:00", "0s", ""), (2.5, "00:00:02", "2s", "3s"), (3849.4, "01:04:09", "1h 04m 09s", "1h 04m"), (74.0, "00:01:14", "1m 14s", "1m 14s"), (400000.0, "111:06:40", "111h 06m 40s", "111h 06m")])
@@ -102,6 +136,24 @@ def test_sql_functions(spark):
     assert tuple(got) == (2, "a-b", "00:01:14", "hi", "x [REDACTED_IP]")
 
 
+def test_table_functions(spark):
+    import io
+    import zipfile
+
+    register(spark)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in ("a.txt", "b.mp3", "sub/.h.txt", "c.zip"):
+            z.writestr(name, "xy")
+    spark.createDataFrame([("z.zip", bytearray(out.getvalue()))], "name string, content binary").createOrReplaceTempView("zips")
+    got = spark.sql("SELECT e.* FROM zips, LATERAL zip_entries(name, content) e").collect()
+    assert {tuple(r) for r in got} == {("a.txt", 2, None), ("b.mp3", 2, "audio/video skipped in archives"), ("sub/.h.txt", 2, "silent"), ("c.zip", 2, "nested archive")}
+    rows = [(1, 1, 0.0, 2.0, "A", "x"), (1, 2, 3.0, 4.0, "A", "y"), (1, 3, 4.5, 5.0, "B", "z"), (1, 4, 5.0, 6.0, "B", " "), (1, 5, 9.0, 9.5, "B", "w"), (2, 1, 0.0, 1.0, None, "n"), (2, 2, 1.0, 2.0, None, "m")]
+    spark.createDataFrame(rows, "doc_id long, seq long, start double, end double, speaker string, text string").createOrReplaceTempView("segs")
+    got = spark.sql("SELECT * FROM merge_turns(TABLE(SELECT * FROM segs) PARTITION BY doc_id ORDER BY seq) ORDER BY doc_id, seq").collect()
+    assert [(r.doc_id, r.seq, r.end, r.text) for r in got] == [(1, 1, 4.0, "x y"), (1, 2, 5.0, "z"), (1, 3, 9.5, "w"), (2, 1, 1.0, "n"), (2, 2, 2.0, "m")]
+
+
 def test_names_and_manifest(spark):
     files = spark.createDataFrame([("/x/a.docx",), ("/x/a.pdf",), ("/x/b.html",)], "path string")
     taken = spark.createDataFrame([("/x/b.md",), ("/x/b (1).md",)], "output string")
@@ -112,6 +164,52 @@ def test_names_and_manifest(spark):
     assert kept["/x/b.html"] == "/y/old.md" and kept["/x/a.pdf"] == "/x/a (1).md"
 
 
+def test_names_never_meet(spark):
+    """Against plain search for a free name, file by file in order of path."""
+
+    def free(paths, taken):
+        used, out = set(taken), {}
+        for p in sorted(set(paths)):
+            stem = p.rsplit(".", 1)[0]
+            n, name = 0, f"{stem}.md"
+            while name in used:
+                n += 1
+                name = f"{stem} ({n}).md"
+            used.add(name)
+            out[p] = name
+        return out
+
+    paths = ["/x/a.docx", "/x/a.pdf", "/x/a (1).docx", "/x/a (1).pdf", "/x/a (2) (1).html", "/x/b.html", "/x/b (3).html", "/y/a.docx", "/x/c (9).txt"]
+    rng = random.Random(1)
+    paths += [f"/r/{rng.choice('ab')}{rng.choice(['', ' (1)', ' (2)', ' (1) (1)'])}.{rng.choice(['pdf', 'docx', 'txt'])}" for _ in range(60)]
+    taken = ["/x/b.md", "/x/b (1).md", "/r/a (1).md", "/r/b.md"]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, i int").repartition(4)
+    for some in ([], taken):
+        got = B.unique_outputs(files, spark.createDataFrame([(t,) for t in some], "output string") if some else None).collect()
+        assert {r.path: r.output for r in got} == free(paths, some) and len(got) == len(paths)
+        assert len({r.output for r in got}) == len(set(paths))
+
+
+def test_models_that_are_there(spark):
+    catalog = spark.createDataFrame([(0, "p"), (1, "q"), (2, "r")], "seq int, model string")
+    there = spark.createDataFrame([("q",), ("r",)], "model string")
+    pick = lambda *a: [r.model for r in B.active_model(there, catalog, *a).collect()]
+    assert pick() == ["q"] and pick("r", "q") == ["r"] and pick("p", " r ") == ["r"] and pick("zz") == ["q"]
+    assert B.active_model(there.limit(0), catalog, "q").count() == 0
+    got = [spark.range(1).select(B.gpu_decision(F.lit("whisper-large-x"), F.lit(v), F.lit(m), o)).first()[0].gpu for v, m, o in ((True, 4096, None), (False, 4096, None), (True, 1000, None), (False, 0, " on"), (True, 9000, "0"))]
+    assert got == [True, False, False, True, False]
+
+
+def test_combined_only(spark):
+    rows = [("a", "done", "a.md", "A" * 40, 10, 30), ("b", "done", "b.md", "B" * 40, 10, None), ("c", "error", None, None, None, None)]
+    results = spark.createDataFrame(rows, "path string, status string, output string, markdown string, tokens long, source_tokens long")
+    one, total = B.combined_only(results, "all", "D")
+    doc, s = one.first(), total.first()
+    assert doc.n_files == 2 and s.tokens == doc.tokens == max(1, len(doc.markdown) // 4) and (s.converted, s.failed, s.src_tokens) == (2, 1, 30)
+    one, total = B.combined_only(results.filter("path <> 'b'"), "all", "D")
+    assert one.count() == 0 and total.first().tokens == 10
+
+
 def test_owners_and_combined(spark):
     files = spark.createDataFrame([("/a/b/c.txt",), ("/a/bc.txt",), ("/d.txt",)], "path string")
     items = spark.createDataFrame([(1, "/a/b/"), (0, "/d.txt"), (2, "/a")], "item_seq int, item string")
