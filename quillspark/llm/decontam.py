@@ -203,22 +203,25 @@ def _keep(out: list[list], d: int, best: tuple[int, int, int] | None, windows: W
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items (id, text) in blocks of at most ``block_bytes`` of text (or one text): their number, and a function that fetches one."""
+    """The items (id, text) in blocks of at most ``block_bytes`` of text (or one text): the blocks' numbers, and a function that fetches one."""
     items = benchmark.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    total, n = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1
+    total, n, numbers = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1, [0]
     if total > block_bytes:
-        items, n = cut(items, "benchmark"), 2 * -(-total // block_bytes)
-    while True:
-        block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-        if n == 1 or not items.groupBy(block.alias("block"), F.xxhash64("id", "text").alias("key")).agg(F.sum(F.octet_length("text")).alias("b")).groupBy("block").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("k")).filter((F.col("b") > block_bytes) & (F.col("k") > 1)).head(1):
+        items, n = cut(items.distinct(), "benchmark"), 2 * -(-total // block_bytes)
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    while n > 1:  # one row for each block: twice as many as the benchmark fills
+        found = items.groupBy(block.alias("block")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("texts")).collect()
+        if not any(r.bytes > block_bytes and r.texts > 1 for r in found):
+            numbers = sorted(r.block for r in found)
             break
         n *= 2
+        block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
 
     def fetch(i: int) -> tuple[list[str], pa.Array]:
         got = items.filter(block == i).distinct().toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
         return got.column(0).to_pylist(), got.column(1).combine_chunks()
 
-    return n, fetch
+    return numbers, fetch
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -232,10 +235,10 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     tune_arrow(spark)
     keep = ["doc_id"] if keep is None else keep
     types = to_arrow_schema(_parse_datatype_string(HITS))
-    n_blocks, fetch = _blocks(benchmark, id_col, text_col, block_bytes)
+    blocks, fetch = _blocks(benchmark, id_col, text_col, block_bytes)
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)], F.col("text").alias("body"))
-    if n_blocks > 1:  # each block is a pass over the same rows, which need a name that stays
+    if len(blocks) > 1:  # each block is a pass over the same rows, which need a name that stays
         source = cut(source.withColumn("row", F.monotonically_increasing_id()), "contaminated-rows")
         names = ["row"]
     kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names)
@@ -254,10 +257,10 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
 
         return source.select(*names, "body").mapInArrow(search, f"{kinds}, {HITS}")
 
-    out = one(0)
-    if n_blocks > 1:
+    out = one(blocks[0])
+    if len(blocks) > 1:
         out = cut(out, "contaminated-pass")
-        more = [cut(one(i).filter("size(items) > 0").select("row", "spans", "items", "longest"), "contaminated-pass") for i in range(1, n_blocks)]
+        more = [cut(one(i).filter("size(items) > 0").select("row", "spans", "items", "longest"), "contaminated-pass") for i in blocks[1:]]
         for p in more[1:]:
             more[0] = more[0].unionByName(p)
         found = out.select("row", "spans", "items", "longest").unionByName(more[0])
