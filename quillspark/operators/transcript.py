@@ -22,22 +22,33 @@ def _ordered(*cols: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*cols)))
 
 
-def assign_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
+def assign_speakers(words: DataFrame, turns: DataFrame, bin_s: float = 10.0) -> DataFrame:
     """words with raw_speaker: the turn of greatest overlap, else the nearest to the word's middle (the earlier on ties), S1 without turns.
 
-    Each transcript's turns are one array beside its words: no pair of word and turn becomes a row.
+    Words meet only the turns that share a stretch of ``bin_s`` seconds with them.  Those that overlap none find
+    their neighbours by two running extremes: the turn that has ended last, and the one that begins next.
     """
-    lists = turns.groupBy("doc_id").agg(_ordered("seq", "start", "end", "speaker_id").alias("turns_"))
-    rows = words.join(lists, "doc_id", "left")
     mid = 0.5 * (F.col("start") + F.col("end"))
-
-    def rank(t: Column) -> Column:
-        overlap = F.greatest(F.lit(0.0), F.least(F.col("end"), t["end"]) - F.greatest(F.col("start"), t["start"]))
-        away = F.when(overlap > 0, 0.0).when(mid < t["start"], t["start"] - mid).when(mid > t["end"], mid - t["end"]).otherwise(0.0)
-        return F.struct((-overlap).alias("o"), away.alias("d"), t["seq"].alias("s"), t["speaker_id"].alias("speaker_id"))
-
-    best = F.array_min(F.transform("turns_", rank))
-    return rows.withColumn("raw_speaker", F.coalesce(best["speaker_id"], F.lit("S1"))).drop("turns_")
+    stretch = F.sequence(F.floor(F.col("start") / bin_s), F.floor(F.greatest("start", "end") / bin_s))
+    binned = turns.select("doc_id", F.explode(stretch).alias("bin_"), F.col("seq").alias("t_"), F.col("start").alias("from_"), F.col("end").alias("to_"), F.col("speaker_id").alias("who_"))
+    overlap = F.greatest(F.lit(0.0), F.least(F.col("end"), F.col("to_")) - F.greatest(F.col("start"), F.col("from_")))
+    met = words.select("doc_id", "seq", "start", "end", F.explode(stretch).alias("bin_")).join(binned, ["doc_id", "bin_"])
+    met = met.withColumn("o_", overlap).filter((F.col("o_") > 0) | mid.between(F.col("from_"), F.col("to_")))
+    met = met.groupBy("doc_id", "seq").agg(F.min(F.struct(-F.col("o_"), "t_", "who_"))["who_"].alias("met_"))
+    rows = words.join(met, ["doc_id", "seq"], "left")
+    # the others, among the ends and beginnings of their transcript's turns
+    none, when = F.lit(None).cast("struct<at:double,t:bigint,who:string>"), F.col("at_")
+    edge = lambda at, sign: F.struct(F.col(at).cast("double").alias("at"), (sign * F.col("seq")).cast("bigint").alias("t"), F.col("speaker_id").alias("who"))
+    ends = turns.select("doc_id", F.lit(None).cast("bigint").alias("seq"), F.col("end").alias("at_"), F.lit(0).alias("kind_"), edge("end", -1).alias("ended_"), none.alias("begins_"))
+    begins = turns.select("doc_id", F.lit(None).cast("bigint").alias("seq"), F.col("start").alias("at_"), F.lit(2).alias("kind_"), none.alias("ended_"), edge("start", 1).alias("begins_"))
+    alone = rows.filter("met_ IS NULL").select("doc_id", "seq", mid.alias("at_"), F.lit(1).alias("kind_"), none.alias("ended_"), none.alias("begins_"))
+    upto = Window.partitionBy("doc_id").orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy("doc_id").orderBy(F.desc("at_"), F.desc("kind_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = ends.union(alone).union(begins).withColumn("before_", F.max("ended_").over(upto)).withColumn("after_", F.min("begins_").over(onward)).filter("kind_ = 1")
+    before = F.when(F.col("before_").isNotNull(), F.struct((when - F.col("before_.at")).alias("d"), (-F.col("before_.t")).alias("t"), F.col("before_.who").alias("who")))
+    after = F.when(F.col("after_").isNotNull(), F.struct((F.col("after_.at") - when).alias("d"), F.col("after_.t").alias("t"), F.col("after_.who").alias("who")))
+    near = near.select("doc_id", "seq", F.least(before, after)["who"].alias("near_"))
+    return rows.join(near, ["doc_id", "seq"], "left").withColumn("raw_speaker", F.coalesce("met_", "near_", F.lit("S1"))).drop("met_", "near_")
 
 
 def clamp_words(words: DataFrame, duration: Column) -> DataFrame:
