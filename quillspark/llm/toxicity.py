@@ -237,6 +237,7 @@ def fit(rows: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str
     vocabulary = coded.dictionary.to_pylist()
     docs = [index[ends[i] : ends[i + 1]].astype(np.int32) for i in order]
     del got, words, coded, index
+    pa.default_memory_pool().release_unused()  # the driver goes on for long after this
     return train(docs, vocabulary, [labels[i] for i in order])
 
 
