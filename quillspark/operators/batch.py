@@ -192,13 +192,13 @@ def active_model(installed: DataFrame, catalog: DataFrame, preferred: str = "",
 
 def gpu_decision(model: Column, vulkan: Column, vram_mb: Column, override: str | None = None) -> Column:
     """struct(gpu, reason): whether speech recognition should use the GPU."""
-    # Settings, limits and reasons that must equal the original's.
+    # Settings, limits and reasons that must equal the original's (the first two name its setting there).
     say = lambda gpu, why: F.struct(F.lit(gpu).alias("gpu"), F.lit(why).alias("reason"))
     word = (override or "").strip()
     if word in ("0", "false", "off"):
-        return say(False, "forced off by DOCPREP_AUDIO_GPU")
+        return say(False, "forced off by a setting")
     if word in ("1", "true", "on"):
-        return say(True, "forced on by DOCPREP_AUDIO_GPU")
+        return say(True, "forced on by a setting")
     return (
         F.when(~F.coalesce(vulkan, F.lit(False)), say(False, "no Vulkan-capable GPU"))
         .when(F.coalesce(vram_mb, F.lit(0)) < 2048, say(False, "GPU has under 2 GB of dedicated memory"))
