@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, mixing, neardup, sharding, tokencount, tokenfiles, toxicity, urlfilter
+from . import decontam, divergence, fingerprint, langid, mixing, neardup, negatives, sharding, tokencount, tokenfiles, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_token_counts": tokencount.op9_token_counts,
         "op10_token_files": tokenfiles.op10_token_files,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_groups": neardup.OP7_SQL,
         "op7_link_counts": neardup.OP7_LINKS_SQL,
         "op8_decontaminate": decontam.OP8_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
