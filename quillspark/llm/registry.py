@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, divergence, fingerprint, langid, mixing, neardup, negatives, sharding, tokencount, tokenfiles, toxicity, urlfilter
+from . import decontam, divergence, fingerprint, langid, mixing, neardup, negatives, secretscan, sharding, tokencount, tokenfiles, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_token_files": tokenfiles.op10_token_files,
         "op11_hard_negatives": negatives.op11_hard_negatives,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_secret_spans": secretscan.op13_secret_spans,
     }
 
 
