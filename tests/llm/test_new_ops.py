@@ -60,7 +60,7 @@ def test_hard_negatives_of_nothing_and_of_large_numbers(spark):
     kinds = "vec_id long, embedding array<double>, label string"
     for rows in ([], [(1, [1.0], "a")], [(100, [1.0], "a")]):
         assert negatives.hard_negatives(spark.createDataFrame(rows, kinds), F.col("vec_id") % 100 == 0).count() == 0
-    rows = [(i, [x, 1.0], lab) for i, (x, lab) in enumerate([(3e7, "a"), (1e7, "a"), (-2e7, "b"), (9e6, "b"), (5e6, "b"), (1e17, "a"), (4e16, "b")] * 3)]
+    rows = [(i, [x, 1.0], lab) for i, (x, lab) in enumerate([(3e7, "a"), (1e7, "a"), (-2e7, "b"), (9e6, "b"), (5e6, "b"), (1e17, "a"), (2e6, "b"), (4e16, "b")] * 3)]
     rows[0] = (100, rows[0][1], "a")
     df = spark.createDataFrame(rows, kinds)
     got = negatives.hard_negatives(df, F.col("vec_id") % 100 == 0)
