@@ -1,4 +1,4 @@
-"""Operator 12: an audit of how sources differ in their words (DataFrame functions only).
+"""Operator 12: an audit of how sources differ in their words.
 
 Counts of the terms that a language keeps become smoothed shares in parts of 10**9, for
 each (lang, source) group and for the language.  Two reports follow, in whole numbers throughout:
@@ -19,14 +19,20 @@ value 0 and no terms; a language with one source has no pairs; other columns are
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, docs_table, sized
+from . import vector as V
+from .common import cut, docs_table, sized, tune_arrow
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of `[^\x00-\x40\x5B-\x60\x7B-\x7F]`, terms' characters.
+LETTER = np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
+#: Bytes of texts counted at once in a task.
+CHUNK_BYTES = 16 << 20
 #: Shares are parts of so many; each count is smoothed by SMOOTH.
 PARTS, SMOOTH = 1_000_000_000, 2
 #: Bits of a value (shares are at most PARTS + 1), and of a digit of the radix selection.
@@ -35,13 +41,45 @@ VALUE_BITS, DIGIT_BITS = 30, 10
 SETTLE = 2000
 
 
+def batch_counts(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The counts of some documents: terms become numbers in a dictionary of their own bytes, pairs of numbers are sorted and counted."""
+    data, offsets = V.doc_bytes(texts)
+    data = V.LOWER[data]
+    starts, ends, doc = V.words(data, offsets, LETTER)
+    lengths = ends - starts
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data[LETTER[data]])).dictionary_encode()
+    code, size = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
+    group = pa.StructArray.from_arrays([langs, sources], ["lang", "source"])
+    known: dict[tuple, int] = {}
+    of = np.array([known.setdefault((g["lang"], g["source"]), len(known)) for g in group.to_pylist()], np.int64)
+    key, n = np.unique(of[doc] * size + code, return_counts=True)
+    once = np.unique(doc * size + code)  # a term once for each of its documents
+    d = np.bincount(np.searchsorted(key, of[once // size] * size + once % size), minlength=len(key))
+    names = list(known)
+    pick = lambda i: pa.array([g[i] for g in names], pa.string()).take(pa.array(key // size))
+    return pa.RecordBatch.from_arrays([pick(0), pick(1), terms.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(n), pa.array(d.astype(np.int64))], ["lang", "source", "term", "n", "d"])
+
+
+def count_batches(batches):
+    """Counts of about CHUNK_BYTES of texts at once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= CHUNK_BYTES:
+            yield batch_counts(*(c.combine_chunks() for c in pa.Table.from_batches(held).columns))
+            held, size = [], 0
+    if size:
+        yield batch_counts(*(c.combine_chunks() for c in pa.Table.from_batches(held).columns))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d): occurrences and documents, summed up before anything moves."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("w"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    rows = rows.select("lang", "source", F.explode(F.concat(F.transform("w", one(1, 0)), F.transform(F.array_distinct("w"), one(0, 1)))).alias("x"))
-    return rows.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("d"))
+    """(lang, source, term, n, d): occurrences and documents, summed up in Arrow batches before anything moves."""
+    tune_arrow(docs.sparkSession)
+    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    rows = rows.mapInArrow(count_batches, "lang string, source string, term string, n long, d long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: str, size: str, vocabulary: str) -> Column:
