@@ -32,7 +32,7 @@ from .common import cut, docs_table, sized, tune_arrow
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 #: Bytes of texts counted at once in a task.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Shares are parts of so many; each count is smoothed by SMOOTH.
 PARTS, SMOOTH = 1_000_000_000, 2
 #: Bits of a value (shares are at most PARTS + 1), and of a digit of the radix selection.

@@ -221,7 +221,7 @@ def test_the_field_finds_new_values_and_leaves_prose(spark):
     for t in held:
         for _, a, b in [s for s in base_by_hand(t) if s[0] == "assign"][:1]:
             lead = len(t[a:b]) - len(ASSIGN.match(t[a:b])[2])
-            for _ in range(20):
+            for _ in range(60):
                 new, (span,) = secretscan.varied(t.encode(), [(len(t[:a].encode()), len(t[: a + lead].encode()), len(t[:b].encode()))], rng)
                 got = secretscan.find_spans(pa.array([new.decode()]), model)[0]
                 start = len(new[: span[0]].decode())
