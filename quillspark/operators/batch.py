@@ -24,43 +24,113 @@ def output_name(path: Column) -> Column:
     return F.concat(F.substring(path, F.lit(1), (F.length(path) - F.length(ext)).cast("int")), F.lit(".md"))
 
 
-NUMBERED = r" \((\d+)\)"
+#: A number as naming writes it, at the end of a name without its suffix.
+NUMBERED = r" \(([1-9]\d{0,8})\)\z"
+#: Numbers of a name in one stretch of a ranking.
+STRETCH_BITS = 16
+
+
+def _parts(stem: str) -> tuple[Column, Column]:
+    """A numbered name's own name and number (null if it has none)."""
+    n = F.regexp_extract(stem, NUMBERED, 1)
+    return F.regexp_replace(stem, NUMBERED, ""), F.when(n != "", n.cast("long"))
+
+
+def _runs(numbers: DataFrame) -> DataFrame:
+    """(stem, part, shift, len): the runs of each stem's numbers n, by stretches, so that no task ranks all numbers of a stem.
+
+    A run's numbers are their ranks in their stretch plus ``shift``; repeated numbers count once.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("stem", "part").orderBy("n"))
+    rows = numbers.withColumn("part", F.shiftright("n", STRETCH_BITS)).withColumn("shift", F.col("n") - rank)
+    return rows.groupBy("stem", "part", "shift").agg((F.max("n") - F.min("n") + 1).alias("len"))
+
+
+def _before(by: str = "part") -> Column:
+    """How many of a stem's numbers lie in earlier stretches than a run's."""
+    return F.coalesce(F.sum("len").over(Window.partitionBy("stem").orderBy(by).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _numbers_of(stems: DataFrame) -> DataFrame:
+    """(stem, n) of names that are numbered forms of another."""
+    own, n = _parts("stem")
+    return stems.select(own.alias("stem"), n.alias("n")).filter("n IS NOT NULL")
+
+
+def _bare_numbers(bare: DataFrame, taken: DataFrame) -> DataFrame:
+    """(stem, n) for files without a suffix: they come before all others of their name, and before its numbered forms.
+
+    Such a file keeps its name, or takes the first number that was free from the start; with that it can take the name of the next
+    such file, and so on.  Whether a file's name is taken follows from the files whose names it extends, at most as many as it has numbers.
+    """
+    stems = bare.select("stem")
+    # the run of taken numbers from 1
+    run = _runs(_numbers_of(taken)).withColumn("before", _before()).filter("shift = before").groupBy("stem").agg(F.sum("len").alias("run"))
+    nodes = stems.join(run, "stem", "left").join(taken.withColumn("is_taken", F.lit(True)), "stem", "left")
+    nodes = nodes.select("stem", (F.coalesce("run", F.lit(0)) + 1).alias("first"), F.coalesce("is_taken", F.lit(False)).alias("is_taken"))
+    tail = F.regexp_extract("stem", r"((?: \([1-9]\d{0,8}\))+)\z", 1)
+    groups = F.regexp_extract_all(tail, F.lit(r" \([1-9]\d{0,8}\)"), F.lit(0))
+    base = F.substring("stem", F.lit(1), (F.length("stem") - F.length(tail)).cast("int"))
+    above = F.transform(F.sequence(F.lit(0), F.size(groups)), lambda i: F.concat(base, F.array_join(F.slice(groups, F.lit(1), i), "")))
+    chain = stems.select(F.col("stem").alias("of"), F.posexplode(above).alias("pos", "stem")).join(nodes, "stem")
+    chain = chain.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("pos", "stem", "first", "is_taken"))).alias("xs"))
+    state = F.struct(F.lit(False).alias("moved"), F.lit("").alias("to"))
+
+    def step(a: Column, x: Column) -> Column:
+        moved = x["is_taken"] | (a["moved"] & (a["to"] == x["stem"]))
+        return F.struct(moved.alias("moved"), F.concat(x["stem"], F.lit(" ("), x["first"].cast("string"), F.lit(")")).alias("to"))
+
+    moved = F.aggregate("xs", state, step)["moved"]
+    return chain.select(F.col("of").alias("stem"), F.when(moved, F.element_at("xs", -1)["first"]).otherwise(F.lit(0).cast("long")).alias("n"))
 
 
 def unique_outputs(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Adds output to (path): in order of path, each source takes the first free of ``name.md``, ``name (1).md``, ``name (2).md``, ...
 
     taken: (output) names that exist.  Naming doesn't depend on which task comes first; a path that is listed
-    twice has one output.  Names that can meet differ in their numbers only: such a family is settled in one
-    place, and only if it has more than one member; most files are renamed by nobody and never move.
+    twice has one output.  The i-th source of a name takes its i-th free number.  As a blank comes before a dot,
+    sources of ``name (1)`` come before those of ``name``: a number is free if neither a name that exists nor
+    another source's own name has it.  Free numbers are counted by the runs of others between them, so nothing is
+    settled one after another.
     """
-    family = F.regexp_replace(F.regexp_replace("target", r"\.md\z", ""), f"({NUMBERED})+\\z", "")
-    wanted = files.select("path").distinct().select(F.lit(False).alias("taken"), "path", output_name(F.col("path")).alias("target"))
+    src = files.select("path").distinct().withColumn("stem", F.regexp_replace(output_name(F.col("path")), r"\.md\z", ""))
+    gone, moved = _numbers_of(src.select("stem")), None
     if taken is not None:
-        wanted = wanted.union(taken.select(F.lit(True), "output", "output").distinct())
-    wanted = wanted.withColumn("family", family)
-    several = wanted.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family")
-
-    def settle(part):
-        used, free, out = set(part["target"][part["taken"]]), {}, []
-        rest = part[~part["taken"]].sort_values("path")
-        for path, target in zip(rest["path"], rest["target"]):
-            n, name = free.get(target, 0), target
-            while n and (name := f"{target[:-3]} ({n}).md") in used or not n and target in used:
-                n += 1
-            free[target] = n + 1
-            used.add(name)
-            out.append((path, name))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["path_", "output_"])
-
-    named = wanted.join(several, "family", "left_semi").select("family", "taken", "path", "target").groupBy("family").applyInPandas(settle, "path_ string, output_ string")
-    renamed = named.filter(F.col("output_") != output_name(F.col("path_")))
+        taken = taken.filter(F.col("output").endswith(".md")).select(F.expr("left(output, length(output) - 3)").alias("stem")).distinct()
+        zero = lambda df, stem: df.select(stem, F.lit(0).cast("long").alias("n"))
+        gone = gone.union(_numbers_of(taken)).union(zero(taken, "stem"))
+        bare = extension(F.col("path")) == ""
+        if src.filter(bare).join(taken, "stem", "left_semi").head(1):
+            numbers = _bare_numbers(src.filter(bare), taken)
+            moved = src.filter(bare).join(numbers, "stem").filter("n > 0").select("path", "stem", "n")
+            gone = gone.union(numbers).union(zero(moved, F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("stem")))
+            src = src.filter(~bare)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = src.select("stem", "path", none("long").alias("part"), none("long").alias("shift"), F.lit(0).cast("long").alias("len"))
+    rows = rows.union(_runs(gone).select("stem", none("string"), "part", "shift", "len"))
+    # how many free numbers come before a source's, and before a run
+    order = Window.partitionBy("stem").orderBy(F.col("path").asc_nulls_last())
+    rows = rows.withColumn("at", F.when(F.col("path").isNotNull(), F.row_number().over(order) - 1).otherwise(F.col("shift") - _before() + 1))
+    upto = Window.partitionBy("stem").orderBy("at", F.col("path").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.withColumn("n", F.col("at") + F.sum("len").over(upto)).filter("path IS NOT NULL AND n > 0").select("path", "stem", "n")
+    both = both if moved is None else both.union(moved)
+    renamed = both.select(F.col("path").alias("path_"), F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(").md")).alias("output_"))
     rows = files.join(renamed, F.col("path") == F.col("path_"), "left")
     return rows.withColumn("output", F.coalesce("output_", output_name(F.col("path")))).drop("path_", "output_")
 
 
+def named_outputs(files: DataFrame, manifest: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """Adds output to (path): what an earlier run's manifest (source, output) says; all other files are named anew, around those names."""
+    if manifest is None:
+        return unique_outputs(files, taken)
+    # paths, not whole rows, are looked up twice
+    paths = apply_manifest(files.select("path").distinct().withColumn("output", F.lit(None).cast("string")), manifest)
+    kept = paths.filter("output IS NOT NULL")
+    used = kept.select("output") if taken is None else kept.select("output").union(taken.select("output"))
+    names = kept.union(unique_outputs(paths.filter("output IS NULL").select("path"), used)).select(F.col("path").alias("path_"), "output")
+    return files.join(names, F.col("path") == F.col("path_")).drop("path_")
+
+
 def apply_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Outputs of an earlier run (source, output) take the place of computed ones."""
     earlier = manifest.filter(F.lower("output").endswith(".md")).groupBy(normal_path(F.col("source")).alias("np_")).agg(F.min("output").alias("earlier_"))

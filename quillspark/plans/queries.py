@@ -240,6 +240,40 @@ def unique_output_names(spark, sf_dir):
     return B.unique_outputs(files, taken)
 
 
+#: Files with numbered names, names that exist and names of a manifest: the i-th file of a name takes the i-th free number.
+NUMBERED_SQL = """f AS (SELECT page_id, '/in/' || (page_id % 5) || '/f' || (page_id % 19) || CASE WHEN page_id % 4 = 0 THEN '' ELSE ' (' || (page_id % 4 + page_id // 7 % 3) || ')' END || (CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.docx' END) AS path FROM pages),
+u AS (SELECT DISTINCT path FROM f), s AS (SELECT path, regexp_replace(path, '\\.[a-z]+$', '') AS stem FROM u),
+kept AS ({kept}), taken AS ({taken}),
+todo AS (SELECT * FROM s WHERE path NOT IN (SELECT path FROM kept)),
+gone AS (SELECT stem, 0 AS n FROM taken UNION SELECT regexp_replace(stem, ' \\(\\d+\\)$', ''), regexp_extract(stem, ' \\((\\d+)\\)$', 1)::BIGINT FROM (SELECT stem FROM taken UNION SELECT stem FROM todo) WHERE regexp_matches(stem, ' \\(\\d+\\)$')),
+free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS i FROM (SELECT DISTINCT stem FROM todo) JOIN (SELECT unnest(range(0, 400)) AS n) ON true ANTI JOIN gone USING (stem, n)),
+named AS (SELECT path, t.stem || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.md' AS output FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS i FROM todo) t JOIN free USING (stem, i) UNION ALL SELECT path, output FROM kept)
+SELECT page_id, path, output FROM f JOIN named USING (path)"""
+
+
+def numbered_paths(spark, sf_dir) -> DataFrame:
+    p = F.col("page_id")
+    number = F.when(p % 4 == 0, "").otherwise(F.concat(F.lit(" ("), (p % 4 + F.floor(p / 7) % 3).cast("string"), F.lit(")")))
+    path = F.concat(F.lit("/in/"), (p % 5).cast("string"), F.lit("/f"), (p % 19).cast("string"), number, F.element_at(F.lit([".pdf", ".html", ".docx"]), (p % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+@query("WITH " + NUMBERED_SQL.format(kept="SELECT path, '' AS output FROM s WHERE false", taken="SELECT DISTINCT '/in/' || (page_id % 5) || '/f' || (page_id % 19) || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' (2)' END AS stem FROM pages WHERE page_id % 6 < 2"))
+def numbered_output_names(spark, sf_dir):
+    """Sources whose own names are numbered, among names that exist."""
+    p = F.col("page_id")
+    exists = F.concat(F.lit("/in/"), (p % 5).cast("string"), F.lit("/f"), (p % 19).cast("string"), F.when(p % 2 == 0, ".md").otherwise(" (2).md"))
+    return B.unique_outputs(numbered_paths(spark, sf_dir), table(spark, sf_dir, "pages").filter("page_id % 6 < 2").select(exists.alias("output")))
+
+
+@query("WITH " + NUMBERED_SQL.format(kept="SELECT path, stem || ' (1).md' AS output FROM s WHERE path LIKE '%.html' AND path NOT LIKE '/in/3/%'", taken="SELECT stem || ' (1)' AS stem FROM s WHERE path LIKE '%.html' AND path NOT LIKE '/in/3/%'"))
+def manifest_output_names(spark, sf_dir):
+    """A manifest gave names that other files of the batch would take."""
+    files = numbered_paths(spark, sf_dir)
+    earlier = files.filter("path LIKE '%.html' AND path NOT LIKE '/in/3/%'").select(F.col("path").alias("source"), F.regexp_replace("path", r"\.html$", " (1).md").alias("output"))
+    return B.named_outputs(files, earlier)
+
+
 @query("""SELECT d.doc_id, '/in/' || d.source || '/' || d.doc_id || '.html' AS path, CASE WHEN l.doc_id IS NOT NULL THEN '/out/' || d.doc_id || '-kept.md' ELSE '/in/' || d.source || '/' || d.doc_id || '.md' END AS output
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id)""")
 def manifest_rerun(spark, sf_dir):
