@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .redact import redact_sql
+from .turns import add_segment
 
 
 class ZipEntries:
-    """zip_entries(name, content): the members of an archive with their sizes and why they are skipped (null: they aren't)."""
+    """zip_entries(name, content): the members of an archive with their sizes and why they are skipped (null: they aren't); one row without a name for a file that is no archive."""
 
     def eval(self, name: str, content: bytes):
         import io
@@ -16,7 +17,12 @@ class ZipEntries:
 
         from ..sources.convert import member_skip
 
-        for m in zipfile.ZipFile(io.BytesIO(content)).infolist():
+        try:
+            members = zipfile.ZipFile(io.BytesIO(content or b"")).infolist()
+        except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
+            yield None, None, f"not an archive: {e}"
+            return
+        for m in members:
             if not m.is_dir():
                 yield m.filename, m.file_size, member_skip(m.filename, m.file_size)
 
@@ -25,25 +31,18 @@ class MergeTurns:
     """merge_turns(TABLE(SELECT doc_id, seq, start, end, speaker, text ...) PARTITION BY doc_id ORDER BY seq): segments of one speaker without a pause above three seconds as one."""
 
     def __init__(self):
-        self.seq, self.held = 0, None
+        self.seq, self.held, self.doc_id = 0, None, None
 
     def eval(self, row):
-        text = (row["text"] or "").strip()
-        if not text:
-            return
-        start, end, speaker = row["start"], max(row["start"], row["end"]), row["speaker"]
-        held = self.held
-        if held and speaker is not None and held[4] == speaker and start - held[3] <= 3.0:
-            self.held = (*held[:3], max(held[3], end), speaker, f"{held[5]} {text}")
-            return
-        if held:
-            yield held
-        self.seq += 1
-        self.held = (row["doc_id"], self.seq, start, end, speaker, text)
+        self.doc_id = row["doc_id"]
+        self.held, closed = add_segment(self.held, row["start"], row["end"], row["speaker"], row["text"])
+        if closed:
+            self.seq += 1
+            yield self.doc_id, self.seq, *closed
 
     def terminate(self):
         if self.held:
-            yield self.held
+            yield self.doc_id, self.seq + 1, *self.held
 
 
 def register(spark: SparkSession) -> None:

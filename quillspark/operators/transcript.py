@@ -196,9 +196,11 @@ def clamp_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def merge_turns(segments: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
-    """Joins segments of one speaker whose pause is at most ``max_gap``; unnamed speakers stay apart, blank texts go."""
-    rows = segments.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text <> ''").withColumn("end", F.greatest("start", "end"))
-    rows = _runs(rows, F.when(F.col("speaker") != "", F.col("speaker")), max_gap)
+    """Joins segments of one speaker whose pause is at most ``max_gap``; speakers are trimmed, unnamed ones (null) stay apart, blank texts go."""
+    rows = segments.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
+    rows = rows.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("end", F.greatest("start", "end"))
+    rows = rows.withColumn("speaker", F.when(F.col("speaker") != "", strip(F.col("speaker"))))
+    rows = _runs(rows, F.col("speaker"), max_gap)
     out = rows.groupBy("doc_id", "turn").agg(F.min_by("start", "seq").alias("start"), F.max("end").alias("end"), F.min_by("speaker", "seq").alias("speaker"), F.array_join(F.transform(_ordered("seq", "text"), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_segments"))
     return out.select("doc_id", F.col("turn").alias("seq"), "start", "end", "speaker", "text", "n_segments")
 

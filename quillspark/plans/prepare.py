@@ -26,11 +26,12 @@ class Options:
     overwrite: bool = True
 
 
-def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame | None = None, existing: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
     """(path, n_bytes, content) to results: path, status, output, markdown, tokens, source_tokens, unread_images, error.
 
     manifest: (source, output) of an earlier run, whose names are kept; existing:
-    (output) names that are taken when ``overwrite`` is off.
+    (output) names that are taken when ``overwrite`` is off.  outputs: (path, output)
+    where names have been settled before.
     """
     made = convert_files(files, options.allow_zip)
     ext = extension(F.col("path"))
@@ -45,5 +46,5 @@ def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame
         done = redact_with(done, options.engine, "markdown", options.terms)
     tokens = F.when(F.col("status") == "done", T.estimate_tokens(F.col("markdown")))
     done = done.withColumn("tokens", tokens).withColumn("source_tokens", F.when(F.col("status") == "done", T.source_tokens(F.col("path"), F.col("n_bytes"), F.col("members"), F.col("pages"), F.col("tokens"))))
-    done = B.named_outputs(done, manifest, None if options.overwrite else existing)
+    done = B.named_outputs(done, manifest, None if options.overwrite else existing) if outputs is None else done.join(outputs, "path")
     return done.select("path", "status", F.when(F.col("status") == "done", F.col("output")).alias("output"), "markdown", "tokens", "source_tokens", F.col("unread").alias("unread_images"), "error")

@@ -74,6 +74,25 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("n_bytes"), "content")
 
 
+def read_listed(paths: DataFrame) -> DataFrame:
+    """(path, n_bytes, content) of the files of a listing (path), read in tasks; a file that can't be read has null contents."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column(0).to_pylist():  # one file at a time: contents may be large
+                try:
+                    system, name = file_system(path)
+                    with system.open_input_file(name) as f:
+                        body = f.readall()
+                except OSError:
+                    body = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([body and len(body) or 0], pa.int64()), pa.array([body], pa.binary())], ["path", "n_bytes", "content"])
+
+    return paths.select("path").mapInArrow(read, "path string, n_bytes long, content binary")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(source, output) of a manifest; only outputs that are Markdown files.  A missing file is an empty manifest."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.redact import redact
 from ..functions.text import estimate_tokens
+from ..functions.turns import add_segment
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, which stateful processors need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def prepared_documents(docs: DataFrame, terms: str | None = None) -> DataFrame:
@@ -45,43 +64,71 @@ def speaker_sessions(points: DataFrame, at: str = "ts", gap: str = "3 seconds",
 
 
 TURN = "call long, start double, end double, speaker string, text string"
-STATE = "start double, end double, speaker string, text string"
+SEGMENT = "start double, end double, speaker string, text string, at long"
 
 
-def stream_turns(segments: DataFrame, max_gap: float = 3.0) -> DataFrame:
-    """Turns of (call, seq, start, end, speaker, text), exactly as the batch form makes them, for segments that come in order of seq.
+class TurnsByTime(StatefulProcessor):
+    """Segments wait until the watermark has passed them, and are then joined in order; a turn ends when nothing can join it any more."""
 
-    The open turn of each call is its state; a turn is sent when a segment ends it. A
-    segment with the speaker ``</end>`` closes its call and sends the last.
-    """
+    def __init__(self, max_gap: float):
+        self.max_gap = max_gap
 
-    def step(key, batches, state):
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "seq long", SEGMENT)
+        self.open = handle.getValueState("open", "start double, end double, speaker string, text string, until long")  # when its furthest end is, in ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = set(self.handle.listTimers())
+        for pdf in rows:
+            for r in pdf.itertuples():
+                at = int(r.at.value // 1_000_000)
+                value = lambda x: None if x is None or x != x else x
+                self.waiting.updateValue((int(r.seq),), (value(r.start), value(r.end), value(r.speaker), value(r.text), at))
+                if at not in known:
+                    known.add(at)
+                    self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        held = list(state.get) if state.exists else None
-        rows = []
-        for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                if r.speaker == "</end>":
-                    if held:
-                        rows.append((key[0], *held))
-                    held = None
-                    continue
-                text = (r.text or "").strip()
-                if not text:
-                    continue
-                speaker = r.speaker if isinstance(r.speaker, str) and r.speaker else None
-                start, end = float(r.start), max(float(r.start), float(r.end))
-                if held and speaker and held[2] == speaker and start - held[1] <= max_gap:
-                    held = [held[0], max(held[1], end), speaker, f"{held[3]} {text}"]
-                else:
-                    if held:
-                        rows.append((key[0], *held))
-                    held = [start, end, speaker, text]
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        due = sorted((v[4], k[0], *v[:4]) for k, v in self.waiting.iterator() if v[4] <= now)
+        held = self.open.get() if self.open.exists() else None
+        until = held[4] if held else 0
+        held = tuple(held[:4]) if held else None
+        for at, seq, start, end, speaker, text in due:
+            before = held
+            held, closed = add_segment(held, start, end, speaker, text, self.max_gap)
+            if closed:
+                out.append((key[0], *closed))
+            if held is not before:
+                ends = at + round(1000 * max(0.0, (end if end is not None else start or 0.0) - (start or 0.0)))
+                until = ends if closed or before is None else max(until, ends)
+            self.waiting.removeKey((seq,))
+        last = until + round(1000 * self.max_gap)
+        if held and last < now:
+            out.append((key[0], *held))
+            held = None
         if held:
-            state.update(tuple(held))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["call", "start", "end", "speaker", "text"])
+            self.open.update((*held, until))
+            if last + 1 not in set(self.handle.listTimers()):
+                self.handle.registerTimer(last + 1)
+        elif self.open.exists():
+            self.open.clear()
+        yield pd.DataFrame(out, columns=["call", "start", "end", "speaker", "text"])
+
+    def close(self):
+        pass
 
-    return segments.groupBy("call").applyInPandasWithState(step, TURN, STATE, "append", "NoTimeout")
+
+def stream_turns(segments: DataFrame, at: str = "at", late: str = "1 minute", max_gap: float = 3.0) -> DataFrame:
+    """Turns of (call, seq, start, end, speaker, text) and the time ``at`` of each segment's start, as the batch form makes them, in whatever order segments come.
+
+    Segments wait in the state until the watermark has passed them, so up to ``late`` they may come out of order; repeated
+    ones (call, seq) count once.  An open turn is sent when the watermark shows that no segment can join it.  A call's segments
+    must start in order of seq.  Start the query inside ``rocks``.
+    """
+    rows = timed(segments, at, late).select("call", "seq", "start", "end", "speaker", "text", F.col(at).alias("at"))
+    return rows.groupBy("call").transformWithStateInPandas(TurnsByTime(max_gap), TURN, "append", "eventTime")
