@@ -9,13 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..formats import SCANNED, extension, is_hidden
-
-
-def file_system(path: str):
-    """The file system of a path or URI, as tasks can use it, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+from . import files
+from .files import file_system
 
 
 def _put(path: str, body: bytes) -> None:
@@ -32,29 +27,13 @@ def scan_listing(paths: DataFrame, extensions: list[str] = SCANNED) -> DataFrame
     return paths.filter(~is_hidden(F.col("path")) & extension(F.col("path")).isin(extensions)).orderBy("path")
 
 
-def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, n_bytes) of all files under folders (paths or URIs), folders with leading dots included; one task a folder.
+def list_files(spark: SparkSession, folders: list[str], tasks: int = 64) -> DataFrame:
+    """(path, n_bytes) of all files under folders (paths or URIs), folders with leading dots included, walked in about ``tasks`` tasks.
 
     Spark's own listing leaves out names that begin with ``_`` or ``.``, so tasks walk the folders.
     """
-
-    def walk(batches):
-        import pyarrow as pa
-
-        from pyarrow import fs
-
-        for b in batches:
-            found = []
-            for top in b.column(0).to_pylist():
-                system, name = file_system(top)
-                scheme = top[: len(top) - len(name)] if "://" in top else ""
-                for f in system.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True)):
-                    if f.type == fs.FileType.File:
-                        found.append((scheme + f.path, f.size))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["path", "n_bytes"])
-
-    tops = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
-    return tops.mapInArrow(walk, "path string, n_bytes long")
+    files.register(spark)
+    return spark.read.format("listed_files").option("folders", json.dumps(folders)).option("tasks", str(tasks)).load()
 
 
 def collect_files(direct: DataFrame, listed: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
