@@ -58,6 +58,12 @@ STEPS = [
 ]
 LABELS = ["TERM", *[name for name, *_ in STEPS]]
 
+#: What the strict set has instead: keys without a kind before PRIVATE KEY, addresses of bytes, card numbers whose check digit is right.
+ANY_PRIVATE_KEY = r"(?U)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----\s*[\s\S]+?\s*-----END (?:[A-Z ]+ )?PRIVATE KEY-----"
+BYTE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+BYTES_IPV4 = rf"(?U)(?<![\d.])(?:{BYTE}\.){{3}}{BYTE}(?![\d.]*\d)"
+STRICT_STEPS = [(name, {"PRIVATE_KEY": ANY_PRIVATE_KEY, "IP": BYTES_IPV4}.get(name, pattern), label, may) for name, pattern, label, may in STEPS]
+
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
@@ -68,9 +74,29 @@ def _guarded(pattern: str, label: str, may):
     return lambda t: F.when(may(t), F.regexp_replace(t, pattern, label)).otherwise(t)
 
 
-def step(text: Column, name: str) -> Column:
-    _, pattern, label, may = next(s for s in STEPS if s[0] == name)
-    return let(text, _guarded(pattern, label, may))
+def luhn(number: Column) -> Column:
+    """Whether the check digit of a string's ASCII digits is right: from the right, every second one doubled, digits of digits summed."""
+    digits = F.reverse(F.regexp_extract_all(number, F.lit("[0-9]"), F.lit(0)))
+    value = F.transform(digits, lambda d, i: F.when(i % 2 == 1, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
+    return F.aggregate(value, F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def _cards(label: str):
+    """Card numbers with a right check digit; others stay."""
+
+    def run(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(CARD), F.lit(0)), lambda m: F.when(luhn(m), label).otherwise(m))
+        return F.array_join(F.transform(F.split(t, CARD, -1), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), "")
+
+    return lambda t: F.when(_digit(t), run(t)).otherwise(t)
+
+
+def _do(name: str, pattern: str, label: str, may, strict: bool):
+    return _cards(label) if strict and name == "CC" else _guarded(pattern, label, may)
+
+
+def step(text: Column, name: str, strict: bool = False) -> Column:
+    return let(text, _do(*next(s for s in (STRICT_STEPS if strict else STEPS) if s[0] == name), strict))
 
 
 def term_pattern(term: str) -> str:
@@ -97,22 +123,25 @@ def restore_headers(text: Column, original: Column) -> Column:
     return F.aggregate(heads, text, lambda t, x: F.replace(t, F.concat(F.lit("[[KEPT_TURN_"), x["i"].cast("string"), F.lit("]]")), x["h"]))
 
 
-def chain(text: Column, terms: str | list[str] | None) -> Column:
+def chain(text: Column, terms: str | list[str] | None, strict: bool = False) -> Column:
     def steps(x: Column) -> Column:
         t = x["t"]
-        for _, pattern, label, may in STEPS:
+        for name, pattern, label, may in STRICT_STEPS if strict else STEPS:
             # no step brings digits into a text: whether it has any is asked once
-            t = let(t, _guarded(pattern, label, (lambda t: x["digits"]) if may is _digit else may))
+            t = let(t, _do(name, pattern, label, (lambda t: x["digits"]) if may is _digit else may, strict))
         return t
 
     return let(redact_terms(text, terms) if terms else text, lambda t: let(F.struct(t.alias("t"), _digit(t).alias("digits")), steps))
 
 
-def redact(text: Column, terms: str | list[str] | None = None) -> Column:
-    """The whole chain; turn headers of transcripts stay as they are.  ``engines`` adds models of one's own."""
+def redact(text: Column, terms: str | list[str] | None = None, strict: bool = False) -> Column:
+    """The whole chain; turn headers of transcripts stay as they are.  ``engines`` adds models of one's own.
+
+    strict: keys of any kind, but only addresses of bytes and card numbers with a right check digit.
+    """
 
     def guarded(t: Column) -> Column:
-        return F.when(t.contains("**["), restore_headers(chain(stash_headers(t), terms), t)).otherwise(chain(t, terms))
+        return F.when(t.contains("**["), restore_headers(chain(stash_headers(t), terms, strict), t)).otherwise(chain(t, terms, strict))
 
     return let(text, guarded)
 

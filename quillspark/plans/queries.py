@@ -9,6 +9,7 @@ from .. import formats
 from ..functions import redact as R
 from ..functions import text as T
 from ..operators import batch as B
+from ..operators import terms as TT
 from ..operators import transcript as S
 from ..sources import convert, scan
 from . import samples
@@ -184,6 +185,53 @@ def redact_fixtures(spark, sf_dir):
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), *R.label_counts(F.col("t")))
 
 
+#: Words that some texts have, by their digests, as a table of terms.
+TERMS_SQL = r"""pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+') AS p FROM documents)),
+terms AS (SELECT DISTINCT lower(piece) AS term FROM pieces WHERE regexp_full_match(piece, '[a-z]{5,9}') AND md5(piece) < '2')"""
+
+
+@query(f"WITH {TERMS_SQL}, t AS (SELECT doc_id, count(term) AS n_terms, md5(string_agg(CASE WHEN term IS NULL THEN piece ELSE '[REDACTED_TERM]' END, '' ORDER BY i)) AS digest FROM pieces LEFT JOIN terms ON lower(piece) = term GROUP BY doc_id) SELECT doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN t USING (doc_id)")
+def redact_term_table(spark, sf_dir):
+    """A table of all words of five to nine small letters with certain digests, replaced in every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("term")).filter(F.col("term").rlike(r"\A[a-z]{5,9}\z") & (F.md5(F.col("term").cast("binary")) < "2")).distinct()
+    out = TT.redact_term_table(docs, words.select(F.xxhash64("term").alias("seq"), "term"))
+    return out.select("doc_id", F.regexp_count("redacted", F.lit(r"\[REDACTED_TERM\]")).cast("long").alias("n_terms"), F.md5(F.col("redacted").cast("binary")).alias("digest"))
+
+
+def _luhn_sql(m: str) -> str:
+    d = f"list_reverse(regexp_extract_all({m}, '[0-9]'))"
+    return f"list_sum(list_transform({d}, lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d::INT > 4 THEN 2 * d::INT - 9 ELSE 2 * d::INT END)) % 10 = 0"
+
+
+def _strict_sql(e: str) -> str:
+    """DuckDB's form of two steps of the strict set."""
+    e = _re(e, r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----\s*[\s\S]+?\s*-----END (?:[A-Z ]+ )?PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]")
+    card = r"\b(?:\d{4}[-\s]?){3}\d{4}\b"
+    e = f"(SELECT string_agg(p || coalesce(CASE WHEN {_luhn_sql('m')} THEN '[REDACTED_CC]' ELSE m END, ''), '' ORDER BY i) FROM (SELECT unnest(regexp_split_to_array(x, '{card}')) AS p, unnest(list_append(regexp_extract_all(x, '{card}'), NULL)) AS m, generate_subscripts(regexp_split_to_array(x, '{card}'), 1) AS i FROM (SELECT {e} AS x)))"
+    return e
+
+
+@query(f"""WITH f AS (SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '-----BEGIN PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END PRIVATE KEY-----' WHEN 1 THEN 'card 4111 1111 1111 ' || lpad((doc_id * 7919 % 10000)::VARCHAR, 4, '0') WHEN 2 THEN '4' || lpad((doc_id * 104729 % 1000000000000000)::VARCHAR, 15, '0') ELSE 'none' END AS t FROM documents)
+SELECT doc_id, md5({_strict_sql('t')}) AS strict_digest, md5({STEP_SQL['CC'](STEP_SQL['PRIVATE_KEY']('t'))}) AS digest FROM f""")
+def strict_redaction(spark, sf_dir):
+    """Private keys and card numbers by the strict set and by the default one, on whole texts with one of each kind added."""
+    d = F.col("doc_id")
+    last = F.lpad((d * 7919 % 10000).cast("string"), 4, "0")
+    more = F.when(d % 4 == 0, "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----").when(d % 4 == 1, F.concat(F.lit("card 4111 1111 1111 "), last)).when(d % 4 == 2, F.concat(F.lit("4"), F.lpad((d * 104729 % 1000000000000000).cast("string"), 15, "0"))).otherwise("none")
+    text = F.concat("text", F.lit("\n"), more)
+    two = lambda strict: F.md5(R.step(R.step(text, "PRIVATE_KEY", strict), "CC", strict).cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", two(True).alias("strict_digest"), two(False).alias("digest"))
+
+
+@query("""SELECT event_id, a, ok, CASE WHEN ok THEN '[REDACTED_IP]' ELSE a END AS strict, '[REDACTED_IP]' AS plain
+FROM (SELECT *, user_id % 400 < 256 AND event_id % 300 < 256 AS ok FROM (SELECT event_id, user_id, '10.' || (user_id % 400) || '.0.' || (event_id % 300) AS a FROM events))""")
+def strict_addresses(spark, sf_dir):
+    a = F.concat(F.lit("10."), (F.col("user_id") % 400).cast("string"), F.lit(".0."), (F.col("event_id") % 300).cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", a.alias("a"))
+    return rows.select("event_id", "a", R.step(F.col("a"), "IP", True).startswith("[").alias("ok"), R.step(F.col("a"), "IP", True).alias("strict"), R.step(F.col("a"), "IP").alias("plain"))
+
+
 # --- paths, names and joins --------------------------------------------------------------------
 
 PATHS = """paths AS (
