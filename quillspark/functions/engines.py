@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .redact import ENTITY_LABELS, HEADER, chain, pack_lines, stash_headers
 
@@ -48,8 +49,12 @@ class TextEngine:
         return "\n".join(c if not c.strip() else (model(c) or "").strip() or c for c in lines)
 
 
-def redact_with(rows: DataFrame, engine: EntityEngine | TextEngine, column: str = "markdown", terms: str | list[str] | None = None) -> DataFrame:
-    """rows with ``column`` redacted by the chain and then by the engine; turn headers stay as they are."""
+def redact_with(rows: DataFrame, engine: EntityEngine | TextEngine, column: str = "markdown", terms: str | list[str] | None = None, error: str | None = None) -> DataFrame:
+    """rows with ``column`` redacted by the chain and then by the engine; turn headers stay as they are.
+
+    error: the name of a further column that says why the engine left a text to the chain alone.  A model that can't
+    be loaded is tried once in a task.
+    """
     text = F.col(column)
     stashed = chain(stash_headers(text), terms)
     ready = rows.withColumn("heads_", F.regexp_extract_all(text, F.lit(HEADER), F.lit(1))).withColumn(column, stashed)
@@ -59,19 +64,29 @@ def redact_with(rows: DataFrame, engine: EntityEngine | TextEngine, column: str
     def run(batches):
         import pyarrow as pa
 
-        model = None
+        model = broken = None
         for b in batches:
-            out = []
+            out, said = [], []
             for t, heads, lines in zip(*(b.column(c).to_pylist() for c in (column, "heads_", "lines_"))):
+                why = None
                 if t is not None:
-                    try:
-                        model = model or engine.load()
-                        t = engine.rewrite(model, t, lines)
-                    except Exception:  # noqa: BLE001  a model that fails must not end the batch
-                        pass
+                    if model is None and broken is None:
+                        try:
+                            model = engine.load()
+                        except Exception as e:  # noqa: BLE001  a model that fails must not end the batch
+                            broken = f"{type(e).__name__}: {e}"
+                    why = broken
+                    if broken is None:
+                        try:
+                            t = engine.rewrite(model, t, lines)
+                        except Exception as e:  # noqa: BLE001
+                            why = f"{type(e).__name__}: {e}"
                     for i, h in enumerate(heads or ()):
                         t = t.replace(f"[[KEPT_TURN_{i}]]", h)
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(c) for i, c in enumerate(names)], names)
+                said.append(why)
+            cols = [pa.array(out, pa.string()) if i == at else b.column(c) for i, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.string())][: len(kinds.fields)], kinds.names)
 
-    return ready.mapInArrow(run, rows.schema)
+    kinds = StructType([*rows.schema.fields, *([StructField(error, StringType())] if error else [])])
+    return ready.mapInArrow(run, kinds)

@@ -14,7 +14,7 @@ SCHEMA = "path string, status string, output string, markdown string, tokens big
 
 def normal_path(path: Column) -> Column:
     """Slashes single, no trailing one, ``.`` segments gone."""
-    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/(\./)+|/{2,}", "/")
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/(\.?/)+", "/")
     return F.when(p == "/", p).otherwise(F.regexp_replace(p, r"(/\.)?/?\z", ""))
 
 
@@ -138,6 +138,16 @@ def apply_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.withColumn("output", F.coalesce("earlier_", "output")).drop("np_", "earlier_")
 
 
+def common_folder(folders: str = "folder") -> Column:
+    """An aggregate: the longest path that all folders (absolute, slashes single) lie in; null for none.  It is what the least and the greatest have in common, segment by segment."""
+    parts = F.split(F.regexp_replace(folders, r"/+\z", ""), "/", -1)
+    low, high = F.min(parts), F.max(parts)
+    same = F.transform(low, lambda p, i: F.get(high, i).eqNullSafe(p))
+    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(low))
+    path = F.array_join(F.slice(low, F.lit(1), n.cast("int")), "/")
+    return F.when(n > 0, F.when(path == "", "/").otherwise(path))
+
+
 def exclude(files: DataFrame, excluded: DataFrame) -> DataFrame:
     """files without those whose path is in excluded (path)."""
     gone = excluded.select(normal_path(F.col("path")).alias("np_")).distinct()
@@ -200,6 +210,54 @@ def combined(docs: DataFrame, stamp: str | None = None, toc: bool = True) -> Dat
     return parts.select("collection", F.size("p_").alias("n_files"), text.alias("markdown")).withColumn("tokens", estimate_tokens(F.col("markdown")))
 
 
+def in_parts(pieces: DataFrame, part_bytes: int) -> DataFrame:
+    """(collection, kind, name, piece), in order of kind, name and piece, as texts of bounded size: collection, part, start (bytes before it), n_bytes, markdown.
+
+    Prefix sums of the pieces' sizes, over names and digests only, say where each piece begins and so which part it is in; texts
+    move once, to their parts.  A part begins with the first piece that starts in its range, so it is at most one piece longer.
+    """
+    key = ["collection", "kind", "name", "d_"]
+    rows = pieces.withColumn("d_", F.sha2(F.encode("piece", "UTF-8"), 256))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.first(F.octet_length("piece")).cast("long").alias("size"))
+    before = F.sum(F.col("times") * F.col("size")).over(Window.partitionBy("collection").orderBy("kind", "name", "d_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
+    # equal pieces of one name follow one another
+    each = sizes.select(*key, F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("i", "n"), (F.col("before") + (F.col("n") - 1) * F.col("size")).alias("at"))
+    texts = rows.groupBy(*key).agg(F.first("piece").alias("piece"))
+    placed = each.select(*key, "at", F.floor(F.col("at") / part_bytes).alias("part")).join(texts, key)
+    out = placed.groupBy("collection", "part").agg(F.min("at").alias("start"), F.array_sort(F.collect_list(F.struct("at", "kind", "name", "d_", "piece"))).alias("p_"))
+    text = F.array_join(F.transform("p_", lambda p: p["piece"]), "")
+    return out.select("collection", "part", "start", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("markdown"))
+
+
+def combined_parts(docs: DataFrame, stamp: str | None = None, toc: bool = True, part_bytes: int = 64 << 20) -> DataFrame:
+    """What ``combined`` makes of (collection, name, body), in parts of about ``part_bytes``, for collections beyond one string.  Of equal names digests of bodies decide.
+
+    Parts in order of their numbers, one after another, are the document; numbers may be left out where a piece fills several.
+    """
+    piece = lambda df, kind, name, text: df.select("collection", F.lit(kind).alias("kind"), name.alias("name"), text.alias("piece"))
+    n_files = docs.groupBy("collection").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    head = F.concat(F.lit("# "), F.col("collection"), F.lit("\n\n"), F.lit("## Table of Contents\n\n" if toc else ""))
+    if stamp is not None:
+        head = F.concat(collection_frontmatter(F.col("collection"), F.col("n"), F.lit(stamp)), head)
+    none, name = F.lit(""), F.col("name")
+    out = piece(n_files, 0, none, head)
+    if toc:
+        out = out.union(piece(docs, 1, name, F.concat(F.lit("- ["), name, F.lit("](#"), slugify(name), F.lit(")\n"))))
+        out = out.union(piece(n_files, 2, none, F.lit("\n")))
+    out = out.union(piece(docs, 3, name, F.concat(F.lit("\n\n---\n## "), name, F.lit("\n\n"), F.col("body"), F.lit("\n"))))
+    return in_parts(out, part_bytes)
+
+
+def clipboard_parts(docs: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
+    """What ``clipboard`` makes of (collection, name, body), in parts."""
+    out = docs.select("collection", F.lit(0).alias("kind"), "name", F.concat(F.lit("\n\n---\n## "), base_name(F.col("name")), F.lit("\n\n"), F.col("body")).alias("piece"))
+    out = in_parts(out, part_bytes)  # the first part's first blank lines go; they are counted as written nowhere
+    trimmed = F.when(F.col("start") == 0, F.regexp_replace("markdown", r"(?U)\A\s+", "")).otherwise(F.col("markdown"))
+    gone = F.lit(2)
+    return out.withColumn("markdown", trimmed).withColumn("n_bytes", F.octet_length("markdown").cast("long")).withColumn("start", F.when(F.col("start") == 0, 0).otherwise(F.col("start") - gone).cast("long"))
+
+
 def is_combined(path: Column) -> Column:
     """Outputs of earlier combinations, which aren't combined again."""
     return path.endswith("-combined.md") | base_name(path).contains("combined_master")

@@ -126,7 +126,11 @@ def fallback_segment(docs: DataFrame, speaker: str | None) -> DataFrame:
 
 
 def undiarized_segments(words: DataFrame, max_gap: float = 2.5, sentence_after: float = 15.0, longest: float = 45.0) -> DataFrame:
-    """Segments by pauses, sentence ends after a while, or length: each break starts the count anew, so this is a fold."""
+    """Segments by pauses, sentence ends after a while, or length: each break starts the count anew, so this is a fold.
+
+    A pause after everything that was said before breaks any segment, so a transcript is first cut at such pauses, and each
+    stretch between two of them is folded by itself.
+    """
     done = "array<struct<start:double,end:double,words:array<string>>>"
     w = F.col("ws_")
     first = F.element_at(w, 1)
@@ -147,9 +151,14 @@ def undiarized_segments(words: DataFrame, max_gap: float = 2.5, sentence_after:
             F.when(stop, F.array(x["word"])).otherwise(F.array_append(a["t"], x["word"])).alias("t"),
         )
 
-    rows = words.groupBy("doc_id").agg(_ordered("seq", "word", "start", "end").alias("ws_"))
-    out = rows.select("doc_id", F.posexplode(F.aggregate(F.slice(w, 2, F.size(w)), state, add, push)).alias("seq", "x"))
-    out = out.select("doc_id", (F.col("seq") + 1).cast("bigint").alias("seq"), round_hundredth(F.col("x.start")).alias("start"), round_hundredth(F.col("x.end")).alias("end"), F.lit(None).cast("string").alias("speaker"), join_words(F.col("x.words")).alias("text"))
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    far = F.max(F.greatest("end", "start", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = words.select("doc_id", "seq", "word", "start", "end", F.coalesce(F.col("start") - far > max_gap, F.lit(False)).alias("cut_"))
+    rows = rows.withColumn("part_", F.sum(F.col("cut_").cast("int")).over(order))
+    rows = rows.groupBy("doc_id", "part_").agg(_ordered("seq", "word", "start", "end").alias("ws_"))
+    out = rows.select("doc_id", "part_", F.posexplode(F.aggregate(F.slice(w, 2, F.size(w)), state, add, push)).alias("at_", "x"))
+    out = out.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("part_", "at_")))
+    out = out.select("doc_id", F.col("seq").cast("bigint").alias("seq"), round_hundredth(F.col("x.start")).alias("start"), round_hundredth(F.col("x.end")).alias("end"), F.lit(None).cast("string").alias("speaker"), join_words(F.col("x.words")).alias("text"))
     return out.filter("text <> ''")
 
 

@@ -12,6 +12,7 @@ from ..operators import batch as B
 from ..operators import terms as TT
 from ..operators import transcript as S
 from ..sources import convert, scan
+from ..streaming import live, streams
 from . import samples
 
 STAMP = "2024-01-01 00:00:00"
@@ -279,6 +280,17 @@ def collect_files(spark, sf_dir):
     return scan.collect_files(named, rows)
 
 
+@query(f"""WITH {PATHS}, p AS (SELECT page_id % 13 AS run, string_split(regexp_replace(path, '/[^/]*$', '') || '/' || (page_id % 26 // 13) || '/x', '/') AS parts FROM paths WHERE page_id % 13 <> 5 OR page_id % 7 = 2),
+e AS (SELECT run, min(parts) AS low, max(parts) AS high, list_position(list_transform(list_zip(min(parts), max(parts)), lambda z: z[1] = z[2]), false) AS pos FROM p GROUP BY run)
+SELECT run, array_to_string(CASE WHEN coalesce(pos, 0) > 0 THEN low[1:pos - 1] ELSE low END, '/') AS base_dir FROM e""")
+def base_folders(spark, sf_dir):
+    """The folder that all folders of a run lie in, by runs of files."""
+    p = F.col("page_id")
+    folder = F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"), F.floor(p % 26 / 13).cast("string"), F.lit("/x"))
+    rows = paths(spark, sf_dir).filter("page_id % 13 <> 5 OR page_id % 7 = 2").select((p % 13).alias("run"), folder.alias("folder"))
+    return rows.groupBy("run").agg(B.common_folder().alias("base_dir"))
+
+
 @query(f"""WITH {PATHS}, u AS (SELECT DISTINCT path FROM paths), t AS (SELECT path, left(path, length(path) - length({EXT})) AS stem FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) - 1 + CASE WHEN stem LIKE '/in/3/%' THEN 1 ELSE 0 END AS n FROM t)
 SELECT path, stem || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.md' AS output FROM r""")
@@ -378,6 +390,30 @@ def combine_conversations(spark, sf_dir):
     return B.combined(rows.select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("collection"), name.alias("name"), F.col("text").alias("body")), STAMP)
 
 
+@query(f"""WITH p AS (SELECT 'conv ' || (conv_id % 5) AS collection, lpad(conv_id::VARCHAR, 6, '0') || '-' || lpad(turn::VARCHAR, 4, '0') || ' ' || role || '.md' AS name, text AS body FROM conversations),
+q AS (SELECT DISTINCT collection, 0 AS kind, '' AS name, '# ' || collection || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10) AS piece FROM p
+UNION ALL SELECT collection, 1, name, '- [' || name || '](#' || regexp_replace(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', '-', 'g') || ')' || chr(10) FROM p
+UNION ALL SELECT DISTINCT collection, 2, '', chr(10) FROM p UNION ALL SELECT collection, 3, name, chr(10) || chr(10) || '---' || chr(10) || '## ' || name || chr(10) || chr(10) || body || chr(10) FROM p),
+o AS (SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY collection ORDER BY kind, name, sha256(piece) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM q)
+SELECT collection, pos // 20000 AS part, min(pos) AS start, sum(strlen(piece))::BIGINT AS n_bytes, md5(string_agg(piece, '' ORDER BY pos, kind, name)) AS digest FROM o GROUP BY collection, pos // 20000""")
+def combined_parts(spark, sf_dir):
+    """Large collections as parts of 20,000 bytes, contents first."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(" "), "role", F.lit(".md"))
+    docs = c.select(F.concat(F.lit("conv "), (F.col("conv_id") % 5).cast("string")).alias("collection"), name.alias("name"), F.col("text").alias("body"))
+    out = B.combined_parts(docs, part_bytes=20_000)
+    return out.select("collection", "part", "start", "n_bytes", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query("""WITH i AS (SELECT conv_id AS doc_id, 'm/' || lpad(turn::VARCHAR, 9, '0') || '.png' AS name, text FROM conversations WHERE length(trim(text, ' ')) >= 3),
+f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY doc_id, lower(trim(text, ' ' || chr(10))) ORDER BY name) = 1)
+SELECT doc_id, count(*) AS n_texts, md5(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Text found in images' || chr(10) || string_agg(chr(10) || chr(10) || '### ' || substr(name, 3) || chr(10) || chr(10) || text, '' ORDER BY name)) AS digest FROM f GROUP BY doc_id""")
+def ocr_dedupe_documents(spark, sf_dir):
+    """Texts of images by the document that they are in: a conversation's turns."""
+    images = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("m/"), F.lpad(F.col("turn").cast("string"), 9, "0"), F.lit(".png")).alias("name"), "text")
+    return B.dedupe_image_texts(images).select("doc_id", "n_texts", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
 @query("SELECT 'conv ' || conv_id AS collection, regexp_replace(string_agg(chr(10) || chr(10) || '---' || chr(10) || '## ' || lpad(turn::VARCHAR, 4, '0') || '.md' || chr(10) || chr(10) || text, '' ORDER BY turn, text), '^\\s+', '') AS text FROM conversations GROUP BY conv_id")
 def clipboard_text(spark, sf_dir):
     name = F.concat(F.lit("a/"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".md"))
@@ -741,3 +777,68 @@ def gpu_decision(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT doc_id, count(DISTINCT raw_speaker) AS n_speakers FROM words GROUP BY doc_id")
 def distinct_speakers(spark, sf_dir):
     return S.distinct_speakers(words(spark, sf_dir).withColumnRenamed("raw_speaker", "speaker"))
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of its own for a stream's files and checkpoint, where the session keeps such things."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: streams need a folder that executors share")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quill-stream-")
+
+
+@query(f"""WITH {SEGMENTS} {TURN_SQL}
+SELECT doc_id AS call, arg_min(start, seq) AS start, max("end") AS "end", min(spk) AS speaker, string_agg(text, ' ' ORDER BY seq) AS text FROM t GROUP BY doc_id, turn""")
+def turns_from_stream(spark, sf_dir):
+    """Turns of segments that come out of order, closed by the watermark; the last row only moves time on."""
+    folder, cols = fresh_folder(spark), ["call", "seq", "start", "end", "speaker", "text", "at"]
+    rows = segments(spark, sf_dir).withColumnRenamed("doc_id", "call").withColumn("at", F.timestamp_millis(F.round(F.col("start") * 1000).cast("long"))).select(cols)
+    late = spark.range(1).select(F.lit(-1).cast("long").alias("call"), F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(None).cast("string").alias("speaker"), F.lit("").alias("text"), F.timestamp_millis(F.lit(1 << 41)).alias("at"))
+    for i, part in enumerate((rows.filter(F.col("seq") % 2 == 1), rows.filter(F.col("seq") % 2 == 0), late)):
+        part.write.mode("append").parquet(f"{folder}/in/{i}")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    with streams.rocks(spark):
+        q = streams.stream_turns(stream, late="7 days").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination()
+    return spark.read.schema(streams.TURN).parquet(f"{folder}/out")
+
+
+def _live(spark, sf_dir, skipped: DataFrame | None = None) -> live.LiveBatch:
+    folder = fresh_folder(spark)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+
+    def work(rows: DataFrame) -> DataFrame:
+        done = rows.join(docs, "path")
+        count = lambda c: F.when((F.col("status") == "ready") & (F.length("text") >= 100), c)
+        status = F.when(F.col("status") == "skipped", "skipped").when(F.length("text") < 100, "error").otherwise("done")
+        return done.select("path", status.alias("status"), "output", count(F.col("text")).alias("markdown"), count(T.estimate_tokens(F.col("text"))).alias("tokens"), count(T.raw_tokens(F.octet_length("text"))).alias("source_tokens"))
+
+    commands = None
+    if skipped is not None:
+        commands = f"{folder}/commands"
+        skipped.select(F.to_json(F.struct(F.lit("skip").alias("cmd"), F.col("path").alias("file"))).alias("value")).write.text(commands)
+    batch = live.LiveBatch(spark, f"{folder}/batch", work, waves=4, commands=commands)
+    return batch.start(docs.select("path", F.octet_length("text").cast("long").alias("n_bytes"))).wait()
+
+
+_LIVE = "SELECT '/in/' || doc_id || '.txt' AS path, CASE WHEN {skip} THEN 'skipped' WHEN length(text) < 100 THEN 'error' ELSE 'done' END AS status, CASE WHEN NOT ({skip}) AND length(text) >= 100 THEN greatest(1, length(text) // 4) END::BIGINT AS tokens FROM documents"
+
+
+@query(f"WITH r AS ({_LIVE.format(skip='false')}) SELECT count(*) AS done, count(*) FILTER (status = 'done') AS converted, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status = 'skipped') AS skipped, sum(tokens)::BIGINT AS tokens FROM r")
+def live_batch_counts(spark, sf_dir):
+    """The counts that a batch in waves has observed when it ends."""
+    last = _live(spark, sf_dir).progress()[-1]
+    return spark.createDataFrame([tuple(last[c] for c in ("done", "converted", "failed", "skipped", "tokens"))], "done long, converted long, failed long, skipped long, tokens long")
+
+
+@query(_LIVE.format(skip="doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)"))
+def live_skipped_files(spark, sf_dir):
+    """A batch of which some files are skipped by a stream of commands that was there first."""
+    skipped = table(spark, sf_dir, "labels").filter("quality = 0").select(F.concat(F.lit("/in//./"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")).distinct()
+    return _live(spark, sf_dir, skipped).results().select("path", "status", "tokens")

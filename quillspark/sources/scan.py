@@ -36,15 +36,25 @@ def list_files(spark: SparkSession, folders: list[str], tasks: int = 64) -> Data
     return spark.read.format("listed_files").option("folders", json.dumps(folders)).option("tasks", str(tasks)).load()
 
 
-def collect_files(direct: DataFrame, listed: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Files named directly (seq, path), whatever their suffix, and listed ones (seq, path) that a scan takes: each once, at its first place."""
+def collect_files(direct: DataFrame, listed: DataFrame, excluded: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """Files named directly (seq, path), whatever their suffix, and listed ones (seq, path) that a scan takes: each once, at its first place.
+
+    folders: (folder) that were named; with it each row has base_dir, the folder that all of them and the direct files lie in.
+    """
     rows = direct.select("seq", "path").union(scan_listing(listed).select("seq", "path"))
     rows = rows.groupBy("path").agg(F.min("seq").alias("seq"))
     if excluded is not None:
         from ..operators.batch import exclude
 
         rows = exclude(rows, excluded)
-    return rows.select("seq", "path").orderBy("seq", "path")
+        direct = exclude(direct, excluded)
+    if folders is None:
+        return rows.select("seq", "path").orderBy("seq", "path")
+    from ..operators.batch import common_folder
+
+    tops = folders.select("folder").union(direct.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")))
+    base = tops.agg(common_folder().alias("base_dir"))  # one row
+    return rows.select("seq", "path").join(F.broadcast(base), F.lit(True)).orderBy("seq", "path")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
