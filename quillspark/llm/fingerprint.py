@@ -8,7 +8,7 @@ A fingerprint is the sequence of all anchors, of the whole text: of each its dis
 from the one before and 12 bits of its hash, as three characters (more for distances
 over 62).  Distance and hash together are the anchor's token.  The likeness of two
 fingerprints is the positional match: the longest sequence of tokens that both have in
-the same order (i-th occurrences matched with i-th ones), as a share of all
+the same order, repeated tokens included, as a share of all
 tokens of both (the matched ones counted once).  It isn't sampled; two tokens of unrelated texts are equal once in some 10**5
 pairs, which brings near 0.001 to the likeness of unrelated texts of 1,000 words.
 
@@ -109,29 +109,64 @@ def read_tokens(fingerprint: str) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _times(values: np.ndarray) -> np.ndarray:
-    """Each value with the number of times that it has stood before."""
-    order = np.argsort(values, kind="stable")
-    place = np.arange(len(values))
-    new = np.append(True, values[order][1:] != values[order][:-1])[: len(values)]
-    out = np.empty(len(values), np.int64)
-    out[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    return values << 24 | out
+#: Pairs of equal tokens, for each token of both, up to which sequences are grown pair by pair.
+FEW_PAIRS = 20
+#: Tokens in a block of the table otherwise.
+BLOCK_BITS = 1 << 15
+
+
+def by_pairs(a: np.ndarray, b: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
+    """Pair by pair: of the sequences of each length so far the least last place; an element's own places from the last down, so that it counts once."""
+    ends: list[int] = []
+    for x, y in zip(low.tolist(), high.tolist()):
+        for p in order[x:y][::-1].tolist():
+            k = bisect_left(ends, p)
+            ends[k : k + 1] = [p]
+    return len(ends)
+
+
+def by_rows(a: np.ndarray, b: np.ndarray) -> int:
+    """Row by row of the table of longest common sequences, a row's steps as bits of one number, block by block of ``a``; steps go over between blocks as carries."""
+    carries, shared, other = [0] * len(b), 0, b.tolist()
+    for at in range(0, len(a), BLOCK_BITS):
+        part = a[at : at + BLOCK_BITS].tolist()
+        where: dict[int, int] = {}
+        for i, t in enumerate(part):
+            where[t] = where.get(t, 0) | 1 << i
+        full = row = (1 << len(part)) - 1
+        for j, t in enumerate(other):
+            at_t, carry = where.get(t, 0), carries[j]
+            if at_t or carry:
+                new = row + (row & at_t) + carry
+                carries[j] = new >> len(part)
+                row = (new | (row & ~at_t)) & full
+        shared += len(part) - row.bit_count()
+    return shared
+
+
+def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest sequence of values that both have in the same order, however often values repeat."""
+    m = min(len(a), len(b))
+    other = a[:m] != b[:m]
+    before = int(other.argmax()) if other.any() else m
+    a, b, m = a[before:], b[before:], m - before
+    other = a[len(a) - m :][::-1] != b[len(b) - m :][::-1]
+    after = int(other.argmax()) if other.any() else m
+    a, b = a[: len(a) - after], b[: len(b) - after]
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]
+    if not len(a):
+        return before + after
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    few = int((high - low).sum()) <= FEW_PAIRS * (len(a) + len(b))
+    return before + after + (by_pairs(a, b, order, low, high) if few else by_rows(a, b))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The longest sequence of tokens common in order, as a share of all tokens of both."""
     if not len(a) and not len(b):
         return 1.0
-    m = min(len(a), len(b))
-    other = a[:m] != b[:m]
-    same = int(other.argmax()) if other.any() else m
-    _, i, j = np.intersect1d(_times(a[same:]), _times(b[same:]), assume_unique=True, return_indices=True)
-    ends: list[int] = []  # of the sequences of each length so far, the least last place
-    for p in j[np.argsort(i)].tolist():
-        k = bisect_left(ends, p)
-        ends[k : k + 1] = [p]
-    shared = same + len(ends)
+    shared = common_in_order(a, b)
     return shared / (len(a) + len(b) - shared)
 
 
@@ -193,7 +228,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tune_arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     by = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = rows.repartitionByRange(by[0]).sortWithinPartitions(*by)
+    # rows of one id may be many: how their texts begin tells them apart
+    rows = rows.repartitionByRange(by[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*by)
     rows = cut(rows.mapInArrow(_stream, OUT_SQL), "fingerprints")
     # one head and one tail for each partition; the order of partitions is found without their texts
     heads = rows.filter("edge = 'head'")

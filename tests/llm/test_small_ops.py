@@ -272,27 +272,42 @@ def naive_fingerprint(text):
 
 
 def naive_likeness(a, b):
-    """By the table of longest common sequences of tokens and their times."""
-    def times(x):
-        seen = Counter()
-        out = []
-        for t in x:
-            out.append((t, seen[t]))
-            seen[t] += 1
-        return out
-
-    m = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    x, y = times(a[m:]), times(b[m:])
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
+    """By the whole table of longest common sequences of tokens."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
             best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
-    shared = m + best[-1][-1]
-    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+    shared = best[-1][-1]
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+@pytest.mark.parametrize("block", [3, 64, 1 << 15])
+@pytest.mark.parametrize("few", [0, 20])
+def test_likeness_where_tokens_repeat(monkeypatch, few, block):
+    monkeypatch.setattr(fingerprint, "FEW_PAIRS", few)
+    monkeypatch.setattr(fingerprint, "BLOCK_BITS", block)
+    assert fingerprint.likeness(np.array([5, 7, 5]), np.array([7, 5])) == 2 / 3
+    rng = random.Random(few)
+    for _ in range(150):
+        values = rng.choice([2, 5, 40])
+        a, b = ([rng.randrange(values) for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(a) + 1)
+            b = a[at:] + a[:at] + b[:3]
+        assert fingerprint.likeness(np.array(a, np.int64), np.array(b, np.int64)) == naive_likeness(a, b)
+
+
+def test_likeness_of_texts_with_repeated_lines():
+    rng = random.Random(8)
+    prose = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    line = "the same line stands here more than once, as in a license.\n"
+    for a, b in ((line * 3 + prose, prose), (prose + line * 40, line * 12 + prose + line * 28), (line * 60 + prose, prose[:1500] + line * 30 + prose[1500:])):
+        x, y = fingerprint.tokens(a), fingerprint.tokens(b)
+        assert fingerprint.likeness(x, y) == naive_likeness(x.tolist(), y.tolist())
 
 
 def test_fingerprints(spark, texts):
-    rows = [(d, t if t is None or len(t) < 900 else t[:900]) for d, t in texts if d is not None][:70:2] + [(900, "x" * 400), (901, ""), (902, None), (903, "ab" * 20)]
+    rows = [(d, t) for d, t in texts if d is not None and len(t or "") < 6000][:70:2] + [(900, "x" * 400), (901, ""), (902, None), (903, "ab" * 20)]
     rows = list(dict(rows).items())
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows, 5)).collect()}
     order = sorted(dict(rows).items(), reverse=True)
