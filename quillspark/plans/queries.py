@@ -748,6 +748,45 @@ def converted_files(spark, sf_dir):
     return done.select(doc.alias("doc_id"), formats.extension(F.col("path")).alias("kind"), "status", F.md5(F.col("markdown").cast("binary")).alias("digest"), "tokens", "unread_images", "source_tokens")
 
 
+#: White space of any kind and control characters, which some formats can't hold, as one blank; all else stays.
+BLANKS = r"[\x{0}-\x{20}\x{7F}-\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+WHOLE_KINDS = [*samples.KINDS, ".json"]
+
+
+def _whole_sql() -> str:
+    dull = r"regexp_replace(b, '\*\*\s*\*\*', '', 'g')"
+    shown = {
+        ".md": "'# T' || chr(10) || chr(10) || b", ".csv": r"'| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || replace(b, '|', '\|') || ' |'", ".html": f"'# T' || chr(10) || chr(10) || {dull}", ".vtt": "CASE WHEN contains(b, '-->') THEN '' ELSE 'x ' || b END",
+        ".ipynb": f"b || {_s(chr(10) * 2 + '```python' + chr(10) + 'print(1)' + chr(10) + '```')}", ".docx": "'# Head' || chr(10) || chr(10) || b", ".xlsx": r"'## One' || chr(10) || chr(10) || '| Name |' || chr(10) || '| --- |' || chr(10) || '| ' || replace(b, '|', '\|') || ' |'",
+        ".pptx": "'<!-- Slide number: 1 -->' || chr(10) || b", ".zip": f"'# Archive: ' || doc_id || '.zip' || chr(10) || chr(10) || '---' || chr(10) || '## a.txt' || chr(10) || chr(10) || b || {_s(chr(10) * 2 + '---' + chr(10) + '*Skipped entries:* s.mp3 (audio/video skipped in archives), t.exe (unsupported type)')}",
+        ".epub": dull, ".pdf": r"regexp_replace(b, '[^\x{20}-\x{7E}\x{A1}-\x{FF}]', '?', 'g')", ".json": """'{"text": "' || replace(replace(b, '\\', '\\\\'), '"', '\\"') || '"}'""",
+    }
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in shown.items())
+    kinds = ", ".join(f"'{k}'" for k in WHOLE_KINDS)
+    return f"""WITH k AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '{BLANKS}', ' ', 'g'), ' '), ''), 'empty') AS b, [{kinds}][doc_id % {len(WHOLE_KINDS)} + 1] AS kind FROM documents)
+SELECT doc_id, kind, md5(CASE kind {cases} ELSE b END) AS digest FROM k"""
+
+
+@query(_whole_sql())
+def converted_whole_texts(spark, sf_dir):
+    """Whole texts with all their signs, quotes, marks and letters as files of 13 formats, converted back."""
+    body = F.coalesce(F.nullif(F.trim(F.regexp_replace("text", BLANKS, " ")), F.lit("")), F.lit("empty"))
+    kind = F.element_at(F.lit(WHOLE_KINDS), (F.col("doc_id") % len(WHOLE_KINDS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), body.alias("body"))
+
+    def make(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = [samples.whole_file(k, t) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            paths = [f"/in/{d}{k}" for d, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], ["path", "n_bytes", "content"])
+
+    done = convert.convert_files(rows.mapInArrow(make, "path string, n_bytes long, content binary"), allow_zip=True)
+    doc = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    return done.select(doc.alias("doc_id"), formats.extension(F.col("path")).alias("kind"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 0 ELSE floor((event_id * 7919 % 10000000) / 100 + 0.5) / 10 END::DOUBLE AS duration_sec, event_id % 7 NOT IN (3, 6) AS has_audio FROM events""")
 def probed_media(spark, sf_dir):
     """A file of some kind for each event, probed from its bytes."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import json
 import struct
@@ -55,6 +56,25 @@ def made_file(kind: str, body: str) -> bytes:
     return out.getvalue()
 
 
+#: How a body is written inside each kind.
+WRITTEN = {
+    ".csv": lambda b: '"' + b.replace('"', '""') + '"',
+    ".ipynb": lambda b: json.dumps(b, ensure_ascii=False)[1:-1],
+    **dict.fromkeys([".html", ".epub", ".docx", ".xlsx", ".pptx"], html.escape),
+}
+
+
+def whole_file(kind: str, body: str) -> bytes:
+    """A file with the whole body, whatever characters it has."""
+    if kind == ".json":
+        return json.dumps({"text": body}, ensure_ascii=False).encode()
+    if kind == ".pdf":  # every second byte in octal, as writers may
+        raw = body.encode("cp1252", "replace")
+        shown = b"".join(b"\\%03o" % c if i % 2 or c > 126 else b"\\" + bytes([c]) if c in b"()\\" else bytes([c]) for i, c in enumerate(raw))
+        return b"%PDF-1.4\n1 0 obj <</Type /Page>> endobj\nstream\n" + zlib.compress(b"BT (" + shown + b") Tj ET") + b"\nendstream"
+    return made_file(kind, WRITTEN.get(kind, str)(body))
+
+
 def _box(name: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", 8 + len(body), name) + body
