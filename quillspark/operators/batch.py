@@ -318,6 +318,12 @@ def active_model(installed: DataFrame, catalog: DataFrame, preferred: str = "",
     return wanted.join(installed.select("model"), "model", "left_semi").orderBy("seq", "model").limit(1).select("model")
 
 
+def model_flags(catalog: DataFrame, recommended: Column | str, active: Column | str) -> DataFrame:
+    """catalog (model) with recommended and active: whether a model is the one."""
+    same = lambda x: F.col("model").eqNullSafe(F.lit(x) if isinstance(x, str) else x)
+    return catalog.withColumn("recommended", same(recommended)).withColumn("active", same(active))
+
+
 def gpu_decision(model: Column, vulkan: Column, vram_mb: Column, override: str | None = None) -> Column:
     """struct(gpu, reason): whether speech recognition should use the GPU."""
     # Settings, limits and reasons that must equal the original's (the first two name its setting there).

@@ -363,6 +363,21 @@ def owner_prefix_join(spark, sf_dir):
     return B.owners(f, items).withColumn("item_seq", F.coalesce("item_seq", F.lit(-1)))
 
 
+@query(f"""WITH f AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*'), '^[a-z]+://', '') AS path, html FROM pages),
+items AS (SELECT min(page_id) AS item_seq, regexp_extract(path, '^[^/]*(/[^/]*)?') AS item FROM f WHERE page_id % 4 = 0 GROUP BY item),
+own AS (SELECT page_id, any_value(html) AS html, arg_min(item, item_seq) AS item FROM f LEFT JOIN items ON f.path = item OR starts_with(f.path, item || '/') GROUP BY page_id),
+results AS (SELECT item, CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 13 = 0 THEN 'skipped' ELSE 'done' END AS status, greatest(1, length(html) // 8)::BIGINT AS tokens, CASE WHEN page_id % 5 <> 0 THEN greatest(1, strlen(html) // 4)::BIGINT END AS source_tokens FROM own),
+{SUMMARY.format(by='item,', group='GROUP BY ROLLUP (item)')}""")
+def owner_rollup(spark, sf_dir):
+    """Files looked up under the items that were named, then counted by item and in all."""
+    p = F.col("page_id")
+    f = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+://", "").alias("path"), "html")
+    items = f.filter("page_id % 4 = 0").groupBy(F.regexp_extract("path", "^[^/]*(/[^/]*)?", 0).alias("item")).agg(F.min("page_id").alias("item_seq"))
+    status = F.when(p % 11 == 0, "error").when(p % 13 == 0, "skipped").otherwise("done")
+    done = f.select("page_id", "path", status.alias("status"), F.greatest(F.lit(1), F.floor(F.length("html") / 8)).alias("tokens"), F.when(p % 5 != 0, T.raw_tokens(F.octet_length("html"))).alias("source_tokens"))
+    return B.batch_summary(B.owners(done, items), "item").withColumn("percent", F.col("percent").cast("double"))
+
+
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '/' || p_brand || ' (v1.0) Été_' || p_type), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM part")
 def slugify_toc(spark, sf_dir):
     name = F.concat("p_name", F.lit("/"), "p_brand", F.lit(" (v1.0) Été_"), "p_type")
@@ -643,6 +658,21 @@ def recommend_model(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", model.alias("model"))
 
 
+_MODELS = ["parakeet-tdt-0.6b-v3", "whisper-large-v3-turbo-q8_0", "whisper-large-v3-turbo-q5_0", "whisper-small-q5_1", "parakeet-tdt-0.6b-v3-int8"]
+
+
+@query(f"""SELECT s_suppkey, model, model = CASE WHEN lower(os) = 'macos' THEN 'parakeet-tdt-0.6b-v3' WHEN vulkan AND vram >= 6144 THEN 'whisper-large-v3-turbo-q8_0' WHEN vulkan AND vram >= 4096 THEN 'whisper-large-v3-turbo-q5_0'
+WHEN coalesce(nullif(ram, 0), 8192) < 6144 THEN 'whisper-small-q5_1' ELSE 'parakeet-tdt-0.6b-v3-int8' END AS recommended, model IS NOT DISTINCT FROM CASE WHEN s_suppkey % 9 > 0 THEN [{', '.join(f"'{m}'" for m in _MODELS)}][s_suppkey % 4 + 1] END AS active
+FROM {HARDWARE} JOIN (SELECT unnest([{', '.join(f"'{m}'" for m in _MODELS)}]) AS model) ON true""")
+def model_flags(spark, sf_dir):
+    """The catalog of each machine with the model that suits it and the one in use."""
+    s = F.col("s_suppkey")
+    best = B.recommended_model(F.when(s % 5 == 0, "macOS").otherwise("windows"), s % 3 != 0, s * 613 % 9000, F.when(s % 7 != 0, s * 977 % 16000))
+    used = F.when(s % 9 > 0, F.element_at(F.lit(_MODELS), (s % 4 + 1).cast("int")))
+    catalog = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.lit(_MODELS)).alias("model"))
+    return B.model_flags(catalog, best, used)
+
+
 @query("""WITH i AS (SELECT source AS doc_id, 'm/' || lpad(doc_id::VARCHAR, 9, '0') || '.png' AS name, text FROM documents WHERE length(trim(text, ' ')) >= 3),
 f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY doc_id, lower(trim(text, ' ' || chr(10))) ORDER BY name) = 1)
 SELECT doc_id, count(*) AS n_texts, md5(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Text found in images' || chr(10) || string_agg(chr(10) || chr(10) || '### ' || substr(name, 3) || chr(10) || chr(10) || text, '' ORDER BY name)) AS digest FROM f GROUP BY doc_id""")

@@ -129,12 +129,12 @@ class LiveBatch:
     """One batch under ``out``: its list, waves' results and checkpoint.
 
     work: (path, n_bytes, output, status) to results.  waves: how many parts the listing is dealt into; the next one
-    is begun only when the one before has been written.  commands: a folder of text files with one command a line.
+    is begun only when the one before has been written, and ``on_wave`` has been called with its number.  commands: a folder of text files with one command a line.
     """
 
-    def __init__(self, spark: SparkSession, out: str, work: Callable[[DataFrame], DataFrame] | None = None, waves: int = 16, commands: str | None = None, base_dir: str = ""):
+    def __init__(self, spark: SparkSession, out: str, work: Callable[[DataFrame], DataFrame] | None = None, waves: int = 16, commands: str | None = None, base_dir: str = "", on_wave: Callable[[int], None] | None = None):
         self.spark, self.out, self.work, self.waves = spark, out.rstrip("/"), work or convert_listed(), waves
-        self.commands, self.base_dir = commands, base_dir
+        self.commands, self.base_dir, self.on_wave = commands, base_dir, on_wave
         self.tag, self.total, self.query = f"batch-{uuid.uuid4().hex}", 0, None
         self._waves: dict[int, dict] = {}
         self._stop, self._finished, self.commands_ended = threading.Event(), threading.Event(), False
@@ -190,6 +190,8 @@ class LiveBatch:
             done = self.work(self.spark.read.schema(rows.schema).parquet(size)).observe(seen, *counts())
             done.write.mode("overwrite").parquet(f"{self.out}/results/wave={n}")
             self._waves[n] = {c: seen.get[c] or 0 for c in COUNTS}
+            if self.on_wave:
+                self.on_wave(n)
         finally:
             sc.removeJobTag(self.tag)
         if self._done() >= self.total:
@@ -250,6 +252,8 @@ class LiveBatch:
 
     def results(self) -> DataFrame:
         """What has been written, with its wave."""
+        if not self._exists(f"{self.out}/results"):
+            return self.spark.createDataFrame([], f"{RESULT}, wave int")
         return self.spark.read.schema(f"{RESULT}, wave int").parquet(f"{self.out}/results")
 
     def progress(self) -> list[dict]:
