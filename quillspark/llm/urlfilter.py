@@ -57,30 +57,40 @@ def looks(segment: Column) -> Column:
 
 
 def template_tree(urls: DataFrame, z: float = 2.0) -> DataFrame:
-    """(host, path, blocked) of distinct URLs, blocked null where unlabelled -> with look (by looks alone) and template added."""
+    """(host, path, blocked) of distinct URLs, blocked null where unlabelled -> with look (by looks alone) and template added.
+
+    Each round settles one branching of every path that isn't done yet: segments that all paths of a node share are passed
+    over at once, and rows that are done are not written again.  So there are as many rounds as branchings on one path.
+    """
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    rows = urls.withColumn("segs", F.transform(segments, looks)).withColumn("look", F.array_join("segs", "/")).withColumn("template", F.lit(""))
-    rows, level = cut(rows, "url-tree"), 0
-    while (rows.agg(F.max(F.size("segs"))).first()[0] or 0) > level:
-        level += 1
-        here, done = rows.filter(F.size("segs") >= level), rows.filter(F.size("segs") < level)
-        here = here.withColumn("seg", F.element_at("segs", level))
-        child = here.groupBy("host", "template", "seg").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("paths"))
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"), F.sum("paths").alias("all"), F.count(F.lit(1)).alias("children"))
+    rows = urls.withColumn("segs", F.transform(segments, looks)).withColumn("look", F.array_join("segs", "/"))
+    rows = cut(rows.withColumn("template", F.lit("")).withColumn("pos", F.lit(0)), "url-tree")
+    is_open, done = F.size("segs") > F.col("pos"), []
+    while rows.filter(is_open).head(1):
+        done.append(rows.filter(~is_open))
+        here = rows.filter(is_open).withColumn("rest", F.slice("segs", F.col("pos") + 1, F.size("segs"))).withColumn("seg", F.element_at("rest", 1))
+        child = here.groupBy("host", "template", "seg").agg(F.count("blocked").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("paths"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"), F.sum("paths").alias("all"), F.min("lo").alias("lo0"), F.max("hi").alias("hi0"))
+        # what the least and the greatest rest begin with, all have
+        same = F.transform("lo0", lambda s, i: F.get("hi0", i).eqNullSafe(s))
+        node = node.withColumn("common", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("lo0")).cast("int"))
         rest, rest_b = F.col("nn") - F.col("n"), F.col("bb") - F.col("b")
         share = (F.col("bb") + 1) / (F.col("nn") + 2)
         gap = (F.col("b") + share) / (F.col("n") + 1) - (rest_b + share) / (rest + 1)
         spread = F.sqrt(share * (1 - share) * (1 / (F.col("n") + 1) + 1 / (rest + 1)))
         differs = (F.col("n") > 0) & (F.abs(gap) >= z * spread)
         ends = (F.col("nn") == 0) | (F.col("all") == 1)
-        child = child.join(node, ["host", "template"]).select("host", "template", "seg", ends.alias("ends"), (~ends & (F.col("children") > 1) & ~differs).alias("merged")).filter("ends OR merged")
+        child = child.join(node, ["host", "template"]).select("host", "template", "seg", ends.alias("ends"), (~ends & (F.col("common") == 0) & ~differs).alias("merged"), "common").filter("ends OR merged OR common > 1")
         child = cut(child, "url-merged")  # a table, so that the join can split the rows of a hot branch
         here = here.join(child, ["host", "template", "seg"], "left")
         over = F.coalesce("ends", F.lit(False))
-        step = F.when(over, F.array_join(F.slice("segs", level, F.size("segs")), "/")).when(F.coalesce("merged", F.lit(False)), "*").otherwise(F.col("seg"))
-        here = here.withColumn("template", F.concat("template", F.lit("/"), step)).withColumn("segs", F.when(over, F.slice("segs", 1, level - 1)).otherwise(F.col("segs")))
-        rows = cut(here.select(*rows.columns).unionByName(done), "url-tree")
-    return rows.drop("segs")
+        n = F.when(over, F.size("rest")).otherwise(F.greatest(F.lit(1), F.coalesce("common", F.lit(1))))
+        step = F.when(~over & F.coalesce("merged", F.lit(False)), "*").otherwise(F.array_join(F.slice("rest", F.lit(1), n), "/"))
+        here = here.withColumn("template", F.concat("template", F.lit("/"), step)).withColumn("pos", F.col("pos") + n)
+        rows = cut(here.select(*rows.columns), "url-tree")
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows.drop("segs", "pos")
 
 
 def template_purity(rows: DataFrame, weight: float = 4.0) -> DataFrame:
