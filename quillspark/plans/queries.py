@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import batch as B
 from ..operators import terms as TT
 from ..operators import transcript as S
-from ..sources import convert, scan
+from ..sources import convert, images, scan
 from ..streaming import live, streams
 from . import samples
 
@@ -101,6 +101,7 @@ def _re(expr: str, pattern: str, to: str, flags: str = "g") -> str:
     return f"regexp_replace({expr}, '{_q(pattern)}', '{_q(to)}', '{flags}')"
 
 
+# Patterns and labels that must equal the chain's, in DuckDB's dialect.
 KEYS = r"\b(api_key|apikey|secret|token|password|passwd|private_key)\b"
 PHONE = r"(^|[^0-9])(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}($|[^0-9])"
 
@@ -112,6 +113,7 @@ def _credential(e: str) -> str:
     return e
 
 
+# The chain's patterns and labels once more.
 #: RE2 has neither look-behind nor back-references: the phone step runs twice with its edges kept, the credential step once for each pair of quotes.
 STEP_SQL = {
     "PRIVATE_KEY": lambda e: _re(e, r"-----BEGIN [A-Z ]+ PRIVATE KEY-----\s*[\s\S]+?\s*-----END [A-Z ]+ PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
@@ -647,6 +649,7 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", convert.html_text(F.col("html")).alias("markdown"))
 
 
+# Fixed values in the queries below: names of models, limits and reasons that must equal the operators'.
 HARDWARE = "(SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'macOS' ELSE 'windows' END AS os, s_suppkey % 3 <> 0 AS vulkan, s_suppkey * 613 % 9000 AS vram, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey * 977 % 16000 END AS ram FROM supplier)"
 
 
@@ -817,6 +820,33 @@ def converted_whole_texts(spark, sf_dir):
     return done.select(doc.alias("doc_id"), formats.extension(F.col("path")).alias("kind"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
+_LINES = "array_to_string(list_reverse(list_filter(string_split(b, ' '), lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]'))), chr(10))"
+
+
+@query(f"""WITH k AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), ' '), ''), 'empty') AS b FROM documents), l AS (SELECT *, {_LINES} AS lines FROM k),
+m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN length(lines) >= 3 THEN lines END ELSE '<!-- Slide number: 1 -->' || chr(10) || 'body' || CASE WHEN length(lines) >= 3 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Text found in images' || chr(10) || chr(10) || chr(10) || '### image0.png' || chr(10) || chr(10) || lines ELSE '' END END AS markdown FROM l)
+SELECT doc_id, CASE WHEN markdown IS NULL THEN 'error' ELSE 'done' END AS status, md5(markdown) AS digest, 0::INTEGER AS unread_images FROM m""")
+def recognised_images(spark, sf_dir):
+    """Whole texts as pictures and as pictures in slides, twice each, read by a recogniser word by word."""
+    from ..plans.prepare import Options, prepare
+
+    body = F.coalesce(F.nullif(F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.lit("")), F.lit("empty"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+
+    def make(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, bodies = b.column(0).to_pylist(), b.column(1).to_pylist()
+            kinds = [".png" if i % 3 == 0 else ".pptx" for i in ids]
+            made = [samples.pictured_file(k, "body", [t, t, "x"]) for k, t in zip(kinds, bodies)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/in/{i}{k}" for i, k in zip(ids, kinds)]), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], ["path", "n_bytes", "content"])
+
+    done = prepare(rows.mapInArrow(make, "path string, n_bytes long, content binary"), Options(images=images.ImageReader(lambda: samples.read_picture)))
+    doc = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    return done.select(doc.alias("doc_id"), "status", F.md5(F.col("markdown").cast("binary")).alias("digest"), F.coalesce("unread_images", F.lit(0)).alias("unread_images"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 0 ELSE floor((event_id * 7919 % 10000000) / 100 + 0.5) / 10 END::DOUBLE AS duration_sec, event_id % 7 NOT IN (3, 6) AS has_audio FROM events""")
 def probed_media(spark, sf_dir):
     """A file of some kind for each event, probed from its bytes."""

@@ -75,6 +75,24 @@ def whole_file(kind: str, body: str) -> bytes:
     return made_file(kind, WRITTEN.get(kind, str)(body))
 
 
+def pictured_file(kind: str, body: str, texts: list[str]) -> bytes:
+    """A document with pictures, or one picture; ``read_picture`` reads what is written behind a picture's header."""
+    pictures = [PICTURE + t.encode() for t in texts]
+    if kind == ".png":
+        return pictures[0]
+    out = io.BytesIO(made_file(kind, body))
+    with zipfile.ZipFile(out, "a") as z:
+        for i, p in enumerate(pictures):
+            z.writestr(f"ppt/media/image{i}.png", p)
+    return out.getvalue()
+
+
+def read_picture(raw: bytes) -> list[tuple[list[list[float]], str, float]]:
+    """A box for each word, the last one uppermost; words with a digit are hardly legible."""
+    words = raw[len(PICTURE) :].decode().split(" ")
+    return [([[0.0, float(len(words) - i)], [9.0, float(len(words) - i + 1)]], w, 0.4 if any(c.isdigit() for c in w) else 0.9) for i, w in enumerate(words)]
+
+
 def _box(name: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", 8 + len(body), name) + body

@@ -119,3 +119,27 @@ def test_image_sizes():
     assert convert.image_size(b"GIF89a" + struct.pack("<HH", 7, 9)) == (7, 9)
     assert convert.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 8, 6) + bytes(9)) == (6, 8)
     assert convert.image_size(b"??") == (0, 0)
+
+
+def test_images_are_read(spark):
+    from quillspark.plans import samples
+    from quillspark.sources.images import ImageReader
+
+    rows = [("/x/a.png", samples.pictured_file(".png", "", ["one two"])), ("/x/small.png", b"\x89PNG"), ("/x/b.pptx", samples.pictured_file(".pptx", "body", ["seen here", "SEEN HERE", "more words", "no"])), ("/x/c.docx", b"broken"), ("/x/d.txt", b"plain")]
+    files = spark.createDataFrame([(p, len(b), bytearray(b)) for p, b in rows], "path string, n_bytes long, content binary")
+
+    def reader(raw):
+        words = raw[len(samples.PICTURE) :].decode()
+        return [([[0, 5], [9, 6]], words, 0.9), ([[0, 1], [9, 2]], "first", 0.8), ([[0, 0]], "illegible", 0.2)]
+
+    got = {r.path: r for r in prepare(files, Options(images=ImageReader(lambda: reader))).collect()}
+    assert got["/x/a.png"].markdown == "first\none two" and got["/x/a.png"].status == "done"
+    assert got["/x/b.pptx"].markdown == "<!-- Slide number: 1 -->\nbody\n\n---\n\n## Text found in images\n\n\n### image0.png\n\nfirst\nseen here\n\n### image2.png\n\nfirst\nmore words\n\n### image3.png\n\nfirst\nno"
+    assert got["/x/b.pptx"].unread_images == 0 and got["/x/d.txt"].markdown == "plain"
+    assert got["/x/c.docx"].status == "error" and got["/x/small.png"].status == "error"
+
+    def broken():
+        raise OSError("no model")
+
+    got = {r.path: r for r in prepare(files, Options(images=ImageReader(broken))).collect()}
+    assert got["/x/a.png"].error == "OSError: no model" and got["/x/b.pptx"].markdown.endswith("body")

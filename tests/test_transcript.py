@@ -90,3 +90,34 @@ def test_subwords_and_empty(spark):
     docs = spark.createDataFrame([(1, "  hi ", 3.14159), (2, " ", 1.0)], "doc_id long, text string, duration double")
     assert rows(S.fallback_segment(docs, "Speaker 1"), "end", "speaker", "text") == [(3.14, "Speaker 1", "hi")]
     assert S.interpolate_words(spark.createDataFrame([(1, 0, 0.0, 1.0, None, "ab c")], SEG)).orderBy("i").agg(F.collect_list("end")).first()[0][-1] == 1.0
+
+
+def test_undiarized_segments_by_stretches(spark):
+    """Against the fold over the whole transcript, with pauses, overlaps and ends that go back."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for d in range(12):
+        t = -3.0 if d == 3 else 0.0
+        for i in range(rng.randrange(1, 250)):
+            t += rng.choice([0.1, 0.4, 0.4, 2.4, 2.6, 6.0, -1.0])
+            rows.append((d, i * 2, rng.choice(["a", "b.", "c?", " "]), t, t + rng.choice([0.1, 0.5, 9.0, 50.0 if d == 5 else 0.3, -0.5])))
+    r2 = lambda x: round(x, 2)
+    want = []
+    for d in range(12):
+        segs, s = [], None
+        for _, _, w, a, b in [r for r in rows if r[0] == d]:
+            if s is not None and not (a - e > 2.5 or (words[-1][-1:] in (".", "?", "!") and e - s >= 15) or e - s >= 45):
+                e = max(e, b)
+                words.append(w)
+                continue
+            if s is not None:
+                segs.append((s, e, words))
+            s = max(0.0, a)
+            e, words = max(b, s), [w]
+        segs.append((s, e, words))
+        want += [(d, i, r2(s), r2(e)) for i, (s, e, words) in enumerate(segs, 1) if "".join(words).strip()]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, word string, start double, end double").repartition(5)
+    got = sorted((r.doc_id, r.seq, r.start, r.end) for r in S.undiarized_segments(df).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert all(abs(g[k] - w[k]) < 0.011 for g, w in zip(got, sorted(want)) for k in (2, 3))
