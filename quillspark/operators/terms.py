@@ -39,7 +39,7 @@ def pattern(term: Column) -> Column:
 
 
 def term_table(terms: DataFrame) -> DataFrame:
-    """(seq, term) to seq, pattern, its key and number of words in it; the first of equal terms counts.
+    """(seq, term) to seq, pattern, whether it is one word, its key and number of words in it; the first of equal terms counts.
 
     Terms without a word have no key, and are tried on every text; so are those that could match in what takes a term's place.
     """
@@ -47,7 +47,8 @@ def term_table(terms: DataFrame) -> DataFrame:
     rows = terms.select("seq", term.alias("term")).filter("term <> ''").groupBy("term").agg(F.min("seq").alias("seq"))
     rows = rows.withColumn("w", words(F.col("term"))).withColumn("n", F.least(F.size("w"), F.lit(FIRST_WORDS)))
     anywhere = (F.col("n") == 0) | F.lower("term").contains("redacted_term") | F.col("term").endswith("[") | F.col("term").startswith("]")
-    return rows.select("seq", pattern(F.col("term")).alias("pattern"), F.when(anywhere, 0).otherwise(F.col("n")).alias("n"), F.concat_ws("\x1f", F.slice("w", F.lit(1), F.greatest("n", F.lit(1)))).alias("key"))
+    single = ~anywhere & F.col("term").rlike(r"(?U)\A\w+\z")
+    return rows.select("seq", pattern(F.col("term")).alias("pattern"), single.alias("single"), F.when(anywhere, 0).otherwise(F.col("n")).alias("n"), F.concat_ws("\x1f", F.slice("w", F.lit(1), F.greatest("n", F.lit(1)))).alias("key"))
 
 
 def redact_term_table(docs: DataFrame, terms: DataFrame, text_col: str = "text", name: str = "redacted") -> DataFrame:
@@ -65,21 +66,34 @@ def redact_term_table(docs: DataFrame, terms: DataFrame, text_col: str = "text",
         return docs.withColumn(name, text)
     met = None
     if lengths:
-        keyed = known.filter("n > 0").select("seq", "pattern", "key")
+        keyed = known.filter("n > 0").select("seq", "pattern", "single", "key")
         found = docs.select(digest.alias("d_"), words(text).alias("w")).filter("d_ IS NOT NULL")
         found = found.select("d_", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in lengths]))).alias("key"))
-        met = found.join(F.broadcast(keyed) if few else keyed, "key").groupBy("d_").agg(F.collect_set(F.struct("seq", "pattern")).alias("p_"))
-    rest = F.lit(None).cast("array<struct<seq:bigint,pattern:string>>")
+        met = found.join(F.broadcast(keyed) if few else keyed, "key").groupBy("d_").agg(F.collect_set(F.struct("seq", "pattern", "single")).alias("p_"))
+    rest = F.lit(None).cast(rest_type())
     if any(r.n == 0 for r in sizes):  # one row
-        rows = docs.join(F.broadcast(everywhere.agg(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "pattern")).alias("all_"))), F.lit(True))
+        rows = docs.join(F.broadcast(everywhere.agg(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "pattern", "single")).alias("all_"))), F.lit(True))
     else:
         rows = docs.withColumn("all_", rest)
     rows = rows.withColumn("d_", digest)
     rows = rows.join(met.withColumn("p_", F.col("p_").cast(rest_type())), "d_", "left") if met is not None else rows.withColumn("p_", rest)
     mine = F.array_sort(F.concat(F.coalesce("all_", F.array().cast(rest_type())), F.coalesce("p_", F.array().cast(rest_type()))))
-    out = F.aggregate(mine, text, lambda t, x: F.regexp_replace(t, x["pattern"], F.lit(LABEL)))
+    out = F.aggregate(passes(mine), text, lambda t, x: F.regexp_replace(t, x, F.lit(LABEL)))
     return rows.withColumn(name, F.when(F.size(mine) > 0, out).otherwise(text)).drop("all_", "p_", "d_")
 
 
 def rest_type() -> str:
-    return "array<struct<seq:bigint,pattern:string>>"
+    return "array<struct<seq:bigint,pattern:string,single:boolean>>"
+
+
+def passes(terms: Column) -> Column:
+    """The patterns of ordered terms; single words that follow one another are one pattern, as no two of them can match at one place."""
+    none = F.lit("")
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("run"))
+    close = lambda a: F.when(a["run"] == "", a["done"]).otherwise(F.array_append(a["done"], a["run"]))
+
+    def add(a: Column, x: Column) -> Column:
+        run = F.when(a["run"] == "", x["pattern"]).otherwise(F.concat(a["run"], F.lit("|"), x["pattern"]))
+        return F.struct(F.when(x["single"], a["done"]).otherwise(F.array_append(close(a), x["pattern"])).alias("done"), F.when(x["single"], run).otherwise(none).alias("run"))
+
+    return F.aggregate(terms, start, add, close)
