@@ -9,9 +9,11 @@ window occurs.  Windows that follow each other in both texts join to the longest
 verbatim matches.  Windows that many items share, or that an item repeats, are
 searched once.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` (or one text), one
-at a time: neither the driver nor a task ever holds more than one.  Further blocks
-are further passes over rows that are stored first, and hits are merged by row.
+The benchmark comes in blocks of at most ``block_bytes`` (or one text).  A single block is
+sent to the tasks.  Several are files of the shared folder: a task builds the suffix arrays
+of about ``shard_bytes`` of documents once and searches one block after the other in them,
+so that neither the driver nor a task ever holds more than one block, and the documents are
+passed over once however large the benchmark is.
 
 Defined cases: null or wordless documents have 0 words and no hit; null or wordless
 items have no window; items with equal ids count once; repeated documents are
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import cut, docs_table, tune_arrow
+from .common import cut, docs_table, fresh_path, tune_arrow
 from .vector import ALNUM, U64, doc_bytes, mix, ragged, slices, word_hashes
 
 WINDOW = 13
 DEPTH = 16
 BLOCK_BYTES = 2_000_000
+#: Bytes of documents whose suffix arrays a task keeps for all blocks of a large benchmark (or one longer text).
+SHARD_BYTES = 16_000_000
 HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest array<struct<item:string,item_start:long,start:long,length:long>>"
 
 
@@ -128,23 +132,34 @@ class Windows:
         self.lists = [pair[begin[w] : begin[w + 1], 1] for w in alike.tolist()]
 
 
-def _hits(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> list[list]:
-    """[n_words, spans, items, longest matches] of each document.
+class Shard:
+    """Some documents: their suffix array, and [n_words, spans, items, longest matches] of each, to which every block adds."""
 
-    What is held grows with the words of the slice and with the pairs of document and item, not with
+    def __init__(self, kept: list[pa.Array], data: np.ndarray, offsets: np.ndarray):
+        hashes, doc_words = word_hashes(data, offsets, ALNUM)
+        self.kept, self.size = kept, int(offsets[-1] - offsets[0])
+        self.found = [[n, [], [], []] for n in np.diff(doc_words).tolist()]
+        self.array = SuffixArray(hashes, doc_words) if len(hashes) else None
+
+    def rows(self, names: list[str], types: pa.Schema) -> pa.RecordBatch:
+        new = [pa.array([f[k] for f in self.found], types.field(k).type) for k in range(4)]
+        return pa.RecordBatch.from_arrays(self.kept + new, names + types.names)
+
+
+def _search(out: list[list], shard: SuffixArray | None, windows: Windows) -> None:
+    """Adds what the windows hit to the documents of a shard.
+
+    What is held grows with the words of the shard and with the pairs of document and item, not with
     how often a window occurs in the benchmark.
     """
-    hashes, doc_words = word_hashes(data, offsets, ALNUM)
-    out = [[n, [], [], []] for n in np.diff(doc_words).tolist()]
-    if not len(hashes) or not len(windows.length):
-        return out
-    shard = SuffixArray(hashes, doc_words)
+    if shard is None or not len(windows.length):
+        return
     ranks = shard.encode(windows.hashes.ravel()).reshape(windows.hashes.shape)
     try_ = np.flatnonzero(((ranks % 2 == 1) | ~windows.valid).all(1))  # all words occur in the shard
     lo, hi = shard.find(ranks[try_], windows.length[try_])
     try_, lo, hi = try_[hi > lo], lo[hi > lo], hi[hi > lo]
     if not len(try_):
-        return out
+        return
     # a place has one window of each length at most
     window = np.repeat(try_, hi - lo)
     place = shard.order[ragged(lo, hi - lo)]
@@ -162,9 +177,8 @@ def _hits(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> list[list]
     cut_ = np.flatnonzero(np.append(True, lists[1:, 0] != lists[:-1, 0]))
     for a, b in zip(cut_.tolist(), [*cut_[1:].tolist(), len(lists)]):
         found = np.unique(np.concatenate([windows.lists[k] for k in lists[a:b, 1].tolist()]))
-        out[int(lists[a, 0])][2] = [windows.ids[k] for k in found.tolist()]
+        out[int(lists[a, 0])][2] += [windows.ids[k] for k in found.tolist()]
     _longest(out, doc, place - shard.starts[doc], window, windows)
-    return out
 
 
 def _longest(out: list[list], doc: np.ndarray, place: np.ndarray, window: np.ndarray, windows: Windows) -> None:
@@ -202,8 +216,8 @@ def _keep(out: list[list], d: int, best: tuple[int, int, int] | None, windows: W
         out[d][3].append({"item": windows.ids[int(windows.item_of[q])], "item_start": int(windows.at[q]), "start": start, "length": size})
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items (id, text) in blocks of at most ``block_bytes`` of text (or one text): the blocks' numbers, and a function that fetches one."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, list[int], Column]:
+    """The items (id, text), the numbers of blocks of at most ``block_bytes`` of text (or one text), and an item's number."""
     items = benchmark.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     total, n, numbers = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1, [0]
     if total > block_bytes:
@@ -216,15 +230,30 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
             break
         n *= 2
         block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    return items, numbers, block
+
+
+def _in_order(items: pa.Table) -> tuple[list[str], pa.Array]:
+    items = items.sort_by([("id", "ascending"), ("text", "ascending")])
+    return items.column("id").to_pylist(), items.column("text").combine_chunks()
+
+
+def _stored(items: DataFrame, block: Column) -> str:
+    """The folder to which the items are written, one folder in it for each block."""
+    path = fresh_path(items.sparkSession, "benchmark-blocks")
+    items.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
 
-    def fetch(i: int) -> tuple[list[str], pa.Array]:
-        got = items.filter(block == i).distinct().toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-        return got.column(0).to_pylist(), got.column(1).combine_chunks()
+def _fetch(path: str, number: int) -> tuple[list[str], pa.Array]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-    return numbers, fetch
+    system, name = fs.FileSystem.from_uri(f"{path}/block={number}")
+    return _in_order(pq.read_table(name, columns=["id", "text"], filesystem=system, partitioning=None))
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns of each row (default: doc_id) with n_words, spans of hit words, n_hit, items and the longest verbatim match.
 
     prefix: stands before the names of added columns, where ``keep`` has such names.
@@ -235,37 +264,39 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     tune_arrow(spark)
     keep = ["doc_id"] if keep is None else keep
     types = to_arrow_schema(_parse_datatype_string(HITS))
-    blocks, fetch = _blocks(benchmark, id_col, text_col, block_bytes)
+    items, blocks, block = _blocks(benchmark, id_col, text_col, block_bytes)
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)], F.col("text").alias("body"))
-    if len(blocks) > 1:  # each block is a pass over the same rows, which need a name that stays
-        source = cut(source.withColumn("row", F.monotonically_increasing_id()), "contaminated-rows")
-        names = ["row"]
-    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in names)
-
-    def one(i: int) -> DataFrame:
-        block = spark.sparkContext.broadcast(fetch(i))  # at most block_bytes
-
-        def search(batches):
-            windows = Windows(*block.value, width)
-            for b in batches:
-                data, offsets = doc_bytes(b.column(len(names)))
-                for i, j in slices(offsets):
-                    found = _hits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], windows)
-                    new = [pa.array([f[k] for f in found], types.field(k).type) for k in range(4)]
-                    yield pa.RecordBatch.from_arrays([b.column(k).slice(i, j - i) for k in range(len(names))] + new, names + types.names)
-
-        return source.select(*names, "body").mapInArrow(search, f"{kinds}, {HITS}")
-
-    out = one(blocks[0])
-    if len(blocks) > 1:
-        out = cut(out, "contaminated-pass")
-        more = [cut(one(i).filter("size(items) > 0").select("row", "spans", "items", "longest"), "contaminated-pass") for i in blocks[1:]]
-        for p in more[1:]:
-            more[0] = more[0].unionByName(p)
-        found = out.select("row", "spans", "items", "longest").unionByName(more[0])
-        found = found.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "longest")]).withColumn("spans", merged_spans(F.col("spans")))
-        out = source.drop("body").join(found.join(out.select("row", "n_words"), "row"), "row")
+    kinds = "".join(f"{k} {source.schema[k].dataType.simpleString()}, " for k in names)
+    many = len(blocks) > 1
+    path = _stored(items, block) if many else None
+    only = None if many else spark.sparkContext.broadcast(_in_order(items.distinct().toArrow()))  # at most block_bytes
+
+    def search(batches):
+        one = Windows(*only.value, width) if only is not None else None
+        held: list[Shard] = []
+
+        def done():
+            for n in blocks:
+                windows = one if one is not None else Windows(*_fetch(path, n), width)
+                for shard in held:
+                    _search(shard.found, shard.array, windows)
+            for shard in held:
+                yield shard.rows(names, types)
+            held.clear()
+
+        for b in batches:
+            data, offsets = doc_bytes(b.column(len(names)))
+            for i, j in slices(offsets):
+                held.append(Shard([b.column(k).slice(i, j - i) for k in range(len(names))], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                if one is not None or sum(s.size for s in held) >= shard_bytes:
+                    yield from done()
+        if held:
+            yield from done()
+
+    out = source.select(*names, "body").mapInArrow(search, f"{kinds}{HITS}")
+    if many:
+        out = out.withColumn("spans", merged_spans(F.col("spans")))
     longest = F.try_element_at(F.array_sort(F.transform("longest", lambda x: F.struct(-x["length"], x["start"].alias("start"), x["item"].alias("item"), x["item_start"].alias("item_start"), x["length"].alias("length")))), F.lit(1))
     added = {"n_words": F.col("n_words"), "spans": F.col("spans"), "n_hit": n_hit(F.col("spans")), "items": F.array_sort(F.array_distinct("items")), "longest": longest.dropFields("col1")}
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[v.alias(prefix + k) for k, v in added.items()])

@@ -290,8 +290,8 @@ def test_decontamination(spark, docs, none, given):
                     hit |= set(range(i, i + n))
                     items |= grams[g]
         want[d, len(w), len(hit), tuple(sorted(items))] += 1
-    for block in (1_000_000, 1000):
-        out = decontam.match_benchmark(docs, bench, keep=docs.columns, prefix="m_", block_bytes=block)
+    for block, shard in ((1_000_000, 1), (1000, 16_000_000), (1000, 50_000)):
+        out = decontam.match_benchmark(docs, bench, keep=docs.columns, prefix="m_", block_bytes=block, shard_bytes=shard)
         assert Counter((r.doc_id, r.m_n_words, r.m_n_hit, tuple(r.m_items)) for r in out.collect()) == want
     assert decontam.match_benchmark(none, bench).count() == 0
 
@@ -302,7 +302,9 @@ def test_items_that_share_a_passage_take_little_memory():
         windows = decontam.Windows([str(i) for i in range(200)], pa.array([unit * 40 + f"x{i}" for i in range(200)]), 13)
         data, off = decontam.doc_bytes(pa.array([(unit * 4000)[:8000]]))
         tracemalloc.start()
-        n, spans, items, longest = decontam._hits(data, off, windows)[0]
+        shard = decontam.Shard([], data, off)
+        decontam._search(shard.found, shard.array, windows)
+        n, spans, items, longest = shard.found[0]
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 20_000_000 and spans == [{"start": 0, "end": n}] and len(items) == 200
