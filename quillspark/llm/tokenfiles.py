@@ -1,7 +1,8 @@
 """Operator 10: token ids in binary files with a minimal perfect hash index.
 
 ``write_token_files`` sorts documents by id over the cluster, encodes them and
-writes one file per sorted range to the shared folder:
+writes one file per sorted range to the shared folder.  Ranges also go by text and
+row, so that the rows of one much repeated (or null) id fill many files:
 
     payload   ids, end to end, little-endian
     index     level sizes (u64 each), level bits (u64 words), then for each slot its
@@ -21,8 +22,9 @@ Only the manifest (one row per file) is gathered; files are written to a name of
 their attempt and then moved, so a lost executor's work is simply done again.
 
 Defined cases: null text is empty (only the end id); a null id sorts last;
-repeated ids keep their own runs of ids, in the order of their texts, and the index
-leads to the first; an empty table writes no file and gives an empty result.
+repeated ids keep their own runs of ids, in the order of their texts' first ``LEAD``
+characters and then of a hash, and each file's index leads to its first of them; an
+empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +44,8 @@ from .vector import doc_bytes, mix, ragged
 
 MAGIC, FOOTER = b"QTOKENS2", 72
 GAMMA = 1.5
+#: Characters of a text that ranges of one id are told apart by, before a hash of all.
+LEAD = 64
 #: Bytes of payload that a reader takes at once, about.
 READ_BYTES = 4 << 20
 
@@ -178,11 +183,14 @@ class TokenFile:
             raise ValueError(f"damaged token file: {self.path}")
 
 
-MANIFEST = "first_id long, last_id long, n_docs long, n_ids long, path string"
+MANIFEST = "first_id long, last_id long, n_docs long, n_ids long, path string, part long"
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files as it is evaluated, and returns their manifest, one row per file, in no order."""
+    """Writes the files as it is evaluated, and returns their manifest, one row per file, in no order.
+
+    part: tells files apart that begin and end with the same id; they follow each other by it.
+    """
     tune_arrow(docs.sparkSession)
 
     def write(batches):
@@ -216,11 +224,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         out.close()
         name = f"{uuid.uuid4().hex}.tok"
         system.move(temp, f"{base}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in (int(ids[0]) if nulls < len(ids) else None, int(ids[-nulls - 1]) if nulls < len(ids) else None, len(ids), total, f"{folder}/{name}")], ["first_id", "last_id", "n_docs", "n_ids", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in (int(ids[0]) if nulls < len(ids) else None, int(ids[-nulls - 1]) if nulls < len(ids) else None, len(ids), total, f"{folder}/{name}", TaskContext.get().partitionId())], ["first_id", "last_id", "n_docs", "n_ids", "path", "part"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
-    return rows.mapInArrow(write, MANIFEST)
+    rows = rows.withColumns({"lead": F.left("text", F.lit(LEAD)), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_last(), "lead", "hash", "row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text").mapInArrow(write, MANIFEST)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -230,7 +239,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """
     spark = manifest.sparkSession
     manifest = cut(manifest, "token-manifest")
-    in_order = Window.orderBy(F.isnull("first_id"), "first_id", "last_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy(F.isnull("first_id"), "first_id", "last_id", "part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(in_order), F.lit(0)))
     n = max(1, min(manifest.count(), 100_000))
 

@@ -365,6 +365,33 @@ def test_token_files(docs, none, given, tmp_path):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(none, path, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_token_files_of_one_id(spark, tmp_path):
+    """One id has most rows, of which half are equal: they fill several files, and starts are without gaps."""
+    vocab = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = vocab.path("word_bpe_49k.json")
+    rows = [(7, "the same words in each row") if i % 2 else (7, f"words {i} of a row") for i in range(3000)] + [(3, "first"), (9, "last"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"  # would join ranges as small as these
+    spark.conf.set(joined, "false")
+    try:
+        manifest = common.cut(tokenfiles.write_token_files(df, path, f"file://{tmp_path}/files"), "manifest")
+    finally:
+        spark.conf.unset(joined)
+    files = manifest.filter("first_id <= 7 AND last_id >= 7").collect()
+    assert len(files) > 2 and max(r.n_docs for r in files) < 1500
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfiles.read_token_files(manifest).collect())
+    t = Tokenizer.from_file(path)
+    want = Counter()
+    for d, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter(r[1:] for r in got) == want
+    assert [r[1] for r in got] == [3] + [7] * 3000 + [9, None, None]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and got[0][0] == 0
+
+
 def test_pipeline_stages(spark, docs, none, given):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder, kept = "/root/testdata/sf0.001", docs
