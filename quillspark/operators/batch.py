@@ -103,7 +103,9 @@ def unique_outputs(files: DataFrame, taken: DataFrame | None = None) -> DataFram
         if src.filter(bare).join(taken, "stem", "left_semi").head(1):
             numbers = _bare_numbers(src.filter(bare), taken)
             moved = src.filter(bare).join(numbers, "stem").filter("n > 0").select("path", "stem", "n")
-            gone = gone.union(numbers).union(zero(moved, F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("stem")))
+            own = F.struct("stem", "n")
+            further = F.struct(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("stem"), F.lit(0).cast("long").alias("n"))
+            gone = gone.union(numbers.select(F.inline(F.when(F.col("n") > 0, F.array(own, further)).otherwise(F.array(own)))))
             src = src.filter(~bare)
     none = lambda kind: F.lit(None).cast(kind)
     rows = src.select("stem", "path", none("long").alias("part"), none("long").alias("shift"), F.lit(0).cast("long").alias("len"))
