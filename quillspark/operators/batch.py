@@ -360,7 +360,8 @@ def dedupe_image_texts(images: DataFrame) -> DataFrame:
 
 def read_boxes(boxes: Column, min_score: float = 0.5) -> Column:
     """array<struct<box array<array<double>>, text, score>> to text in reading order: by upper edge, then as given."""
-    placed = F.transform(boxes, lambda b, i: F.struct(F.array_min(F.transform(b["box"], lambda p: p[1])).alias("y"), i.alias("i"), b["text"].alias("text"), b["score"].alias("score")))
-    kept = F.filter(F.array_sort(placed), lambda b: (b["score"] >= min_score) & (F.trim(b["text"]) != ""))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return F.when(F.length(F.trim(text)) >= 3, text).otherwise("")
+    upper = lambda b: F.array_min(F.transform(b["box"], lambda p: p[1]))
+    placed = F.transform(boxes, lambda b, i: F.struct(upper(b).alias("y"), i.alias("i"), b["text"].alias("text"), b["score"].alias("score")))
+    # sort_array orders by the type itself; array_sort compares pair by pair by an expression
+    ordered = F.sort_array(F.filter(placed, lambda b: (b["score"] >= min_score) & (F.trim(b["text"]) != "")))
+    return F.transform(F.array(F.array_join(ordered["text"], "\n")), lambda t: F.when(F.length(F.trim(t)) >= 3, t).otherwise(""))[0]
