@@ -6,6 +6,7 @@ Each image is a row, so the images of one document may be read by many tasks.
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .. import formats
 from ..functions.text import rstrip
-from ..operators.batch import dedupe_image_texts, read_boxes
+from ..operators.batch import dedupe_image_texts
+from .arrow import map_pieces
 from .convert import image_size, suffix
 
 #: Smaller images hold no text.
 MIN_PIXELS = 10_000
 NO_TEXT = "No readable text found in this image"
-BOXES = "array<struct<box:array<array<double>>,text:string,score:double>>"
 
 
 @dataclass(frozen=True)
@@ -59,45 +60,58 @@ def embedded_images(files: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([n for n, _ in found]), pa.array([x for _, x in found], pa.binary())], ["path", "name", "image"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, name string, image binary")
+    return map_pieces(files.select("path", "content"), run, "path string, name string, image binary")
+
+
+def in_order(boxes: list[tuple[list[list[float]], str, float]], min_score: float = 0.5) -> str:
+    """What ``read_boxes`` makes of one image's boxes."""
+    kept = []
+    for i, (box, text, score) in enumerate(boxes):
+        ys = [float(y) for _, y in box]
+        y = min((y for y in ys if y == y), default=math.nan)
+        if not float(score) < min_score and (text or "").strip(" "):
+            kept.append((bool(ys), y != y, 0.0 if y != y else y, i, text))
+    text = "\n".join(k[4] for k in sorted(kept))
+    return text if len(text.strip(" ")) >= 3 else ""
 
 
 def read_images(images: DataFrame, reader: ImageReader) -> DataFrame:
-    """(path, name, image) to (path, name, text, error): boxes in reading order; an image that the recogniser fails at has no text and says why."""
+    """(path, name, image) to (path, name, text, error): boxes in reading order; an image that the recogniser fails at has no text and says why.
+
+    Only texts leave the task, and images are read a few at a time: a page's boxes take many times the room of its text.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         model = broken = None
-        kind = pa.list_(pa.struct([("box", pa.list_(pa.list_(pa.float64()))), ("text", pa.string()), ("score", pa.float64())]))
         for b in batches:
             if model is None and broken is None:
                 try:
                     model = reader.load()
                 except Exception as e:  # noqa: BLE001  a recogniser that fails must not end the batch
                     broken = f"{type(e).__name__}: {e}"
-            boxes, said = [], []
+            texts, said = [], []
             for raw in b.column(2).to_pylist():
-                found, why = [], broken
+                text, why = "", broken
                 if broken is None:
                     try:
-                        found = [{"box": [[float(x) for x in p] for p in box], "text": text or "", "score": float(score)} for box, text, score in model(raw)]
+                        text = in_order(model(raw))
                     except Exception as e:  # noqa: BLE001
                         why = f"{type(e).__name__}: {e}"
-                boxes.append(found)
+                texts.append(text)
                 said.append(why)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(boxes, kind), pa.array(said, pa.string())], ["path", "name", "boxes", "error"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(said, pa.string())], ["path", "name", "text", "error"])
 
-    out = images.select("path", "name", "image").mapInArrow(run, f"path string, name string, boxes {BOXES}, error string")
-    return out.select("path", "name", read_boxes(F.col("boxes")).alias("text"), "error")
+    return map_pieces(images.select("path", "name", "image"), run, "path string, name string, text string, error string")
 
 
 def with_image_texts(made: DataFrame, files: DataFrame, reader: ImageReader) -> DataFrame:
     """Converted files (path, markdown, error, unread, ...) with what their images say: the whole of an image file, an own section of a document."""
-    texts = read_images(embedded_images(files), reader)
-    section = dedupe_image_texts(texts.select(F.col("path").alias("doc_id"), "name", "text")).select(F.col("doc_id").alias("p_"), F.col("markdown").alias("section_"))
-    whole = texts.groupBy(F.col("path").alias("p_")).agg(F.first("text").alias("text_"), F.first("error").alias("why_"))
     image = formats.format_class(F.col("path")) == "image"
+    read = lambda which: read_images(embedded_images(files.filter(which)), reader)  # noqa: E731  each image once, where its text goes
+    section = dedupe_image_texts(read(~F.coalesce(image, F.lit(False))).select(F.col("path").alias("doc_id"), "name", "text")).select(F.col("doc_id").alias("p_"), F.col("markdown").alias("section_"))
+    whole = read(image).groupBy(F.col("path").alias("p_")).agg(F.first("text").alias("text_"), F.first("error").alias("why_"))
     rows = made.join(section, F.col("path") == F.col("p_"), "left").drop("p_").join(whole, F.col("path") == F.col("p_"), "left").drop("p_")
     office = formats.extension(F.col("path")).isin(".docx", ".pptx", ".xlsx") & F.col("error").isNull()
     markdown = F.when(image, F.nullif(F.col("text_"), F.lit(""))).when(office & F.col("section_").isNotNull(), F.concat(rstrip(F.coalesce("markdown", F.lit(""))), F.col("section_"))).otherwise(F.col("markdown"))

@@ -143,3 +143,29 @@ def test_images_are_read(spark):
 
     got = {r.path: r for r in prepare(files, Options(images=ImageReader(broken))).collect()}
     assert got["/x/a.png"].error == "OSError: no model" and got["/x/b.pptx"].markdown.endswith("body")
+
+
+def test_pieces_are_bounded_and_whole(spark):
+    import pyarrow as pa
+
+    from quillspark.sources import arrow
+
+    texts = ["x" * 300, None, "", "y" * 5000, *["z" * 90] * 100]
+    got = list(arrow.pieces([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["t", "i"])], 1000))
+    assert [x for b in got for x in b.column(0).to_pylist()] == texts and [x for b in got for x in b.column(1).to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(0).to_pylist()) <= 1000 for b in got) and len(got) < 20
+    seen = arrow.map_pieces(spark.range(5000, numPartitions=1).selectExpr("repeat('a', 4000) AS t"), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in seen) == 5000 and max(r.n for r in seen) <= arrow.PIECE // 4000
+
+
+def test_boxes_of_one_image_as_in_a_column(spark):
+    import random
+
+    from quillspark.operators.batch import read_boxes
+    from quillspark.sources.images import in_order
+
+    rng, nan = random.Random(5), float("nan")
+    drawn = [[([[0.0, rng.choice([1.0, 2.0, -0.0, 0.0, nan])] for _ in range(rng.randint(0, 3))], rng.choice(["a", " ", "", "bc ", "\t", "é"]), rng.choice([0.4, 0.5, 0.9, nan])) for _ in range(rng.randint(0, 9))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, [(b, t, s) for b, t, s in d]) for i, d in enumerate(drawn)], "i int, boxes array<struct<box:array<array<double>>,text:string,score:double>>")
+    got = {r.i: r.text for r in rows.select("i", read_boxes(F.col("boxes")).alias("text")).collect()}
+    assert [got[i] for i in range(300)] == [in_order(d) for d in drawn] and len(set(got.values())) > 100
