@@ -75,28 +75,38 @@ class TurnsByTime(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "seq long", SEGMENT)
+        self.waiting = handle.getListState("waiting", f"seq long, {SEGMENT}")  # as they came; each call of the state is a message, so a batch is one
         self.open = handle.getValueState("open", "start double, end double, speaker string, text string, until long")  # when its furthest end is, in ms
 
+    def wake(self, at: int) -> None:
+        """One timer a call: the earliest time at which something is to be done."""
+        known = list(self.handle.listTimers())
+        if not known or at < min(known):
+            for t in known:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
     def handleInputRows(self, key, rows, timerValues):
-        known = set(self.handle.listTimers())
+        value, first = lambda x: None if x is None or x != x else x, None
         for pdf in rows:
-            for r in pdf.itertuples():
-                at = int(r.at.value // 1_000_000)
-                value = lambda x: None if x is None or x != x else x
-                self.waiting.updateValue((int(r.seq),), (value(r.start), value(r.end), value(r.speaker), value(r.text), at))
-                if at not in known:
-                    known.add(at)
-                    self.handle.registerTimer(at)
+            at = pdf["at"].astype("datetime64[ns]").astype("int64") // 1_000_000
+            come = [(int(q), value(s), value(e), value(p), value(t), int(a)) for q, s, e, p, t, a in zip(pdf["seq"], pdf["start"], pdf["end"], pdf["speaker"], pdf["text"], at)]
+            if come:
+                self.waiting.appendList(come)
+                first = min(r[5] for r in come) if first is None else min(first, *(r[5] for r in come))
+        if first is not None:
+            self.wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         now, out = timerValues.getCurrentWatermarkInMs(), []
-        due = sorted((v[4], k[0], *v[:4]) for k, v in self.waiting.iterator() if v[4] <= now)
+        waiting = {r[0]: tuple(r) for r in self.waiting.get()}  # the last of repeated ones
+        due = sorted((r[5], r[0], *r[1:5]) for r in waiting.values() if r[5] <= now)
+        rest = [r for r in waiting.values() if r[5] > now]
         held = self.open.get() if self.open.exists() else None
-        until = held[4] if held else 0
+        had, until = held is not None, held[4] if held else 0
         held = tuple(held[:4]) if held else None
         for at, seq, start, end, speaker, text in due:
             before = held
@@ -106,17 +116,24 @@ class TurnsByTime(StatefulProcessor):
             if held is not before:
                 ends = at + round(1000 * max(0.0, (end if end is not None else start or 0.0) - (start or 0.0)))
                 until = ends if closed or before is None else max(until, ends)
-            self.waiting.removeKey((seq,))
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
         last = until + round(1000 * self.max_gap)
         if held and last < now:
             out.append((key[0], *held))
             held = None
         if held:
             self.open.update((*held, until))
-            if last + 1 not in set(self.handle.listTimers()):
-                self.handle.registerTimer(last + 1)
-        elif self.open.exists():
+        elif had:
             self.open.clear()
+        for t in self.handle.listTimers():
+            if t <= now:
+                self.handle.deleteTimer(t)
+        todo = [r[5] for r in rest] + ([last + 1] if held else [])
+        if todo:
+            self.wake(min(todo))
         yield pd.DataFrame(out, columns=["call", "start", "end", "speaker", "text"])
 
     def close(self):

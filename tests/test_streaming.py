@@ -224,3 +224,81 @@ def test_observed_streams_are_counted(spark, tmp_path):
         spark.streams.removeListener(listener)
     done = [json.loads(x)["done"] for x in listener.lines]
     assert done == [4, 8, 12] and listener.total["src_tokens"] == 60 and listener.total["converted"] == 12
+
+
+class Handle:
+    """A state that counts the messages that it is sent."""
+
+    def __init__(self):
+        self.timers, self.messages, self.list, self.value, self.map = set(), 0, [], None, {}
+
+    def getListState(self, *_, **__):
+        return self
+
+    def getValueState(self, *_, **__):
+        outer = self
+
+        class Value:
+            exists = lambda s: outer.value is not None
+            get = lambda s: outer.value
+            update = lambda s, v: setattr(outer, "value", v)
+            clear = lambda s: setattr(outer, "value", None)
+
+        return Value()
+
+    def get(self):
+        self.messages += 1
+        return iter(self.list)
+
+    def appendList(self, rows):
+        self.messages += 1
+        self.list += rows
+
+    def put(self, rows):
+        self.messages += 1
+        self.list = list(rows)
+
+    def clear(self):
+        self.list = []
+
+    def listTimers(self):
+        self.messages += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, t):
+        self.messages += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.messages += 1
+        self.timers.discard(t)
+
+
+def test_a_call_sends_few_messages_to_its_state():
+    import pandas as pd
+
+    n, handle = 1000, Handle()
+    turns = streams.TurnsByTime(3.0)
+    turns.init(handle)
+    rows = pd.DataFrame({"seq": range(n), "start": [float(i) for i in range(n)], "end": [i + 0.5 for i in range(n)], "speaker": ["A"] * n, "text": ["w"] * n, "at": pd.to_datetime([i * 1000 for i in range(n)], unit="ms")})
+    assert list(turns.handleInputRows((1,), iter([rows[::2], rows[1::2]]), None)) == [] and handle.timers == {0}
+    clock = lambda t: type("T", (), {"getCurrentWatermarkInMs": lambda s: t})()
+    out = list(turns.handleExpiredTimer((1,), clock(499_500), None))[0]
+    assert not len(out) and handle.timers == {500_000} and len(handle.list) == 500
+    out = list(turns.handleExpiredTimer((1,), clock(1 << 41), None))[0]
+    assert out.values.tolist() == [[1, 0.0, n - 0.5, "A", " ".join(["w"] * n)]] and not handle.timers and not handle.list and handle.messages < 40
+
+
+def test_files_are_skipped_by_groups_of_paths(spark):
+    import pandas as pd
+
+    class Map(dict):
+        updateValue = lambda self, k, v: self.__setitem__(k, v)
+        containsKey = lambda self, k: k in self
+        exists = lambda self: bool(len(self))
+
+    skip, state = live.SkipByCommand(1000), Map()
+    skip.init(type("H", (), {"getMapState": lambda self, *_, **__: state})())
+    rows = pd.DataFrame({"key": ["/a", "/b", "/b", "/c"], "path": ["/a", "/b", "//b", "/c"], "n_bytes": [1, 2, 0, 3], "output": ["a", None, None, "c"], "command": [False, False, True, False]})
+    got = pd.concat(skip.handleInputRows((0,), iter([rows[:2], rows[2:]]), None))
+    assert got[["path", "status"]].values.tolist() == [["/a", "ready"], ["/b", "skipped"], ["/c", "ready"]] and list(state) == [("/b",)]
