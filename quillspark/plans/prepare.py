@@ -50,5 +50,7 @@ def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame
         done = redact_with(done, options.engine, "markdown", options.terms)
     tokens = F.when(F.col("status") == "done", T.estimate_tokens(F.col("markdown")))
     done = done.withColumn("tokens", tokens).withColumn("source_tokens", F.when(F.col("status") == "done", T.source_tokens(F.col("path"), F.col("n_bytes"), F.col("members"), F.col("pages"), F.col("tokens"))))
-    done = B.named_outputs(done, manifest, None if options.overwrite else existing) if outputs is None else done.join(outputs, "path")
+    if outputs is None:  # names need paths alone: the conversion runs once, not for each table that naming looks at
+        outputs = B.named_outputs(files.select("path").distinct(), manifest, None if options.overwrite else existing)
+    done = done.join(outputs, "path")
     return done.select("path", "status", F.when(F.col("status") == "done", F.col("output")).alias("output"), "markdown", "tokens", "source_tokens", F.col("unread").alias("unread_images"), "error")

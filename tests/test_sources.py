@@ -169,3 +169,10 @@ def test_boxes_of_one_image_as_in_a_column(spark):
     rows = spark.createDataFrame([(i, [(b, t, s) for b, t, s in d]) for i, d in enumerate(drawn)], "i int, boxes array<struct<box:array<array<double>>,text:string,score:double>>")
     got = {r.i: r.text for r in rows.select("i", read_boxes(F.col("boxes")).alias("text")).collect()}
     assert [got[i] for i in range(300)] == [in_order(d) for d in drawn] and len(set(got.values())) > 100
+
+
+def test_naming_does_not_convert_again(spark):
+    files = spark.createDataFrame([("/x/a.txt", 1, b"a"), ("/x/a.html", 1, b"<p>b"), ("/y/a.txt", 1, b"c")], "path string, n_bytes long, content binary")
+    done = prepare(files)
+    assert {r.path: r.output for r in done.collect()} == {"/x/a.html": "/x/a.md", "/x/a.txt": "/x/a (1).md", "/y/a.txt": "/y/a.md"}
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
