@@ -23,8 +23,9 @@ def fold(text: Column) -> Column:
     return F.lower(F.upper(F.translate(text, "ẞİ", "ßi")))
 
 
-def words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), fold)
+def words(text: Column, once: bool = False) -> Column:
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.transform(F.array_distinct(found) if once else found, fold)
 
 
 def grams(w: Column, n: int) -> Column:
@@ -35,7 +36,7 @@ def grams(w: Column, n: int) -> Column:
 
 def pattern(term: Column) -> Column:
     """The term itself between word boundaries, in any case."""
-    return F.concat(F.lit(r"(?iuU)\b"), F.regexp_replace(term, r"([^\p{L}\p{N}_\x80-\x{10FFFF}])", r"\\$1"), F.lit(r"\b"))
+    return F.concat(F.lit(BEFORE), F.regexp_replace(term, r"([^\p{L}\p{N}_\x80-\x{10FFFF}])", r"\\$1"), F.lit(AFTER))
 
 
 def term_table(terms: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def redact_term_table(docs: DataFrame, terms: DataFrame, text_col: str = "text",
     met = None
     if lengths:
         keyed = known.filter("n > 0").select("seq", "pattern", "single", "key")
-        found = docs.select(digest.alias("d_"), words(text).alias("w")).filter("d_ IS NOT NULL")
+        found = docs.select(digest.alias("d_"), words(text, lengths == [1]).alias("w")).filter("d_ IS NOT NULL")
         found = found.select("d_", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in lengths]))).alias("key"))
         met = found.join(F.broadcast(keyed) if few else keyed, "key").groupBy("d_").agg(F.collect_set(F.struct("seq", "pattern", "single")).alias("p_"))
     rest = F.lit(None).cast(rest_type())
@@ -77,7 +78,7 @@ def redact_term_table(docs: DataFrame, terms: DataFrame, text_col: str = "text",
         rows = docs.withColumn("all_", rest)
     rows = rows.withColumn("d_", digest)
     rows = rows.join(met.withColumn("p_", F.col("p_").cast(rest_type())), "d_", "left") if met is not None else rows.withColumn("p_", rest)
-    mine = F.array_sort(F.concat(F.coalesce("all_", F.array().cast(rest_type())), F.coalesce("p_", F.array().cast(rest_type()))))
+    mine = F.sort_array(F.concat(F.coalesce("all_", F.array().cast(rest_type())), F.coalesce("p_", F.array().cast(rest_type()))))
     out = F.aggregate(passes(mine), text, lambda t, x: F.regexp_replace(t, x, F.lit(LABEL)))
     return rows.withColumn(name, F.when(F.size(mine) > 0, out).otherwise(text)).drop("all_", "p_", "d_")
 
@@ -86,14 +87,23 @@ def rest_type() -> str:
     return "array<struct<seq:bigint,pattern:string,single:boolean>>"
 
 
+BEFORE, AFTER = r"(?iuU)\b", r"\b"
+
+
 def passes(terms: Column) -> Column:
-    """The patterns of ordered terms; single words that follow one another are one pattern, as no two of them can match at one place."""
+    """The patterns of ordered terms; single words that follow one another are one pattern, as no two of them can match at one place.
+
+    Their word boundaries stand outside of the choice, so that words are tried where one begins only.
+    """
+    bare = lambda x: F.substring(x["pattern"], F.lit(len(BEFORE) + 1), F.length(x["pattern"]) - len(BEFORE) - len(AFTER))
+    any_of = lambda run: F.concat(F.lit(f"{BEFORE}(?:"), run, F.lit(f"){AFTER}"))
     none = F.lit("")
     start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("run"))
-    close = lambda a: F.when(a["run"] == "", a["done"]).otherwise(F.array_append(a["done"], a["run"]))
+    close = lambda a: F.when(a["run"] == "", a["done"]).otherwise(F.array_append(a["done"], any_of(a["run"])))
 
     def add(a: Column, x: Column) -> Column:
-        run = F.when(a["run"] == "", x["pattern"]).otherwise(F.concat(a["run"], F.lit("|"), x["pattern"]))
+        run = F.when(a["run"] == "", bare(x)).otherwise(F.concat(a["run"], F.lit("|"), bare(x)))
         return F.struct(F.when(x["single"], a["done"]).otherwise(F.array_append(close(a), x["pattern"])).alias("done"), F.when(x["single"], run).otherwise(none).alias("run"))
 
-    return F.aggregate(terms, start, add, close)
+    alone = F.forall(terms, lambda x: x["single"]) & (F.size(terms) > 0)
+    return F.when(alone, F.array(any_of(F.array_join(F.transform(terms, bare), "|")))).otherwise(F.aggregate(terms, start, add, close))

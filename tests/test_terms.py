@@ -60,3 +60,10 @@ def test_strict_set(spark):
     numbers = ["".join(rng.choice("0123456789-") for _ in range(rng.randrange(1, 20))) for _ in range(200)]
     got = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", R.luhn(F.col("n")).alias("ok")).collect()
     assert all(r.ok == luhn(r.n) for r in got) and {r.ok for r in got} == {True, False}
+
+
+def test_single_words_are_tried_where_a_word_begins(spark):
+    words = [(i, T.BEFORE + w + T.AFTER, single) for i, (w, single) in enumerate([("cat", True), ("Über", True), ("a-b", False), ("dog", True)])]
+    kind = "i int, t array<struct<seq:bigint,pattern:string,single:boolean>>"
+    rows = spark.createDataFrame([(0, words), (1, words[:2]), (2, [])], kind).select("i", T.passes(F.col("t")).alias("p"))
+    assert {r.i: r.p for r in rows.collect()} == {0: [r"(?iuU)\b(?:cat|Über)\b", r"(?iuU)\ba-b\b", r"(?iuU)\b(?:dog)\b"], 1: [r"(?iuU)\b(?:cat|Über)\b"], 2: []}
