@@ -227,3 +227,13 @@ def test_models_and_hints(spark):
     from quillspark.operators.transcript import speaker_hint
 
     assert [tuple(x) for x in column(spark, ["auto", "2", "4+", "zz", "0"], speaker_hint)] == [(-1, 0.5), (2, 0.5), (-1, 0.38), (-1, 0.5), (-1, 0.5)]
+
+
+def test_numbers_side_by_side_as_the_original(spark):
+    """A country's prefix behind another number's only delimiter belongs to its number, as the original's look-behind has it."""
+    import re
+
+    pattern = r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}(?!\d)"
+    texts = ["+1 (305) 555-7981 +1 (223) 555-5938", "(947) 724-4436 1 185 531 0050", "a 984-577-1456,+1-732-619-5119.", "503-555-0182"]
+    got = column(spark, texts, lambda c: R.step(c, "PHONE"), "string")
+    assert got == [re.sub(pattern, "[REDACTED_PHONE]", t) for t in texts] and got[0] == "[REDACTED_PHONE] [REDACTED_PHONE]"
