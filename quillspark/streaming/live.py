@@ -63,29 +63,33 @@ class BatchListener(StreamingQueryListener):
         self.ended.set()
 
 
+#: Paths are dealt into so many groups; a group's state says which of its paths are to be skipped.
+GROUPS = 256
+
+
 class SkipByCommand(StatefulProcessor):
-    """A file's state is whether it is to be skipped; it is kept for ``ttl_ms``."""
+    """Of each path whether it is to be skipped; it is kept for ``ttl_ms``."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle):
-        self.skip = handle.getValueState("skip", "skip boolean", ttlDurationMs=self.ttl_ms)
+        self.skip = handle.getMapState("skip", "key string", "skip boolean", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        found, skip = [], self.skip.exists()
+        files = []
         for pdf in rows:
-            for r in pdf.itertuples():
-                if r.command:
-                    skip = True
-                    self.skip.update((True,))
-                else:
-                    found.append((r.path, int(r.n_bytes), r.output))
+            for k in set(pdf["key"][pdf["command"]]):
+                self.skip.updateValue((k,), (True,))
+            files.append(pdf[~pdf["command"]])
         # a command that comes with its file counts for it, wherever the two stand
-        status = "skipped" if skip else "ready"
-        yield pd.DataFrame([(*f, status) for f in found], columns=["path", "n_bytes", "output", "status"])
+        some = self.skip.exists()
+        for pdf in files:
+            if len(pdf):
+                status = ["skipped" if some and self.skip.containsKey((k,)) else "ready" for k in pdf["key"]]
+                yield pd.DataFrame({"path": pdf["path"], "n_bytes": pdf["n_bytes"].astype("int64"), "output": pdf["output"], "status": status})
 
     def close(self):
         pass
@@ -106,7 +110,8 @@ def live_skips(listing: DataFrame, lines: DataFrame, ttl_ms: int = 3_600_000) ->
     none = lambda kind: F.lit(None).cast(kind)
     files = listing.select(normal_path(F.col("path")).alias("key"), "path", F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "output", F.lit(False).alias("command"))
     gone = skip_commands(lines).select(normal_path(F.col("path")).alias("key"), "path", F.lit(0).cast("long").alias("n_bytes"), none("string").alias("output"), F.lit(True).alias("command"))
-    return files.union(gone).groupBy("key").transformWithStateInPandas(SkipByCommand(ttl_ms), "path string, n_bytes long, output string, status string", "append", "processingTime")
+    rows = files.union(gone).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+    return rows.groupBy("group").transformWithStateInPandas(SkipByCommand(ttl_ms), "path string, n_bytes long, output string, status string", "append", "processingTime")
 
 
 class Cancelled(Exception):
