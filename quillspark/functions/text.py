@@ -13,11 +13,12 @@ SPACE = r"(?U)\s"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Only a text that begins or ends in white space meets the pattern, which tries every blank in it."""
+    return F.when(F.substring(text, 1, 1).rlike(SPACE) | F.substring(text, -1, 1).rlike(SPACE), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.when(F.substring(text, -1, 1).rlike(SPACE), F.regexp_replace(text, r"(?U)\s+$", "")).otherwise(text)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..formats import base_name, extension
-from ..functions.text import collection_frontmatter, estimate_tokens, savings_percent, slugify
+from ..functions.text import collection_frontmatter, estimate_tokens, savings_percent, slugify, strip
 
 SCHEMA = "path string, status string, output string, markdown string, tokens bigint, source_tokens bigint, unread_images int, error string"
 
@@ -350,7 +350,7 @@ def error_code(kind: Column) -> Column:
 
 def dedupe_image_texts(images: DataFrame) -> DataFrame:
     """(doc_id, name, text) of read images to (doc_id, markdown): repeated texts once, in order of name; texts under three characters go."""
-    rows = images.filter(F.length(F.trim("text")) >= 3).withColumn("key_", F.lower(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")))
+    rows = images.filter(F.length(F.trim("text")) >= 3).withColumn("key_", F.lower(strip(F.col("text"))))
     first = F.row_number().over(Window.partitionBy("doc_id", "key_").orderBy("name"))
     rows = rows.withColumn("n_", first).filter("n_ = 1")
     part = lambda p: F.concat(F.lit("\n\n### "), base_name(p["name"]), F.lit("\n\n"), p["text"])
@@ -358,6 +358,16 @@ def dedupe_image_texts(images: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_texts", F.concat(F.lit("\n\n---\n\n## Text found in images\n"), F.array_join(F.transform("p_", part), "")).alias("markdown"))
 
 
+def image_section(pictures: Column) -> Column:
+    """What ``dedupe_image_texts`` makes of one document's array<struct<name, text, ...>>; null where none has a text."""
+    read = F.filter(pictures, lambda p: F.length(F.trim(p["text"])) >= 3)
+    named = F.sort_array(F.transform(read, lambda p: F.struct(p["name"].alias("name"), p["text"].alias("text"), F.lower(strip(p["text"])).alias("key"))))
+    first = F.transform(F.array(named), lambda a: F.filter(a, lambda p, i: F.array_position(a["key"], p["key"]) == i + 1))[0]
+    part = lambda p: F.concat(F.lit("\n\n### "), base_name(p["name"]), F.lit("\n\n"), p["text"])
+    parts = F.transform(F.array(F.array_join(F.transform(first, part), "")), lambda t: F.when(t != "", F.concat(F.lit("\n\n---\n\n## Text found in images\n"), t)))
+    return parts[0]
+
+
 def read_boxes(boxes: Column, min_score: float = 0.5) -> Column:
     """array<struct<box array<array<double>>, text, score>> to text in reading order: by upper edge, then as given."""
     upper = lambda b: F.array_min(F.transform(b["box"], lambda p: p[1]))

@@ -13,7 +13,7 @@ from ..functions.engines import EntityEngine, TextEngine, redact_with
 from ..functions.redact import redact
 from ..operators import batch as B
 from ..sources.convert import convert_files
-from ..sources.images import ImageReader, with_image_texts
+from ..sources.images import ImageReader, picture_texts, with_image_texts
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,10 @@ def prepare(files: DataFrame, options: Options = Options(), manifest: DataFrame
     (output) names that are taken when ``overwrite`` is off.  outputs: (path, output)
     where names have been settled before.
     """
-    made = convert_files(files, options.allow_zip, ocr=options.images is not None)
-    if options.images:
-        made = with_image_texts(made, files, options.images)
+    reader = options.images
+    made = convert_files(files, options.allow_zip, ocr=reader is not None, pictures=(lambda: picture_texts(reader)) if reader else None)
+    if reader:
+        made = with_image_texts(made)
     ext = extension(F.col("path"))
     text: Column = T.append(F.col("markdown"), T.unread_note(F.col("unread"), ext))
     stamp = F.lit(options.stamp) if options.stamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -1,6 +1,6 @@
 """Text of images, by a recogniser of one's own: image files, and images inside of Office documents.
 
-Each image is a row, so the images of one document may be read by many tasks.
+Images are read where their file is converted, so contents are read once and only texts leave the task.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import math
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import formats
 from ..functions.text import rstrip
-from ..operators.batch import dedupe_image_texts
-from .arrow import map_pieces
+from ..operators.batch import image_section
 from .convert import image_size, suffix
 
 #: Smaller images hold no text.
@@ -48,74 +47,66 @@ def images_of(path: str, raw: bytes | None) -> list[tuple[str, bytes]]:
     return [(n, b) for n, b in found if size(b) >= MIN_PIXELS]
 
 
-def embedded_images(files: DataFrame) -> DataFrame:
-    """(path, content) to (path, name, image), a row for each image."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = images_of(path, raw)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([n for n, _ in found]), pa.array([x for _, x in found], pa.binary())], ["path", "name", "image"])
-
-    return map_pieces(files.select("path", "content"), run, "path string, name string, image binary")
-
-
-def in_order(boxes: list[tuple[list[list[float]], str, float]], min_score: float = 0.5) -> str:
+def in_order(boxes: Iterable[tuple[list[list[float]], str, float]], min_score: float = 0.5) -> str:
     """What ``read_boxes`` makes of one image's boxes."""
-    kept = []
-    for i, (box, text, score) in enumerate(boxes):
-        ys = [float(y) for _, y in box]
-        y = min((y for y in ys if y == y), default=math.nan)
-        if not float(score) < min_score and (text or "").strip(" "):
-            kept.append((bool(ys), y != y, 0.0 if y != y else y, i, text))
-    text = "\n".join(k[4] for k in sorted(kept))
+    tops, words, odd = [], [], {}
+    for box, text, score in boxes:
+        if float(score) < min_score or not text or not text.strip(" "):
+            continue
+        ys = [c[1] for c in box]
+        if not ys or (total := sum(ys)) != total:  # no corner (then it comes first), or some that is no number
+            ys = [y for y in ys if y == y]
+            if not ys:
+                odd[len(tops)] = bool(box)
+        tops.append(float(min(ys)) if ys else math.nan)
+        words.append(text)
+    if odd:
+        order = sorted(range(len(tops)), key=lambda i: (odd.get(i, True), i in odd, 0.0 if i in odd else tops[i]))
+    else:
+        order = sorted(range(len(tops)), key=tops.__getitem__)
+    text = "\n".join([words[i] for i in order])
     return text if len(text.strip(" ")) >= 3 else ""
 
 
-def read_images(images: DataFrame, reader: ImageReader) -> DataFrame:
-    """(path, name, image) to (path, name, text, error): boxes in reading order; an image that the recogniser fails at has no text and says why.
+def picture_texts(reader: ImageReader) -> Callable[[str, bytes | None], list[tuple[str, str, str | None]]]:
+    """A function from a file to (name, text, error) of its images: an image that the recogniser fails at has no text and says why.
 
-    Only texts leave the task, and images are read a few at a time: a page's boxes take many times the room of its text.
+    An image that stands in a document more than once is read and returned once, by its first name.
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        model = broken = None
-        for b in batches:
-            if model is None and broken is None:
-                try:
-                    model = reader.load()
-                except Exception as e:  # noqa: BLE001  a recogniser that fails must not end the batch
-                    broken = f"{type(e).__name__}: {e}"
-            texts, said = [], []
-            for raw in b.column(2).to_pylist():
-                text, why = "", broken
-                if broken is None:
-                    try:
-                        text = in_order(model(raw))
-                    except Exception as e:  # noqa: BLE001
-                        why = f"{type(e).__name__}: {e}"
-                texts.append(text)
-                said.append(why)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(said, pa.string())], ["path", "name", "text", "error"])
-
-    return map_pieces(images.select("path", "name", "image"), run, "path string, name string, text string, error string")
-
-
-def with_image_texts(made: DataFrame, files: DataFrame, reader: ImageReader) -> DataFrame:
-    """Converted files (path, markdown, error, unread, ...) with what their images say: the whole of an image file, an own section of a document."""
+    model = broken = None
+
+    def read(image: bytes) -> tuple[str, str | None]:
+        nonlocal model, broken
+        if model is None and broken is None:
+            try:
+                model = reader.load()
+            except Exception as e:  # noqa: BLE001  a recogniser that fails must not end the batch
+                broken = f"{type(e).__name__}: {e}"
+        if broken is not None:
+            return "", broken
+        try:
+            return in_order(model(image)), None
+        except Exception as e:  # noqa: BLE001
+            return "", f"{type(e).__name__}: {e}"
+
+    def run(path: str, raw: bytes | None) -> list[tuple[str, str, str | None]]:
+        first: dict[bytes, str] = {}
+        for name, image in images_of(path, raw):
+            first.setdefault(image, name)
+        return [(name, *read(image)) for image, name in first.items()]
+
+    return run
+
+
+def with_image_texts(made: DataFrame) -> DataFrame:
+    """Converted files (path, markdown, error, unread, pictures, ...) with what their images say: the whole of an image file, an own section of a document."""
     image = formats.format_class(F.col("path")) == "image"
-    read = lambda which: read_images(embedded_images(files.filter(which)), reader)  # noqa: E731  each image once, where its text goes
-    section = dedupe_image_texts(read(~F.coalesce(image, F.lit(False))).select(F.col("path").alias("doc_id"), "name", "text")).select(F.col("doc_id").alias("p_"), F.col("markdown").alias("section_"))
-    whole = read(image).groupBy(F.col("path").alias("p_")).agg(F.first("text").alias("text_"), F.first("error").alias("why_"))
-    rows = made.join(section, F.col("path") == F.col("p_"), "left").drop("p_").join(whole, F.col("path") == F.col("p_"), "left").drop("p_")
+    section = image_section(F.col("pictures"))
+    whole = F.get("pictures", F.lit(0))
     office = formats.extension(F.col("path")).isin(".docx", ".pptx", ".xlsx") & F.col("error").isNull()
+    rows = made.withColumn("section_", F.when(office, section)).withColumn("text_", F.when(image, whole["text"])).withColumn("why_", F.when(image, whole["error"]))
     markdown = F.when(image, F.nullif(F.col("text_"), F.lit(""))).when(office & F.col("section_").isNotNull(), F.concat(rstrip(F.coalesce("markdown", F.lit(""))), F.col("section_"))).otherwise(F.col("markdown"))
     error = F.when(image, F.when(F.coalesce("text_", F.lit("")) == "", F.coalesce("why_", F.lit(NO_TEXT)))).otherwise(F.col("error"))
     unread = F.when(office, 0).otherwise(F.col("unread"))
     out = rows.select("*", markdown.alias("m_"), error.alias("e_"), unread.cast("int").alias("u_"))
-    return out.select(*[F.col({"markdown": "m_", "error": "e_", "unread": "u_"}.get(c, c)).alias(c) for c in made.columns])
+    return out.select(*[F.col({"markdown": "m_", "error": "e_", "unread": "u_"}.get(c, c)).alias(c) for c in made.columns if c != "pictures"])

@@ -176,3 +176,35 @@ def test_naming_does_not_convert_again(spark):
     done = prepare(files)
     assert {r.path: r.output for r in done.collect()} == {"/x/a.html": "/x/a.md", "/x/a.txt": "/x/a (1).md", "/y/a.txt": "/y/a.md"}
     assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_files_and_images_are_read_once(spark, tmp_path):
+    """A file's contents are made once for all that is done with them, and an image that stands twice in it is recognised once."""
+    import pyarrow as pa
+
+    from quillspark.plans import samples
+    from quillspark.sources.images import ImageReader
+
+    texts = {".png": ["alone"], ".pptx": ["seen here", "seen here", "more words", "seen here"]}
+    log = str(tmp_path / "log")
+
+    def make(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("made\n" * b.num_rows)
+            paths = b.column(0).to_pylist()
+            made = [samples.pictured_file(k, "body", texts[k]) if (k := p[p.rindex(".") :]) in texts else b"?" for p in paths]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], ["path", "n_bytes", "content"])
+
+    def reader(raw):
+        with open(log, "a") as f:
+            f.write("read\n")
+        return samples.read_picture(raw)
+
+    paths = spark.createDataFrame([("/x/a.png",), ("/x/b.pptx",), ("/x/c.exe",), ("/x/d.mp3",)], "path string").coalesce(1)
+    names = paths.withColumn("output", F.col("path"))
+    got = {r.path: r for r in prepare(paths.mapInArrow(make, "path string, n_bytes long, content binary"), Options(images=ImageReader(lambda: reader)), outputs=names).collect()}
+    assert got["/x/b.pptx"].markdown.endswith("### image0.png\n\nhere\nseen\n\n### image2.png\n\nwords\nmore") and got["/x/a.png"].markdown == "alone"
+    assert got["/x/c.exe"].error == "Unsupported file type: .exe" and got["/x/d.mp3"].error.startswith("The speech model")
+    done = open(log).read().split()
+    assert done.count("made") == 4 and done.count("read") == 3
